@@ -5,13 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The Bloom filter never exceeds this many bits (8 MB); beyond that it only lets more references through to the exact join.
-MAX_FILTER_BITS = 67_108_864
-BITS_PER_KEY = 12
-
+from quillsearch.operators.bloom import filter_of, might_contain
 
 @dataclass(frozen=True)
 class Target:
@@ -26,34 +23,6 @@ class Target:
     normal: Callable[[Column], Column] = lambda c: c
 
 
-def _filter_of(keys: DataFrame) -> Column:
-    """Bloom filter of the column ``k`` as a scalar subquery: built by executors, one copy per task."""
-    spark = keys.sparkSession
-    jvm, sc = spark._jvm, spark.sparkContext
-    from pyspark.sql.classic.column import Column as Classic
-    from pyspark.sql.classic.column import _to_java_column, _to_seq
-
-    items = max(1, min(keys.count(), MAX_FILTER_BITS // BITS_PER_KEY))
-    bits = min(MAX_FILTER_BITS, max(1024, items * BITS_PER_KEY))
-    module = getattr(getattr(jvm, "org.apache.spark.sql.Column$"), "MODULE$")
-    args = [F.xxhash64("k"), F.lit(items).cast("long"), F.lit(bits).cast("long")]
-    agg = Classic(module.internalFn("bloom_filter_agg", _to_seq(sc, args, _to_java_column)))
-    return keys.select(agg.alias("b")).scalar()
-
-
-def _might_contain(bloom: Column, key: Column) -> Column:
-    """Whether the filter may hold ``key``; an empty table has a null filter, which holds nothing."""
-    from pyspark.sql.classic.column import Column as Classic
-
-
-    gateway = SparkSession.active()._jvm
-    utils = getattr(getattr(gateway, "org.apache.spark.sql.classic.ExpressionUtils$"), "MODULE$")
-    expr = gateway.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(
-        utils.expression(bloom._jc), utils.expression(F.xxhash64(key)._jc)
-    )
-    return F.coalesce(Classic(utils.column(expr)), F.lit(False))
-
-
 def alive_spans(target: Target) -> DataFrame:
     """Disjoint spans ``(k, since, until)`` in which a key existed; ``until`` null: open.
 
@@ -93,8 +62,8 @@ def orphan_references(refs: DataFrame, ref_id: str, at: str, target: Target) ->
         target.normal(F.col(target.field)).alias("k"),
         F.col(at).cast("timestamp_ntz").alias("at"),
     ).where("k is not null")
-    keys = target.rows.select(target.normal(F.col(target.key)).alias("k")).where("k is not null")
-    base = base.withColumn("maybe", _might_contain(_filter_of(keys), F.col("k")))
+    keys = target.rows.select(target.normal(F.col(target.key)).alias("k"))
+    base = base.withColumn("maybe", might_contain(filter_of(keys, "k"), F.col("k")))
     proven = base.where(~F.col("maybe"))
     spans = alive_spans(target).alias("s")
     open_ = base.where("maybe").alias("b")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsearch.functions.text import clean_key
-from quillsearch.llm import termfreq, topn
+from quillsearch.llm import neardup, termfreq, topn
 from quillsearch.llm.sql import ORACLES  # noqa: F401
 from quillsearch.session import table
 
@@ -40,4 +42,20 @@ def p6_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_topn": p2_topn, "p6_found": p6_found, "p6_frequencies": p6_frequencies}
+#: Versions of each other: half of the three-word sequences in common.
+_VERSIONS = neardup.Likeness(words=3, least=Fraction(1, 2))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of files whose texts share at least half of their three-word sequences."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "collection_docs"), "docno", "text", _VERSIONS)
+    return neardup.document_pairs(found).select(F.col("id_a").alias("docno_a"), F.col("id_b").alias("docno_b"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of versions of every file, and the number of other texts it is linked to."""
+    found = neardup.near_duplicates(table(spark, sf_dir, "collection_docs"), "docno", "text", _VERSIONS)
+    return neardup.groups(found).select(F.col("id").alias("docno"), "group_id", "n_links")
+
+
+QUERIES = {"p2_found": p2_found, "p2_topn": p2_topn, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_frequencies": p6_frequencies}

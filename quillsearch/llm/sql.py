@@ -21,7 +21,26 @@ counted AS (
 total AS (SELECT count(DISTINCT docno) AS n FROM postings WHERE term IS NOT NULL)
 """
 
+_VERSIONS = """
+WITH RECURSIVE texts AS (SELECT docno, any_value(text) AS text FROM collection_docs WHERE text IS NOT NULL GROUP BY docno),
+words AS (SELECT docno, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM texts),
+seqs AS (SELECT DISTINCT docno, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS s FROM words),
+sizes AS (SELECT docno, count(*) AS n FROM seqs GROUP BY docno),
+shared AS (SELECT a.docno AS docno_a, b.docno AS docno_b, count(*) AS n FROM seqs a JOIN seqs b ON a.s = b.s AND a.docno < b.docno GROUP BY ALL),
+pairs AS (SELECT docno_a, docno_b FROM shared s JOIN sizes x ON x.docno = docno_a JOIN sizes y ON y.docno = docno_b
+          WHERE 2 * s.n >= x.n + y.n - s.n)
+"""
+
 ORACLES = {
+    "p3_found": _VERSIONS + "SELECT docno_a, docno_b FROM pairs",
+    "p3_groups": _VERSIONS + """,
+        ends AS (SELECT docno_a AS a, docno_b AS b FROM pairs UNION ALL SELECT docno_b, docno_a FROM pairs),
+        reach AS (SELECT docno AS a, docno AS b FROM sizes UNION SELECT r.a, t.b FROM reach r JOIN ends t ON t.a = r.b),
+        class AS (SELECT docno, md5(string_agg(s, '|' ORDER BY s)) AS c FROM seqs GROUP BY docno),
+        links AS (SELECT x.docno, count(DISTINCT y.c) AS n FROM ends JOIN class x ON x.docno = a JOIN class y ON y.docno = b
+                  WHERE x.c <> y.c GROUP BY ALL)
+        SELECT a AS docno, min(b) AS group_id, coalesce(any_value(l.n), 0) AS n_links
+        FROM reach LEFT JOIN links l ON l.docno = a GROUP BY a""",
     "p2_found": _BEST + "SELECT qid, did FROM ranked WHERE rank <= 10",
     "p2_topn": _BEST + "SELECT qid, did, rank, score FROM ranked WHERE rank <= 10",
     "p6_found": _TERMS + """

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsearch.functions.text import clean_key
-from quillsearch.llm import neardup, termfreq, topn
+from quillsearch.llm import aq, neardup, termfreq, topn
 from quillsearch.llm.sql import ORACLES  # noqa: F401
 from quillsearch.session import table
 
@@ -58,4 +58,17 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(found).select(F.col("id").alias("docno"), "group_id", "n_links")
 
 
-QUERIES = {"p2_found": p2_found, "p2_topn": p2_topn, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_frequencies": p6_frequencies}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of files of which one is among the 5 most similar of the other, with a cosine of at least 0.85."""
+    near = aq.similar_vectors(table(spark, sf_dir, "lsi_matrix"), "docno", "vec", 128, 5, 0.85)
+    return near.select(F.least("a", "b").alias("docno_a"), F.greatest("a", "b").alias("docno_b")).distinct()
+
+
+def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar files of every file whose docno is divisible by 100."""
+    vectors = table(spark, sf_dir, "lsi_matrix")
+    near = aq.search(vectors, vectors.where(F.col("docno") % 100 == 0), "docno", "vec", 128, 5)
+    return near.select(F.col("a").alias("docno"), F.col("b").alias("similar"), "cos")
+
+
+QUERIES = {"p2_found": p2_found, "p2_topn": p2_topn, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_search": p5_search, "p6_found": p6_found, "p6_frequencies": p6_frequencies}

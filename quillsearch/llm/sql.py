@@ -31,7 +31,18 @@ pairs AS (SELECT docno_a, docno_b FROM shared s JOIN sizes x ON x.docno = docno_
           WHERE 2 * s.n >= x.n + y.n - s.n)
 """
 
+_COSINES = """
+WITH vecs AS (
+  SELECT docno, any_value([x::DOUBLE FOR x IN vec]) AS v FROM lsi_matrix
+  WHERE vec IS NOT NULL AND len(vec) = 128 AND len([x FOR x IN vec IF x IS NULL OR isnan(x)]) = 0
+    AND len([x FOR x IN vec IF x <> 0]) > 0
+  GROUP BY docno),
+cosines AS (SELECT a.docno AS a, b.docno AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cos FROM vecs a JOIN vecs b ON a.docno <> b.docno),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS rank FROM cosines)
+"""
+
 ORACLES = {
+    "p5_found": _COSINES + "SELECT DISTINCT least(a, b) AS docno_a, greatest(a, b) AS docno_b FROM ranked WHERE rank <= 5 AND cos >= 0.85",
     "p3_found": _VERSIONS + "SELECT docno_a, docno_b FROM pairs",
     "p3_groups": _VERSIONS + """,
         ends AS (SELECT docno_a AS a, docno_b AS b FROM pairs UNION ALL SELECT docno_b, docno_a FROM pairs),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsearch.functions.text import clean_key
-from quillsearch.llm import aq, neardup, termfreq, topn
+from quillsearch.llm import aq, leak, neardup, termfreq, topn
 from quillsearch.llm.sql import ORACLES  # noqa: F401
 from quillsearch.session import table
 
@@ -71,4 +71,15 @@ def p5_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("a").alias("docno"), F.col("b").alias("similar"), "cos")
 
 
-QUERIES = {"p2_found": p2_found, "p2_topn": p2_topn, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_search": p5_search, "p6_found": p6_found, "p6_frequencies": p6_frequencies}
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least a third of a test item's five-word sequences, and how many they have."""
+    items = table(spark, sf_dir, "test_items")
+    return leak.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "text", 5, Fraction(1, 3))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items and the documents that expose them."""
+    return p7_leaks(spark, sf_dir).select("item_id", "doc_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_topn": p2_topn, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_search": p5_search, "p6_found": p6_found, "p6_frequencies": p6_frequencies, "p7_found": p7_found, "p7_leaks": p7_leaks}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsearch.functions.text import clean_key
-from quillsearch.llm import aq, leak, neardup, termfreq, topn
+from quillsearch.llm import abuse, aq, leak, mix, neardup, termfreq, topn
 from quillsearch.llm.sql import ORACLES  # noqa: F401
 from quillsearch.session import table
 
@@ -82,4 +82,56 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("item_id", "doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_topn": p2_topn, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_search": p5_search, "p6_found": p6_found, "p6_frequencies": p6_frequencies, "p7_found": p7_found, "p7_leaks": p7_leaks}
+def _mixed(spark: SparkSession, sf_dir: str, by: str) -> mix.Mix:
+    docs = mix.sized(table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    return mix.mix(docs, table(spark, sf_dir, "source_weights"), by=by)
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often every document is used so that the sources reach their target shares of the tokens."""
+    return _mixed(spark, sf_dir, "target").uses.withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return _mixed(spark, sf_dir, "target").shares
+
+
+def p8_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of the sources when their natural shares are tempered to the entropy of the targets."""
+    return _mixed(spark, sf_dir, "temperature").shares
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = abuse.fit_on(docs, "doc_id", "text", "lang", table(spark, sf_dir, "review_labels"), "doc_id", "label")
+    return abuse.score_documents(docs, "doc_id", "text", "lang", net)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with abusive, hateful or sexually explicit content."""
+    return _scored(spark, sf_dir).where("flagged").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, and whether it is flagged."""
+    return _scored(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, flagged ones and their share per source."""
+    of = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), mix.source_key(F.col("source")).alias("source"))
+    rows = _scored(spark, sf_dir).join(of, "id")
+    flagged = F.sum(F.col("flagged").cast("long"))
+    return rows.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_docs"), flagged.alias("n_flagged"), F.round(flagged / F.count(F.lit(1)), 6).alias("rate")
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_topn, p3_found, p3_groups, p5_found, p5_search, p6_found, p6_frequencies,
+        p7_found, p7_leaks, p8_mix, p8_shares, p8_temperature, p9_found, p9_scores, p9_rates,
+    )
+}

@@ -43,12 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    This cuts the lineage with files that outlive any executor. The caller may pass
-    the result to :func:`discard` once nothing reads it any more.
+    This cuts the lineage with files that outlive any executor. They are deleted when the
+    driver ends, or by :func:`discard` once nothing reads them any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +66,6 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Partitions for a shuffle of unknown size; AQE merges the small ones."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def parallelism(spark: SparkSession, rows: int = 0, each: int = 1_000_000) -> int:
+    """Partitions for a shuffle of ``rows`` rows: at least the session's, and so many that none has more than about ``each``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))

@@ -77,7 +77,7 @@ def term_frequencies(df: DataFrame, term: str, record: str, part: str, weight: s
         F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias("weight"),
         F.col(version).alias("version"),
     ).where("term is not null")
-    ranges = rows.repartitionByRange(parallelism(df.sparkSession), "term", "record")
+    ranges = rows.repartitionByRange(parallelism(df.sparkSession, df.count()), "term", "record")
     ordered = ranges.sortWithinPartitions("term", "record", "part", F.desc("version")).drop("version")
     parts = ordered.mapInArrow(scan_runs, _SCHEMA)
     return parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("occurrences", "n_rows", "n_docs")])

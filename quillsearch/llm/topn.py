@@ -217,5 +217,5 @@ def top_n(df: DataFrame, group: Column, item: str, score: str, n: int) -> DataFr
     order = [F.desc("score"), "item"]
     schema = "g string, item long, score double, run int"
     runs = rows.sortWithinPartitions("g", *order).mapInArrow(cut_runs(n), schema)
-    buckets = runs.repartition(parallelism(df.sparkSession), "g").sortWithinPartitions("g", "run", *order)
+    buckets = runs.repartition(parallelism(df.sparkSession, df.count()), "g").sortWithinPartitions("g", "run", *order)
     return buckets.mapInArrow(merge_bucket(n), "g string, item long, score double, rank long")

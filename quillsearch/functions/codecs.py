@@ -1,7 +1,8 @@
 """Posting-list codecs: fixed width, variable byte, Elias gamma.
 
-Variable-byte encoding is built-in expressions. Elias gamma and the decoders work on bits of
-whole lists, which string expressions would do in quadratic time; they are numpy on Arrow batches.
+Whole lists are encoded and decoded in numpy on Arrow batches: string expressions would take quadratic
+time for bits, and Catalyst can't be relied on to extract a Python function whose argument has nested
+lambdas. :func:`vbe_encode` is the variable-byte code as built-in expressions.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ CODECS = ("standard", "vbe", "elias-gamma")
 
 
 def gaps(ids: Column) -> Column:
-    """The first id, then differences between neighbours of an ascending list."""
-    return F.transform(ids, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(ids, i - 1)))
+    """The first id, then differences between neighbours of an ascending list, in one pass."""
+    shifted = F.slice(F.concat(F.array(F.lit(0).cast("bigint")), ids), F.lit(1), F.size(ids))
+    return F.zip_with(ids, shifted, lambda x, before: x - before)
 
 
 def bit_length(n: Column) -> Column:
@@ -37,7 +39,7 @@ def vbe_number(n: Column) -> Column:
             F.sequence(vbe_bytes(n) - 1, F.lit(0).cast("long"), F.lit(-1).cast("long")),
             lambda i: F.lpad(
                 F.hex(
-                    F.floor(n / F.pow(F.lit(128.0), i)).cast("long").bitwiseAND(F.lit(127).cast("long"))
+                    F.call_function("shiftright", n, (i * 7).cast("int")).bitwiseAND(F.lit(127).cast("long"))
                     + F.when(i == 0, F.lit(128)).otherwise(F.lit(0))
                 ),
                 2,
@@ -53,8 +55,21 @@ def vbe_encode(numbers: Column) -> Column:
     return F.unhex(F.array_join(F.transform(numbers, vbe_number), ""))
 
 
-def vbe_encode_ids(ids: Column) -> Column:
-    return vbe_encode(gaps(ids))
+def _widths(numbers: np.ndarray) -> np.ndarray:
+    """Bits of each number, at least 1."""
+    width = np.frexp(np.maximum(numbers, 1).astype(np.float64))[1].astype(np.int64)
+    return width - ((np.maximum(numbers, 1) >> np.minimum(width - 1, 62)) == 0)
+
+
+def _vbe(numbers: np.ndarray) -> bytes:
+    n = (_widths(numbers) + 6) // 7
+    end = np.repeat(np.cumsum(n) - 1, n)
+    left = end - np.arange(n.sum())
+    return (((np.repeat(numbers, n) >> (7 * left)) & 127) | np.where(left == 0, 128, 0)).astype(np.uint8).tobytes()
+
+
+def _gaps(ids: np.ndarray) -> np.ndarray:
+    return np.diff(ids, prepend=0)
 
 
 def _vbe_numbers(data: bytes) -> np.ndarray:
@@ -75,8 +90,7 @@ def _gamma(numbers: np.ndarray) -> bytes:
     head = np.frombuffer(np.array([n], ">u4").tobytes(), np.uint8)
     if not n:
         return head.tobytes()
-    width = np.frexp(numbers.astype(np.float64))[1].astype(np.int64)
-    width -= (numbers >> np.minimum(width - 1, 62)) == 0
+    width = _widths(numbers)
     size = 2 * width - 1
     start = np.cumsum(size) - size
     at = np.repeat(start + width - 1, width) + (np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width))
@@ -110,62 +124,94 @@ def _gamma_numbers(data: bytes) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _each(convert):
+    return lambda column: column.map(lambda x: None if x is None else convert(x))
+
+
+def _numbers(x) -> np.ndarray:
+    return np.asarray(x, np.int64)
+
+
 @pandas_udf(BinaryType())
-def gamma_encode(numbers: pd.Series) -> pd.Series:
-    """Count in four bytes, then the codes of numbers of at least 1, padded with zero bits."""
-    return numbers.map(lambda x: None if x is None else _gamma(np.asarray(x, np.int64)))
+def standard_encode(numbers: pd.Series) -> pd.Series:
+    """Eight bytes a number, little endian."""
+    return _each(lambda x: np.asarray(x, "<i8").tobytes())(numbers)
 
 
 @pandas_udf(ArrayType(LongType()))
-def gamma_decode(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else _gamma_numbers(x))
+def standard_decode(data: pd.Series) -> pd.Series:
+    return _each(lambda x: np.frombuffer(x, "<i8").astype(np.int64))(data)
+
+
+@pandas_udf(BinaryType())
+def vbe_pack(numbers: pd.Series) -> pd.Series:
+    return _each(lambda x: _vbe(_numbers(x)))(numbers)
+
+
+@pandas_udf(BinaryType())
+def vbe_pack_ids(ids: pd.Series) -> pd.Series:
+    """The first id, then gaps."""
+    return _each(lambda x: _vbe(_gaps(_numbers(x))))(ids)
 
 
 @pandas_udf(ArrayType(LongType()))
 def vbe_decode(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else _vbe_numbers(x))
+    return _each(_vbe_numbers)(data)
 
 
 @pandas_udf(ArrayType(LongType()))
-def running_sum(numbers: pd.Series) -> pd.Series:
-    """Ids from gaps."""
-    return numbers.map(lambda x: None if x is None else np.cumsum(np.asarray(x, np.int64)))
+def vbe_decode_ids(data: pd.Series) -> pd.Series:
+    return _each(lambda x: np.cumsum(_vbe_numbers(x)))(data)
 
 
 @pandas_udf(BinaryType())
-def standard_encode(numbers: pd.Series) -> pd.Series:
-    """Eight bytes a number, little endian."""
-    return numbers.map(lambda x: None if x is None else np.asarray(x, "<i8").tobytes())
+def gamma_encode(numbers: pd.Series) -> pd.Series:
+    """Count in four bytes, then the codes of numbers of at least 1, padded with zero bits."""
+    return _each(lambda x: _gamma(_numbers(x)))(numbers)
+
+
+@pandas_udf(BinaryType())
+def gamma_encode_ids(ids: pd.Series) -> pd.Series:
+    """Gaps plus 1, so that id 0 has a code."""
+    return _each(lambda x: _gamma(_gaps(_numbers(x)) + 1))(ids)
 
 
 @pandas_udf(ArrayType(LongType()))
-def standard_decode(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else np.frombuffer(x, "<i8").astype(np.int64))
+def gamma_decode(data: pd.Series) -> pd.Series:
+    return _each(_gamma_numbers)(data)
+
+
+@pandas_udf(ArrayType(LongType()))
+def gamma_decode_ids(data: pd.Series) -> pd.Series:
+    return _each(lambda x: np.cumsum(_gamma_numbers(x) - 1))(data)
+
+
+_CODES = {
+    "standard": (standard_encode, standard_decode, standard_encode, standard_decode),
+    "vbe": (vbe_pack_ids, vbe_decode_ids, vbe_pack, vbe_decode),
+    "elias-gamma": (gamma_encode_ids, gamma_decode_ids, gamma_encode, gamma_decode),
+}
+
+
+def _code(codec: str, which: int):
+    if codec not in _CODES:
+        raise ValueError(f"codec is one of {CODECS}, not {codec!r}")
+    return _CODES[codec][which]
 
 
 def encode_ids(codec: str, ids: Column) -> Column:
-    if codec == "standard":
-        return standard_encode(ids)
-    if codec == "vbe":
-        return vbe_encode_ids(ids)
-    if codec == "elias-gamma":
-        return gamma_encode(F.transform(gaps(ids), lambda x: x + 1))
-    raise ValueError(f"codec is one of {CODECS}, not {codec!r}")
+    """Bytes of an ascending list of ids."""
+    return _code(codec, 0)(ids)
 
 
 def decode_ids(codec: str, data: Column) -> Column:
-    if codec == "standard":
-        return standard_decode(data)
-    if codec == "vbe":
-        return running_sum(vbe_decode(data))
-    if codec == "elias-gamma":
-        return running_sum(F.transform(gamma_decode(data), lambda x: x - 1))
-    raise ValueError(f"codec is one of {CODECS}, not {codec!r}")
+    return _code(codec, 1)(data)
 
 
 def encode_counts(codec: str, tf: Column) -> Column:
-    return {"standard": standard_encode, "vbe": vbe_encode, "elias-gamma": gamma_encode}[codec](tf)
+    """Bytes of a list of frequencies."""
+    return _code(codec, 2)(tf)
 
 
 def decode_counts(codec: str, data: Column) -> Column:
-    return {"standard": standard_decode, "vbe": vbe_decode, "elias-gamma": gamma_decode}[codec](data)
+    return _code(codec, 3)(data)

@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from quillsearch.functions import scoring
 from quillsearch.functions.text import words_by_space
 from quillsearch.operators.index import Index
-from quillsearch.session import stored
+from quillsearch.session import parallelism, stored
 
 #: Scores are rounded to this many decimals before ranking, so ties don't depend on the order of a sum.
 DECIMALS = 6
 #: Query terms are broadcast up to this many rows and shuffled beyond.
 BROADCAST_ROWS = 200_000
-#: Highest-bound terms of a query whose scores alone give the pruned plan its threshold.
-LEAD_TERMS = 2
+#: Pairs of query and document a partition should sum, about, and most partitions for them.
+PAIRS, MAX_PARTS = 2_000_000, 10_000
+#: The pruned plan's floor comes from a query's terms of highest bound that together have this many documents for each wanted one.
+LEAD_DOCS = 20
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -42,9 +44,30 @@ def term_bounds(index: Index, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     )
 
 
+def _rows(df: DataFrame) -> int:
+    """Number of rows, counted up to one more than may be broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count()
+
+
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast a table whose row count was checked; else leave the join to the optimizer."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if _rows(df) <= BROADCAST_ROWS else df
+
+
+def _hits(index: Index, terms: DataFrame) -> DataFrame:
+    """Postings of query terms, partitioned by document where the terms can be broadcast.
+
+    Only postings of query terms are shuffled, not the far more numerous pairs of query and
+    document: all of a pair is then in one partition, so its sum and the first cut to the
+    best documents need no shuffle.
+    """
+    n = _rows(terms)
+    if n > BROADCAST_ROWS:
+        return index.postings.join(terms, "term")
+    asked = index.postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
+    spark = index.postings.sparkSession
+    parts = min(MAX_PARTS, parallelism(spark, n * index.n_docs // 4, PAIRS))
+    return asked.repartition(parts, "doc_id").join(F.broadcast(terms), "term")
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -64,13 +87,13 @@ def top_k(
 ) -> DataFrame:
     """``(qid, rank, doc_id, score)``: the ``k`` best documents of every query that any of its words occurs in.
 
-    One plan for all queries: query terms meet their postings, scores add up by partial
-    aggregates, and the window keeps ``k`` rows per query before it shuffles. Order: score
+    One plan for all queries: postings of query terms are partitioned by document, scores add up
+    inside the partitions, and each gives ``k`` rows a query to the last window. Order: score
     descending, then document id. Documents with score 0 are kept. A query without a known word has no rows.
     """
     mode, k = scoring.checked(mode), _checked(k)
     terms = weighted_terms(index, queries, mode).select("qid", "term", "qtf", "idf")
-    hits = index.postings.join(_small(terms), "term")
+    hits = _hits(index, terms)
     part = scoring.term(mode, F.col("idf"), F.col("tf"), F.col("dl"), F.lit(index.avg_dl), k1, b) * F.col("qtf")
     scores = hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
     return _ranked(scores, k)
@@ -81,8 +104,8 @@ def pruned_top_k(
 ) -> DataFrame:
     """The rows of :func:`top_k`, scoring fewer documents.
 
-    1. A query's ``LEAD_TERMS`` terms of highest bound are scored alone; the k-th best such
-       score is a floor for the k-th best score (no floor with fewer than ``k`` documents).
+    1. A query's terms of highest bound, until they have ``LEAD_DOCS`` x ``k`` documents, are scored
+       alone; the k-th best such score is a floor for the k-th best score (no floor with fewer than ``k`` documents).
     2. Terms in ascending order of bound whose bounds together stay below the floor can't lift a
        document to it by themselves. Only postings of the other terms name candidates.
     3. Candidates are scored in full, by a join on (term, document).
@@ -92,17 +115,18 @@ def pruned_top_k(
     least = F.lit(max(1, index.min_dl))
     avg = F.lit(index.avg_dl)
     bound = scoring.term(mode, F.col("idf"), F.col("max_tf"), least, avg, k1, b) * F.col("qtf")
-    terms = stored(terms.withColumn("ub", bound).select("qid", "term", "qtf", "idf", "ub"), "query-terms")
+    terms = stored(terms.withColumn("ub", bound).select("qid", "term", "qtf", "idf", "ub", "df"), "query-terms")
     part = scoring.term(mode, F.col("idf"), F.col("tf"), F.col("dl"), avg, k1, b) * F.col("qtf")
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("ub"), "term"))
-    lead = terms.withColumn("r", rank).where(F.col("r") <= LEAD_TERMS)
-    some = index.postings.join(_small(lead), "term").groupBy("qid", "doc_id").agg(F.sum(part).alias("s"))
+    down = Window.partitionBy("qid").orderBy(F.desc("ub"), "term").rowsBetween(Window.unboundedPreceding, -1)
+    lead = terms.withColumn("before", F.coalesce(F.sum("df").over(down), F.lit(0))).where(F.col("before") < LEAD_DOCS * k)
+    lead = lead.select("qid", "term", "qtf", "idf")
+    some = _hits(index, lead).groupBy("qid", "doc_id").agg(F.sum(part).alias("s"))
     kth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "doc_id"))
     floor = some.withColumn("r", kth).where(F.col("r") == k).select("qid", F.col("s").alias("floor"))
     up = Window.partitionBy("qid").orderBy("ub", "term").rowsBetween(Window.unboundedPreceding, 0)
     marked = terms.join(floor, "qid", "left").withColumn("sum", F.sum("ub").over(up))
     needed = marked.where(F.col("floor").isNull() | (F.col("sum") >= F.col("floor") - 1e-5)).select("qid", "term")
-    candidates = index.postings.join(_small(needed), "term").select("qid", "doc_id").distinct()
+    candidates = _hits(index, needed).select("qid", "doc_id").distinct()
     pairs = candidates.join(_small(terms.select("qid", "term", "qtf", "idf")), "qid")
     scores = pairs.join(index.postings, ["term", "doc_id"]).groupBy("qid", "doc_id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
     return _ranked(scores, k)

@@ -15,7 +15,7 @@ from quillsearch.operators.index import occurrences
 from quillsearch.session import stored
 
 #: Documents on which the singular vectors are fitted, at most. Smaller collections are decomposed exactly.
-FIT_DOCS = 3_072
+FIT_DOCS = 2_048
 #: Query vectors sent to the executors at a time.
 QUERY_BLOCK = 2_048
 
@@ -133,12 +133,7 @@ class LsiIndex:
         words = t.column("term").combine_chunks().dictionary_encode()
         col, w = words.indices.to_numpy(), t.column("w").to_numpy()
         size = int(row.max()) + 1
-        gram = np.zeros((size, size))
-        order = np.argsort(col, kind="stable")
-        ends = np.cumsum(np.bincount(col))
-        for lo, hi in zip(np.concatenate([[0], ends[:-1]]), ends):
-            at = order[lo:hi]
-            gram[np.ix_(row[at], row[at])] += np.outer(w[at], w[at])
+        gram = _inner_products(row, col, w, size)
         value, vec = np.linalg.eigh(gram)
         value, vec = value[::-1][:most], vec[:, ::-1][:, :most]
         keep = value > 1e-10 * value[0]
@@ -146,8 +141,10 @@ class LsiIndex:
         # V = A' U / sigma
         v = np.zeros((len(words.dictionary), len(value)))
         order = np.argsort(col, kind="stable")
-        add = w[order, None] * vec[row[order]]
-        v[np.unique(col)] = np.add.reduceat(add, np.concatenate([[0], np.cumsum(np.bincount(col))[:-1]]), axis=0)
+        present, first = np.unique(col[order], return_index=True)
+        for lo in range(0, len(value), 16):
+            own = slice(lo, lo + 16)
+            v[present, own] = np.add.reduceat(w[order, None] * vec[row[order], own], first, axis=0)
         v /= np.sqrt(value)
         spark = docs.sparkSession
         lists = pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1], pa.array(v.astype(np.float32).ravel()))
@@ -182,6 +179,26 @@ class LsiIndex:
         return got.join(names, got["qid"] == names["n"]).select(names["qid"], "rank", F.col("id").alias("doc_id"), "score")
 
 
+def _inner_products(row: np.ndarray, col: np.ndarray, w: np.ndarray, size: int, often: int = 64) -> np.ndarray:
+    """Products of all rows of a sparse matrix: frequent columns as dense blocks, the others one by one."""
+    gram = np.zeros((size, size))
+    count = np.bincount(col)
+    dense = np.flatnonzero(count >= often)
+    at = np.full(len(count), -1)
+    at[dense] = np.arange(len(dense))
+    for lo in range(0, len(dense), 1024):
+        own = (at[col] >= lo) & (at[col] < lo + 1024)
+        block = np.zeros((size, min(1024, len(dense) - lo)))
+        block[row[own], at[col[own]] - lo] = w[own]
+        gram += block @ block.T
+    order = np.argsort(col, kind="stable")
+    ends = np.cumsum(count)
+    for c in np.flatnonzero((count > 0) & (count < often)):
+        part = order[ends[c] - count[c] : ends[c]]
+        gram[np.ix_(row[part], row[part])] += np.outer(w[part], w[part])
+    return gram
+
+
 def _project(vectors: DataFrame, terms: DataFrame) -> DataFrame:
     """Sum of each document's weighted term projections, scaled to length 1. Rows of a document stay in its partition."""
     width = len(terms.select("v").head()[0])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillsearch.session import stored
+
 
 def dense_ids(terms: DataFrame) -> DataFrame:
     """``(term, term_id)``: ids from 0 in the order of the terms, without bringing the terms into one task.
@@ -14,9 +16,9 @@ def dense_ids(terms: DataFrame) -> DataFrame:
     """
     spark = terms.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the partition number is part of the rows, so both uses below see the same ranges
-    rows = terms.select("term").where("term is not null").distinct().repartitionByRange(n, "term").sortWithinPartitions("term")
-    rows = rows.select("term", F.spark_partition_id().alias("part"))
+    rows = terms.select("term").where("term is not null").distinct().repartitionByRange(n, "term")
+    # written once, so that both uses below see the same ranges
+    rows = stored(rows.select("term", F.spark_partition_id().alias("part")), "ranges")
     at = F.row_number().over(Window.partitionBy("part").orderBy("term"))
     sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -41,9 +43,10 @@ def radix_nodes(terms: DataFrame) -> DataFrame:
     comparison of all nodes with each other.
     """
     words = terms.select("term").where("term is not null").distinct()
-    # neighbours within a first letter; terms of different first letters meet only in the root
-    order = Window.partitionBy(F.substring("term", 1, 1)).orderBy("term")
-    inner = words.withColumn("next", F.lead("term").over(order)).where("next is not null")
+    # neighbours in the order of the terms meet by their dense ids
+    ids = stored(dense_ids(words), "ids")
+    after = ids.select((F.col("term_id") - 1).alias("term_id"), F.col("term").alias("next"))
+    inner = ids.join(after, "term_id")
     inner = inner.withColumn("n", common_prefix(F.col("term"), F.col("next"))).select(F.expr("substring(term, 1, n)").alias("node"))
     root = terms.sparkSession.createDataFrame([("",)], "node string")
     nodes = (

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsearch.llm.plain import folded
+from quillsearch.session import stored
 
 #: Labelled documents used for fitting, at most, of each class.
 FIT_UNFIT, FIT_CLEAN = 3_000, 6_000
@@ -21,8 +22,8 @@ SLOTS, DIM, WIDTHS, FILTERS = 1 << 16, 24, (1, 2, 3, 4), 24
 EPOCHS, BATCH, SEED = 9, 64, 11
 #: Labelled documents a language needs for a threshold of its own, and unfit ones before its doubtful labels are dropped as plainly wrong.
 LEAST_LABELS, SURE_LABELS = 150, 300
-#: Documents of the corpus, labelled or not, that show how often reviewers chose unfit ones.
-PRIOR_SAMPLE = 4_000
+#: Score beyond which a document counts as unfit when their share is taken.
+SURE = 0.9
 
 # fixed values: characters written for letters
 _LEET = str.maketrans("013457@$", "oieastas")
@@ -228,14 +229,29 @@ def scores(net: Net, docs: list[list[str]]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0)
 
 
+@dataclass(frozen=True)
+class Held:
+    """Trusted labels with their languages and out-of-half scores, and the share of unfit ones by the final net."""
+
+    score: np.ndarray
+    label: np.ndarray
+    language: np.ndarray
+    often: float
+
+
 def fit(docs: list[list[str]], label: np.ndarray, language: list[str], corpus: list[list[str]]) -> Net:
-    """Train on labels of which some are wrong, and calibrate thresholds by language.
+    """Train and calibrate on a corpus that is at hand as a whole."""
+    net, held = train_trusted(docs, label, language)
+    calibrate(net, held, _share(scores(net, corpus)))
+    return net
+
+
+def train_trusted(docs: list[list[str]], label: np.ndarray, language: list[str]) -> tuple[Net, Held]:
+    """Train on labels of which some are wrong.
 
     Two nets, each trained on one half, judge the other half. Labels that such a net plainly
     contradicts are left out when the final net is trained; in languages with few unfit documents
-    the contradiction has to be stronger. Thresholds maximise F1 on the out-of-half scores, for
-    each language with ``LEAST_LABELS`` labels, else over all. Clean documents weigh in it
-    as they would in the corpus: ``corpus``, a sample of it, tells how much rarer unfit ones are there.
+    the contradiction has to be stronger.
     """
     label = label.astype(np.float64)
     lang = np.array(language)
@@ -250,15 +266,28 @@ def fit(docs: list[list[str]], label: np.ndarray, language: list[str], corpus: l
     if label[trusted].sum() < 2:
         trusted = np.arange(len(docs))
     net = train([docs[i] for i in trusted], label[trusted], lang[trusted], SEED + 2)
-    lang, at, y = lang[trusted], held[trusted], label[trusted]
-    often, rare = (np.clip(np.mean(x > 0.9) if len(x) else 0.5, 0.001, 0.999) for x in (scores(net, [docs[i] for i in trusted]), scores(net, corpus)))
+    own = [docs[i] for i in trusted]
+    return net, Held(held[trusted], label[trusted], lang[trusted], _share(scores(net, own)))
+
+
+def _share(score: np.ndarray) -> float:
+    return float(np.mean(score > SURE)) if len(score) else 0.5
+
+
+def calibrate(net: Net, held: Held, rare: float) -> None:
+    """Choose the thresholds by language, ``rare`` being the share of unfit documents in the whole corpus.
+
+    Thresholds maximise F1 on the out-of-half scores, for each language with ``LEAST_LABELS``
+    labels, else over all. Clean documents weigh in it as they would in the corpus, where
+    unfit ones are rarer than among the labelled.
+    """
+    often, rare = (np.clip(x, 0.001, 0.999) for x in (held.often, rare))
     clean = max(1.0, (1 - rare) / (1 - often) * often / rare)
-    net.thresholds = {"*": _best_threshold(at, y, clean)}
-    for one in sorted(set(lang.tolist())):
-        own = lang == one
-        if own.sum() >= LEAST_LABELS and y[own].sum() >= 10:
-            net.thresholds[one] = _best_threshold(at[own], y[own], clean)
-    return net
+    net.thresholds = {"*": _best_threshold(held.score, held.label, clean)}
+    for one in sorted(set(held.language.tolist())):
+        own = held.language == one
+        if own.sum() >= LEAST_LABELS and held.label[own].sum() >= 10:
+            net.thresholds[one] = _best_threshold(held.score[own], held.label[own], clean)
 
 
 def language_of(lang: Column) -> Column:
@@ -267,8 +296,8 @@ def language_of(lang: Column) -> Column:
     return F.coalesce(code, F.lit(""))
 
 
-def fit_on(docs: DataFrame, doc_id: str, text: str, lang: str, reviews: DataFrame, review_id: str, label: str) -> Net | None:
-    """Fit on at most ``FIT_UNFIT`` and ``FIT_CLEAN`` reviewed documents, chosen by a hash of the id; None without labels of both kinds.
+def train_on(docs: DataFrame, doc_id: str, text: str, lang: str, reviews: DataFrame, review_id: str, label: str) -> tuple[Net, Held] | None:
+    """Train on at most ``FIT_UNFIT`` and ``FIT_CLEAN`` reviewed documents, chosen by a hash of the id; None without labels of both kinds.
 
     A document with as many unfit as clean reviews has no label; other labels than the two count as none.
     """
@@ -283,40 +312,66 @@ def fit_on(docs: DataFrame, doc_id: str, text: str, lang: str, reviews: DataFram
     for sign, most in ((1, FIT_UNFIT), (-1, FIT_CLEAN)):
         part = votes.where(F.col("v") * sign > 0).orderBy(F.xxhash64("id"), "id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), language_of(F.col(lang)).alias("lang"))
+    rows = _rows(docs, doc_id, text, lang)
     # at most FIT_UNFIT + FIT_CLEAN ids are broadcast, and as many texts come to the driver
     rows = rows.where("text is not null").join(F.broadcast(chosen), "id").dropDuplicates(["id"])
     got = sorted(rows.select("id", "text", "lang", "v").toLocalIterator(), key=lambda r: r["id"])
     marks = np.array([r["v"] > 0 for r in got])
     if not marks.any() or marks.all():
         return None
-    total = docs.count()
-    share = int(np.ceil(min(1.0, PRIOR_SAMPLE / total) * 1_000_000))
-    some = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    some = some.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).limit(2 * PRIOR_SAMPLE)
-    corpus = [tokens(r["text"]) for r in some.toLocalIterator()]
-    return fit([tokens(r["text"]) for r in got], marks, [r["lang"] for r in got], corpus)
+    return train_trusted([tokens(r["text"]) for r in got], marks, [r["lang"] for r in got])
+
+
+def fit_on(docs: DataFrame, doc_id: str, text: str, lang: str, reviews: DataFrame, review_id: str, label: str) -> Net | None:
+    """The net of :func:`train_on`, with thresholds for the whole of ``docs``."""
+    trained = train_on(docs, doc_id, text, lang, reviews, review_id, label)
+    if trained is None:
+        return None
+    net, held = trained
+    calibrate(net, held, _share_of(_scored(docs, doc_id, text, lang, net)))
+    return net
 
 
 def score_rows(net: Net):
-    """mapInArrow function: ``(id, text, lang)`` to ``(id, score, flagged)``, over whole texts."""
+    """mapInArrow function: ``(id, text, lang)`` to ``(id, lang, score)``, over whole texts; a null text has a null score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[int]] = {}
         for whole in batches:
             for lo in range(0, whole.num_rows, 200):
                 b = whole.slice(lo, 200)
-                docs = [tokens(t or "") for t in b.column("text").to_pylist()]
+                texts = b.column("text").to_pylist()
+                docs = [tokens(t or "") for t in texts]
                 score = net.score(Texts.of(docs, known)).astype(np.float64)
                 score[[not d for d in docs]] = 0
-                cut = np.array([net.thresholds.get(x, net.thresholds["*"]) for x in b.column("lang").to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("id"), pa.array(score), pa.array(score >= cut)], names=["id", "score", "flagged"]
-                )
+                given = pa.array(score, mask=np.array([t is None for t in texts], bool))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), given], names=["id", "lang", "score"])
 
     return run
 
 
+def _rows(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), language_of(F.col(lang)).alias("lang"))
+
+
+def _scored(docs: DataFrame, doc_id: str, text: str, lang: str, net: Net) -> DataFrame:
+    return _rows(docs, doc_id, text, lang).mapInArrow(score_rows(net), "id long, lang string, score double")
+
+
+def _share_of(scored: DataFrame) -> float:
+    """Share of unfit documents among all rows with a text."""
+    share = scored.agg(F.avg((F.col("score") > SURE).cast("int")).alias("share")).head()["share"]
+    return 0.5 if share is None else share
+
+
+def _flagged(scored: DataFrame, net: Net) -> DataFrame:
+    """``(id, score, flagged)`` of scored rows with an id."""
+    cut = F.lit(net.thresholds["*"])
+    own = [F.lit(x) for item in net.thresholds.items() for x in item]
+    score = F.coalesce("score", F.lit(0.0))
+    return scored.where("id is not null").select("id", score.alias("score"), (score >= F.coalesce(F.try_element_at(F.create_map(*own), F.col("lang")), cut)).alias("flagged"))
+
+
 def score_documents(docs: DataFrame, doc_id: str, text: str, lang: str, net: Net | None) -> DataFrame:
     """``(id, score, flagged)`` of every row with an id: the score from 0 to 1, and whether it reaches its language's threshold.
 
@@ -325,9 +380,18 @@ def score_documents(docs: DataFrame, doc_id: str, text: str, lang: str, net: Net
     Defined cases: a null, empty or wordless text scores 0 and isn't flagged; without a net (no
     labels of both kinds) every score is null and nothing is flagged; a row given twice is scored twice.
     """
-    rows = docs.select(
-        F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"), language_of(F.col(lang)).alias("lang")
-    ).where("id is not null")
     if net is None:
+        rows = _rows(docs, doc_id, text, lang).where("id is not null")
         return rows.select("id", F.lit(None).cast("double").alias("score"), F.lit(False).alias("flagged"))
-    return rows.mapInArrow(score_rows(net), "id long, score double, flagged boolean")
+    return _flagged(_scored(docs, doc_id, text, lang, net), net)
+
+
+def fit_and_score(docs: DataFrame, doc_id: str, text: str, lang: str, reviews: DataFrame, review_id: str, label: str) -> DataFrame:
+    """:func:`score_documents` with the net of :func:`fit_on`, every document being scored once."""
+    trained = train_on(docs, doc_id, text, lang, reviews, review_id, label)
+    if trained is None:
+        return score_documents(docs, doc_id, text, lang, None)
+    net, held = trained
+    scored = stored(_scored(docs, doc_id, text, lang, net), "unfit")
+    calibrate(net, held, _share_of(scored))
+    return _flagged(scored, net)

@@ -104,8 +104,7 @@ def p8_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    net = abuse.fit_on(docs, "doc_id", "text", "lang", table(spark, sf_dir, "review_labels"), "doc_id", "label")
-    return abuse.score_documents(docs, "doc_id", "text", "lang", net)
+    return abuse.fit_and_score(docs, "doc_id", "text", "lang", table(spark, sf_dir, "review_labels"), "doc_id", "label")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

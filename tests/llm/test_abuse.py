@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillsearch.llm import abuse
 
@@ -68,3 +69,18 @@ def test_fit_on(spark):
     only = labels.where("label = 'clean'")
     assert abuse.fit_on(docs, "doc_id", "text", "lang", only, "doc_id", "label") is None
     assert {r["flagged"] for r in abuse.score_documents(docs, "doc_id", "text", "lang", None).collect()} == {False}
+
+
+def test_share_of_unfit_is_taken_over_all_documents(spark, monkeypatch):
+    """Documents with a low hash of the id are clean, all others unfit, so a hash sample misleads."""
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 340_000
+    docs = spark.range(12_000).toDF("doc_id").withColumn("low", low)
+    docs = docs.select("doc_id", "low", F.when(F.col("low"), PLAIN[0]).otherwise(RUDE[0]).alias("text"), F.lit("en").alias("lang"))
+    reviews = docs.where("doc_id < 200").select("doc_id", F.when(F.col("low"), "clean").otherwise("unfit").alias("label"))
+    weights, best = [], abuse._best_threshold
+    monkeypatch.setattr(abuse, "_best_threshold", lambda s, y, clean: weights.append(clean) or best(s, y, clean))
+    net = abuse.fit_on(docs, "doc_id", "text", "lang", reviews, "doc_id", "label")
+    assert weights[0] < 1.5
+    got = abuse.fit_and_score(docs, "doc_id", "text", "lang", reviews, "doc_id", "label")
+    assert sorted(got.collect()) == sorted(abuse.score_documents(docs, "doc_id", "text", "lang", net).collect())
+    assert got.where("flagged").count() == docs.where("not low").count()

@@ -85,18 +85,25 @@ def _nearest(ids: np.ndarray, x: np.ndarray, k: int, decimals: int):
                 for lo in range(0, len(ids), 256):
                     q = x[lo : lo + 256]
                     # products preselect, differences give the score to the last digits
-                    far = (q * q).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * q @ y.T
-                    n = min(4 * k + 16, far.shape[1])
-                    some = np.argpartition(far, n - 1, axis=1)[:, :n] if n < far.shape[1] else np.tile(np.arange(n), (len(q), 1))
-                    score = np.empty(some.shape)
+                    qq, yy = (q * q).sum(1)[:, None], (y * y).sum(1)[None, :]
+                    far = qq + yy - 2 * q @ y.T
+                    off = 1e-12 * (qq + yy)
+                    n = min(k, far.shape[1])
+                    # every row that rounding may bring among the k nearest is kept, however many are equal; NaN compares as kept
+                    most = np.partition(far + off, n - 1, axis=1)[:, n - 1] + 10.0**-decimals
+                    some = ~(far - off > most[:, None])
+                    row, near, score = [], [], []
                     for r in range(len(q)):
-                        d = y[some[r]] - q[r]
-                        score[r] = -np.round((d * d).sum(1), decimals) + 0.0
-                    order = np.lexsort((doc[some], -score), axis=1)[:, :k]
-                    row = np.repeat(np.arange(len(q)), order.shape[1])
-                    col = order.ravel()
+                        own = np.flatnonzero(some[r])
+                        d = y[own] - q[r]
+                        s = -np.round((d * d).sum(1), decimals) + 0.0
+                        best = np.lexsort((doc[own], -s))[:k]
+                        row.append(np.full(len(best), r))
+                        near.append(own[best])
+                        score.append(s[best])
+                    row, near, score = np.concatenate(row), np.concatenate(near), np.concatenate(score)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[lo + row]), pa.array(doc[some[row, col]]), pa.array(score[row, col])], names=["qid", "id", "score"]
+                        [pa.array(ids[lo + row]), pa.array(doc[near]), pa.array(score)], names=["qid", "id", "score"]
                     )
 
     return run

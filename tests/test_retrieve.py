@@ -123,3 +123,11 @@ def test_knn(spark, rows):
     assert got == [(1, 1, 1, 0.0), (1, 2, 2, -1.0), (1, 3, 3, -1.0)]
     with pytest.raises(ValueError):
         vector.knn(v, v, 0)
+
+
+def test_knn_of_many_equal_vectors(spark, rows):
+    """More copies in a batch than any fixed number of candidates: the least ids come first."""
+    data = [(5000 - i, [1.0, 2.0]) for i in range(3000)] + [(i, [float(i), 0.0]) for i in range(1, 200)] + [(9000, [1.0, 2.0])]
+    v = spark.createDataFrame(data, "id long, vec array<float>").coalesce(1)
+    got = rows(vector.knn(v, v.where("id = 9000"), 9))
+    assert got == [(9000, r + 1, 2001 + r, 0.0) for r in range(9)]

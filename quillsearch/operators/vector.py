@@ -14,8 +14,10 @@ from quillsearch.functions.text import words_by_pattern
 from quillsearch.operators.index import occurrences
 from quillsearch.session import stored
 
-#: Documents on which the singular vectors are fitted, at most. Smaller collections are decomposed exactly.
+#: Documents on which the singular vectors are fitted first, at most. Smaller collections are decomposed exactly, larger ones refined over all documents.
 FIT_DOCS = 2_048
+#: Passes over all documents that refine the singular vectors of a larger collection.
+ROUNDS = 2
 #: Query vectors sent to the executors at a time.
 QUERY_BLOCK = 2_048
 
@@ -119,11 +121,12 @@ class LsiIndex:
 
     @staticmethod
     def build(docs: DataFrame, components: int = 128) -> LsiIndex:
-        """Fit on at most ``FIT_DOCS`` documents, chosen by a hash of their ids; every document is indexed.
+        """Fit on at most ``FIT_DOCS`` documents, chosen by a hash of their ids; every document and every term is indexed.
 
         The singular vectors come from the eigenvectors of the sampled documents' inner
         products, so a collection of at most ``FIT_DOCS`` is decomposed exactly and without a seed.
-        ``components`` is cut to what documents and terms allow; ValueError for none.
+        In a larger one they start ``ROUNDS`` of subspace iteration over all documents, which
+        give every term of the corpus its projection. ``components`` is cut to what documents and terms allow; ValueError for none.
         """
         weights, n = term_weights(docs)
         weights = stored(weights, "weights")
@@ -156,7 +159,15 @@ class LsiIndex:
         spark = docs.sparkSession
         lists = pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1], pa.array(v.astype(np.float32).ravel()))
         projection = spark.createDataFrame(pa.table({"term": words.dictionary, "v": lists}))
-        terms = stored(weights.join(projection, "term"), "lsi-terms")
+        if n > FIT_DOCS:
+            # scaled by the eigenvalues, so that the columns of A' A V stay of one length
+            projection = _turned(projection, np.diag(1 / value))
+            for _ in range(ROUNDS):
+                projection = _refined(vectors, projection, len(value))
+        # a term that meets no other one is orthogonal to all components
+        zero = F.array_repeat(F.lit(0.0).cast("float"), len(value))
+        terms = weights.join(projection, "term", "left").select("term", "idf", F.coalesce("v", zero).alias("v"))
+        terms = stored(terms, "lsi-terms")
         return LsiIndex(terms, stored(_project(vectors, terms), "lsi-docs"), len(value))
 
     def save(self, path: str) -> None:
@@ -210,16 +221,61 @@ def _project(vectors: DataFrame, terms: DataFrame) -> DataFrame:
     """Sum of each document's weighted term projections, scaled to length 1. Rows of a document stay in its partition."""
     width = len(terms.select("v").head()[0])
     rows = vectors.join(terms.select("term", "v"), "term").select("doc_id", "w", "v")
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_folded(width), "doc_id long, vec array<float>")
+    rows = rows.repartition("doc_id").sortWithinPartitions("doc_id")
+    return rows.mapInArrow(_folded(width, "doc_id", pa.int64()), "doc_id long, vec array<float>")
 
 
-def _folded(width: int):
+def _refined(vectors: DataFrame, projection: DataFrame, width: int) -> DataFrame:
+    """One round of subspace iteration: ``(term, v)`` of all terms, A' A times the given ones, made orthonormal.
+
+    Both products add up inside the partitions of their join before they are shuffled.
+    """
+    rows = vectors.join(projection, "term").select("doc_id", "w", "v").repartition("doc_id").sortWithinPartitions("doc_id")
+    docs = rows.mapInArrow(_folded(width, "doc_id", pa.int64(), False), "doc_id long, vec array<float>")
+    rows = vectors.join(docs.withColumnRenamed("vec", "v"), "doc_id").select("term", "w", "v").sortWithinPartitions("term")
+    parts = rows.mapInArrow(_folded(width, "term", pa.string(), False), "term string, vec array<float>")
+    rows = parts.select("term", F.lit(1.0).alias("w"), F.col("vec").alias("v")).repartition("term").sortWithinPartitions("term")
+    made = stored(rows.mapInArrow(_folded(width, "term", pa.string(), False), "term string, vec array<float>").toDF("term", "v"), "lsi-round")
+    gram = np.zeros((width, width))
+    for r in made.mapInArrow(_gram(width), "g array<double>").toLocalIterator():
+        gram += np.array(r["g"]).reshape(width, width)
+    value, turn = np.linalg.eigh(gram)
+    # a direction of no length stays without one
+    return _turned(made, turn * np.where(value > 1e-12 * value[-1], 1 / np.sqrt(np.maximum(value, 1e-300)), 0))
+
+
+def _gram(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for b in batches:
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["g"])
+
+    return run
+
+
+def _turned(projection: DataFrame, turn: np.ndarray) -> DataFrame:
+    """``(term, v)`` with every vector times a matrix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(turn)) @ turn
+            lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.array(x.astype(np.float32).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("term"), lists], names=["term", "v"])
+
+    return projection.select("term", "v").mapInArrow(run, "term string, v array<float>")
+
+
+def _folded(width: int, key: str, kind: pa.DataType, unit: bool = True):
+    """mapInArrow function: sums of ``w * v`` over rows sorted by ``key``, scaled to length 1 if ``unit``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, total = None, np.zeros(width)
         for b in batches:
             if not b.num_rows:
                 continue
-            doc = b.column("doc_id").to_numpy()
+            doc = b.column(key).to_numpy(zero_copy_only=False)
             x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(doc), width) * b.column("w").to_numpy()[:, None]
             start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
             sums = np.add.reduceat(x, start, axis=0)
@@ -228,17 +284,19 @@ def _folded(width: int):
                 sums[0] += total
             elif last is not None:
                 ids, sums = np.concatenate([[last], ids]), np.concatenate([total[None, :], sums])
-            last, total = int(ids[-1]), sums[-1]
+            last, total = ids[-1], sums[-1]
             if len(ids) > 1:
                 yield batch(ids[:-1], sums[:-1])
         if last is not None:
             yield batch(np.array([last]), total[None, :])
 
     def batch(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        norm = np.linalg.norm(x, axis=1)
-        ok = norm > 1e-12
-        ids, x = ids[ok], (x[ok] / norm[ok, None]).astype(np.float32)
+        if unit:
+            norm = np.linalg.norm(x, axis=1)
+            ok = norm > 1e-12
+            ids, x = ids[ok], x[ok] / norm[ok, None]
+        x = x.astype(np.float32)
         lists = pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * width, pa.array(x.ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["doc_id", "vec"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), lists], names=[key, "vec"])
 
     return run

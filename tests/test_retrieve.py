@@ -131,3 +131,15 @@ def test_knn_of_many_equal_vectors(spark, rows):
     v = spark.createDataFrame(data, "id long, vec array<float>").coalesce(1)
     got = rows(vector.knn(v, v.where("id = 9000"), 9))
     assert got == [(9000, r + 1, 2001 + r, 0.0) for r in range(9)]
+
+
+def test_lsi_keeps_words_outside_the_fit(spark, monkeypatch):
+    """Every document has a word of its own: also those that aren't in the sample are found by it."""
+    monkeypatch.setattr(vector, "FIT_DOCS", 20)
+    docs = spark.createDataFrame([(d, f"{t} own{d}") for d, t in DOCS.items()], "doc_id long, text string")
+    own = spark.createDataFrame([(f"q{d}", f"own{d}") for d in DOCS], "qid string, text string")
+    lsi = vector.LsiIndex.build(docs, 16)
+    assert lsi.terms.count() == len({w for t in DOCS.values() for w in t.split()}) + len(DOCS)
+    found = lsi.query(own, 10).collect()
+    assert {r["qid"] for r in found} == {f"q{d}" for d in DOCS}
+    assert sum(r["qid"] == f"q{r['doc_id']}" for r in found) >= 0.8 * len(DOCS)

@@ -21,7 +21,7 @@ MAX_FIRST = 2_048
 FINE, LEVELS = 256, 6
 #: Beam width of the encoder, and number of cells in which a vector is kept.
 BEAM, SPILL = 4, 3
-#: Candidates of a vector that are reranked exactly, and by how much a looked-up cosine may fall short of the least wanted one.
+#: Candidates of a vector that are reranked exactly at first, and by how much a looked-up cosine may fall short of the least wanted one.
 RERANK, SLACK = 512, 0.12
 #: Rows of a shuffle partition of cells, about.
 CELL_ROWS = 50_000
@@ -257,6 +257,14 @@ def score_cells(q: Quantiser, dim: int, k: int, least: float):
             row, col = np.nonzero(np.take_along_axis(est, short, 1) > -2)
             other = short[row, col]
             cos = _exact(full, own[row], other)
+            # beyond the first ones, all whose estimate comes near the k-th best cosine
+            first = np.full(short.shape, -2.0)
+            first[row, col] = cos
+            floor = np.maximum(np.partition(first, -min(k, r), axis=1)[:, -min(k, r)], least) - SLACK
+            np.put_along_axis(est, short, -2, axis=1)
+            more, further = np.nonzero(est >= floor[:, None])
+            row, other = np.concatenate([row, more]), np.concatenate([other, further])
+            cos = np.concatenate([cos, _exact(full, own[more], further)])
             good = cos >= least
             row, other, cos = row[good], other[good], cos[good]
             order = np.lexsort((least_id[other], -cos, row))
@@ -314,7 +322,7 @@ def similar_vectors(df: DataFrame, doc_id: str, vec: str, dim: int, k: int, leas
 
     Cosines are exact in double precision, rounded to 6 decimals; equal ones rank by smaller
     id. Candidates come from the cells a vector is kept in (its ``SPILL`` nearest), scored by
-    table lookup on the codes; the ``RERANK`` best are computed exactly.
+    table lookup on the codes; the ``RERANK`` best and all others within ``SLACK`` of the ``k``-th best are computed exactly.
 
     Defined cases: null, incomplete, all-zero, NaN or infinite vectors and null ids take no
     part; an id delivered again with the same vector counts once; ids of equal vectors are
@@ -342,39 +350,40 @@ def similar_vectors(df: DataFrame, doc_id: str, vec: str, dim: int, k: int, leas
     return direct.unionByName(wide)
 
 
-def scan_for(q: Quantiser, dim: int, ids: np.ndarray, vectors: np.ndarray, k: int):
-    """mapInArrow function over ``(id, vec)``: best rows of each batch for a block of query vectors.
+def scan_for(dim: int, ids: np.ndarray, vectors: np.ndarray, k: int):
+    """mapInArrow function over ``(id, vec, class)``: the ``k`` best rows of each batch for a block of query vectors.
 
-    Every row is coded and scored by lookup for every query; the ``RERANK`` best of a batch
-    are computed exactly and its ``k`` best go on.
+    Products of all rows with all queries preselect; every row that rounding may bring
+    among the ``k`` best is kept, however many are equal.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cross = q.cross()
         want = vectors / np.linalg.norm(vectors, axis=1)[:, None]
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
-                raw = _matrix(b.column("vec"), dim).astype(np.float64)
-                doc, first = np.unique(b.column("id").to_numpy(), return_index=True)
-                full = raw[first] / np.linalg.norm(raw[first], axis=1)[:, None]
-                code, norm, _ = encode(q, cross, full.astype(np.float32))
+                # a row given again counts once
+                both = np.stack([b.column("id").to_numpy(), b.column("class").to_numpy()], axis=1)
+                once, first = np.unique(both, axis=0, return_index=True)
+                doc = once[:, 0]
+                raw = _matrix(b.column("vec"), dim)[first].astype(np.float64)
+                full = raw / np.linalg.norm(raw, axis=1)[:, None]
                 for lo in range(0, len(ids), 256):
                     own, block = ids[lo : lo + 256], want[lo : lo + 256]
-                    est = _looked_up(q, block.astype(np.float32), code, norm)
-                    est[own[:, None] == doc[None, :]] = -2
-                    r = min(RERANK, est.shape[1])
-                    short = np.argpartition(-est, r - 1, axis=1)[:, :r]
-                    cos = np.round(np.einsum("qd,qrd->qr", block, full[short]), 6)
-                    cos[np.take_along_axis(est, short, 1) <= -2] = -2
-                    order = np.lexsort((doc[short], -cos), axis=1)[:, :k]
-                    row = np.repeat(np.arange(len(own)), order.shape[1])
-                    pick = order.ravel()
-                    ok = cos[row, pick] > -2
-                    row, pick = row[ok], pick[ok]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[row]), pa.array(doc[short[row, pick]]), pa.array(cos[row, pick])], names=["a", "b", "cos"]
-                    )
+                    near = block @ full.T
+                    near[own[:, None] == doc[None, :]] = -2
+                    n = min(k, near.shape[1])
+                    floor = np.maximum(np.partition(near, -n, axis=1)[:, -n], -1.5) - 2e-6
+                    row, pick, cos = [], [], []
+                    for r in range(len(own)):
+                        some = np.flatnonzero(near[r] >= floor[r])
+                        c = np.round(np.einsum("rd,d->r", full[some], block[r]), 6)
+                        best = np.lexsort((doc[some], -c))[:k]
+                        row.append(np.full(len(best), r))
+                        pick.append(some[best])
+                        cos.append(c[best])
+                    row, pick, cos = np.concatenate(row), np.concatenate(pick), np.concatenate(cos)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[row]), pa.array(doc[pick]), pa.array(cos)], names=["a", "b", "cos"])
 
     return run
 
@@ -387,23 +396,19 @@ def search(df: DataFrame, queries: DataFrame, doc_id: str, vec: str, dim: int, k
     """The ``k`` most similar rows of ``df`` for every query vector: ``(a, b, cos)``, ranked as in :func:`similar_vectors`.
 
     Queries are a stated subset with its own ids and go through the whole table in blocks of
-    ``QUERY_BLOCK`` vectors, each block broadcast within a fixed size. Cells aren't used,
-    so dissimilar neighbours are found as well.
+    ``QUERY_BLOCK`` vectors, each block broadcast within a fixed size. Neither cells nor codes
+    are used, so dissimilar neighbours are found as well and the result is exact.
     """
     spark = df.sparkSession
     rows = valid_vectors(df, doc_id, vec, dim)
-    q = fit_on(rows, rows.count(), dim)
-    empty = spark.createDataFrame([], "a long, b long, cos double")
-    if q is None:
-        return empty
     asked = valid_vectors(queries, doc_id, vec, dim).groupBy("id").agg(F.first("vec").alias("vec"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = empty
+    found = spark.createDataFrame([], "a long, b long, cos double")
     for i in range(blocks):
         t = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow().combine_chunks()
         if not t.num_rows:
             continue
         ids, vectors = t.column("id").to_numpy(), _matrix(t.column("vec").combine_chunks(), dim).astype(np.float64)
-        found = found.unionByName(rows.select("id", "vec").mapInArrow(scan_for(q, dim, ids, vectors, k), "a long, b long, cos double"))
+        found = found.unionByName(rows.mapInArrow(scan_for(dim, ids, vectors, k), "a long, b long, cos double"))
     order = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")

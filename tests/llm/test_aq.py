@@ -82,3 +82,24 @@ def test_two_level_cells(monkeypatch):
     assert q.prefix == 2
     _, _, cells = aq.encode(q, q.cross(), x)
     assert len(np.unique(cells[:, 0])) > 4 and (cells[:, 0] != cells[:, 1]).all()
+
+
+def test_search_among_many_copies(spark):
+    """More copies in a batch than are reranked: those with the least ids come first, once each."""
+    rng = np.random.default_rng(5)
+    same = np.float32(rng.standard_normal(DIM)).tolist()
+    rows = [(9000 - i, same) for i in range(2500)] + [(i, np.float32(rng.standard_normal(DIM)).tolist()) for i in range(1, 300)]
+    rows += [r for r in rows if r[0] in (6501, 6502)] * 4
+    df = spark.createDataFrame(rows, "docno long, vec array<float>").coalesce(1)
+    got = [(r["b"], r["cos"]) for r in aq.search(df, df.where("docno = 9000"), "docno", "vec", DIM, 5).collect()]
+    assert sorted(got) == [(i, 1.0) for i in range(6501, 6506)]
+
+
+def test_similar_vectors_in_a_dense_cell(spark):
+    """More different vectors of one direction than are reranked at first."""
+    rng = np.random.default_rng(6)
+    one = rng.standard_normal(DIM)
+    rows = [(9000 - i, np.float32(one * (1 + i / 7)).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "docno long, vec array<float>")
+    got = {(r["a"], r["b"]) for r in aq.similar_vectors(df, "docno", "vec", DIM, 5, 0.85).collect()}
+    assert got == brute(rows, 5, 0.85)

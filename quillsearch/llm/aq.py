@@ -25,7 +25,7 @@ BEAM, SPILL = 4, 3
 RERANK, SLACK = 512, 0.12
 #: Rows of a shuffle partition of cells, about.
 CELL_ROWS = 50_000
-#: Documents of one exact vector that are named with it; a class with more is expanded by a join.
+#: Documents of one exact vector that are named with it, at least, and always more than are wanted; a class with more is expanded by a join.
 NAMED = 7
 
 
@@ -148,10 +148,10 @@ def fit_on(rows: DataFrame, total: int, dim: int) -> Quantiser | None:
     return fit(_unit(_matrix(t.column("vec").chunk(0) if t.column("vec").num_chunks else t.column("vec").combine_chunks(), dim)), total)
 
 
-def place(q: Quantiser, dim: int):
+def place(q: Quantiser, dim: int, named: int):
     """mapInArrow function over ``(id, vec, class)`` sorted by (class, id): codes each class once and puts it into its cells.
 
-    Copies of a vector in a partition become one row with their ``NAMED`` least ids before
+    Copies of a vector in a partition become one row with their ``named`` least ids before
     anything is shuffled.
     """
 
@@ -190,13 +190,13 @@ def place(q: Quantiser, dim: int):
             for s, e in zip(start, stop):
                 some = doc[s:e] if e - s == 1 else np.unique(doc[s:e])
                 if held is not None and held[0] == kind[s]:
-                    held = (held[0], sorted({*held[1], *some[:NAMED].tolist()})[:NAMED], held[2])
+                    held = (held[0], sorted({*held[1], *some[:named].tolist()})[:named], held[2])
                     continue
                 if held is not None:
                     classes.append(held[0])
                     ids.append(held[1])
                     vectors.append(held[2])
-                held = (int(kind[s]), some[:NAMED].tolist(), x[s])
+                held = (int(kind[s]), some[:named].tolist(), x[s])
             if classes:
                 yield from emit(classes, ids, np.stack(vectors))
         if held is not None:
@@ -225,10 +225,10 @@ def _exact(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.round(out, 6)
 
 
-def score_cells(q: Quantiser, dim: int, k: int, least: float):
+def score_cells(q: Quantiser, dim: int, k: int, least: float, named: int):
     """mapInArrow function over placed rows sorted by (cell, class): neighbours of the classes at home in each cell.
 
-    Gives rows ``(class, a, b, cos)``: ``a`` is null for classes with ``NAMED`` or more ids, which are expanded later.
+    Gives rows ``(class, a, b, cos)``: ``a`` is null for classes with ``named`` or more ids, which are expanded later.
     """
 
     def cell(t: pa.Table) -> list[tuple]:
@@ -236,7 +236,7 @@ def score_cells(q: Quantiser, dim: int, k: int, least: float):
         start = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
         ids_col = t.column("ids").to_pylist()
         stop = np.append(start[1:], len(kind))
-        ids = [sorted({i for r in range(s, e) for i in ids_col[r]})[:NAMED] for s, e in zip(start, stop)]
+        ids = [sorted({i for r in range(s, e) for i in ids_col[r]})[:named] for s, e in zip(start, stop)]
         one = t.take(pa.array(start)).combine_chunks()
         pick = lambda c: one.column(c).chunk(0)
         raw = _matrix(pick("vec"), dim).astype(np.float64)
@@ -277,8 +277,8 @@ def score_cells(q: Quantiser, dim: int, k: int, least: float):
                     continue
                 near = [(-1.0, i) for i in mine] + [(-cos[y], i) for y in range(s, e) for i in ids[other[y]]]
                 near.sort()
-                if len(mine) >= NAMED:
-                    out += [(int(kind[x]), None, i, -c) for c, i in near[: k + NAMED]]
+                if len(mine) >= named:
+                    out += [(int(kind[x]), None, i, -c) for c, i in near[: k + named]]
                 else:
                     for a in mine:
                         out += [(int(kind[x]), a, i, -c) for c, i in [v for v in near if v[1] != a][:k]]
@@ -335,9 +335,10 @@ def similar_vectors(df: DataFrame, doc_id: str, vec: str, dim: int, k: int, leas
     spark = df.sparkSession
     if q is None:
         return spark.createDataFrame([], "a long, b long, cos double")
-    placed = rows.select("id", "vec", "class").sortWithinPartitions("class", "id").mapInArrow(place(q, dim), _PLACED)
+    named = max(NAMED, k + 1)
+    placed = rows.select("id", "vec", "class").sortWithinPartitions("class", "id").mapInArrow(place(q, dim, named), _PLACED)
     cells = placed.repartition(parallelism(spark, total * SPILL, CELL_ROWS), "cell").sortWithinPartitions("cell", "class")
-    found = stored(cells.mapInArrow(score_cells(q, dim, k, least), "class long, a long, b long, cos double"), "neighbours")
+    found = stored(cells.mapInArrow(score_cells(q, dim, k, least, named), "class long, a long, b long, cos double"), "neighbours")
     direct = found.where("a is not null").select("a", "b", "cos")
     many = found.where("a is null").select("class", "b", "cos")
     if many.isEmpty():

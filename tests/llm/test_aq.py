@@ -103,3 +103,13 @@ def test_similar_vectors_in_a_dense_cell(spark):
     df = spark.createDataFrame(rows, "docno long, vec array<float>")
     got = {(r["a"], r["b"]) for r in aq.similar_vectors(df, "docno", "vec", DIM, 5, 0.85).collect()}
     assert got == brute(rows, 5, 0.85)
+
+
+def test_more_neighbours_than_named_copies(spark):
+    rng = np.random.default_rng(8)
+    one = rng.standard_normal(DIM)
+    same = np.float32(one).tolist()
+    rows = [(100 + i, same) for i in range(15)] + [(i, np.float32(one + 0.1 * rng.standard_normal(DIM)).tolist()) for i in range(20)]
+    df = spark.createDataFrame(rows, "docno long, vec array<float>")
+    got = {(r["a"], r["b"]) for r in aq.similar_vectors(df, "docno", "vec", DIM, 12, 0.85).collect()}
+    assert got == brute(rows, 12, 0.85)

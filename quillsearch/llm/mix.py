@@ -18,7 +18,7 @@ from quillsearch.session import stored
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Documents of a block of the permutation, about.
 BLOCK = 4096
-#: Sources a table of weights may list; it is read to the driver.
+#: Sources a table of weights may list, else an error; it is read to the driver.
 MAX_SOURCES = 100_000
 #: Characters encoded at a time. Texts are cut before white space, which never changes the count; only a longer run of other characters is cut inside.
 PIECE = 20_000
@@ -150,20 +150,26 @@ def mix(docs: DataFrame, weights: DataFrame, total: float | None = None, by: str
     """
     spark = docs.sparkSession
     kept = stored(docs.where("n_tokens > 0").select("id", "source", "n_tokens"), "sized")
+    given = F.col("target_share").cast("double")
+    listed = (
+        weights.select(source_key(F.col("source")).alias("source"), F.when((given > 0) & ~F.isnan(given), given).otherwise(0.0).alias("share"), "max_repeats")
+        .where("source is not null")
+        .groupBy("source")
+        .agg(F.sum("share").alias("share"), F.max("max_repeats").alias("repeats"))
+    )
+    rows = listed.limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources are listed")
+    share: dict[str, float] = {r["source"]: r["share"] for r in rows}
+    repeats: dict[str, int] = {r["source"]: max(0, r["repeats"] or 0) for r in rows}
     have = {
         r["source"]: (r["n"], r["t"])
         for r in kept.where("source is not null")
-        .join(F.broadcast(weights.select(source_key(F.col("source")).alias("source")).distinct().limit(MAX_SOURCES)), "source", "left_semi")
+        .join(F.broadcast(listed.select("source")), "source", "left_semi")
         .groupBy("source")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"))
         .collect()
     }
-    listed = weights.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null").limit(MAX_SOURCES)
-    share: dict[str, float] = {}
-    repeats: dict[str, int] = {}
-    for r in listed.collect():
-        share[r[0]] = share.get(r[0], 0.0) + max(0.0, r[1] or 0.0)
-        repeats[r[0]] = max(repeats.get(r[0], 0), r[2] or 0)
     tokens = {k: have.get(k, (0, 0))[1] for k in share}
     capacity = {k: tokens[k] * repeats[k] for k in share}
     wanted = float(sum(tokens.values())) if total is None else float(total)

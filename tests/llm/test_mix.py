@@ -87,3 +87,15 @@ def test_pieces_do_not_change_counts():
     parts = mix.pieces(text)
     assert len(parts) > 2 and "".join(parts) == text
     assert abs(sum(len(encode(p)) for p in parts) - len(encode(text))) <= len(parts)
+
+
+def test_bound_on_listed_sources(spark, docs, monkeypatch):
+    """Spellings of a source count once; sources beyond the bound are an error and never dropped."""
+    monkeypatch.setattr(mix, "MAX_SOURCES", 2)
+    rows = [(x, 0.1, 3) for x in ("Big", "big ", " BIG", "small", "Small", "SMALL ")]
+    weights = spark.createDataFrame(rows, "source string, target_share double, max_repeats int")
+    report = {r["source"]: r for r in mix.mix(docs, weights, total=2000).shares.collect()}
+    assert abs(report["small"]["target_share"] - 0.3) < 1e-6 and abs(report["big"]["target_share"] - 0.3) < 1e-6
+    more = weights.union(spark.createDataFrame([("third", 0.1, 1)], weights.schema))
+    with pytest.raises(ValueError):
+        mix.mix(docs, more)

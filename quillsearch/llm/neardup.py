@@ -22,6 +22,8 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = (np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Bits of the sketch that screens candidate edges.
 SKETCH_BITS = 128
+#: Sequences below which a text's sketch says nothing: its bins are copies of a few values.
+FEW = 32
 #: Documents of one component are compared in blocks of this many, each pair of blocks in a task of its own.
 BLOCK = 256
 
@@ -130,7 +132,7 @@ def sketches(sig: np.ndarray) -> np.ndarray:
 
 
 def sign(like: Likeness):
-    """mapInArrow function: ``(id, text)`` to ``(id, node, s1, s2, bands)``.
+    """mapInArrow function: ``(id, text)`` to ``(id, node, few, s1, s2, bands)``.
 
     ``node`` is a hash of the whole set of sequences, so exact copies are one node. Texts
     that are null or too short for one sequence give no row.
@@ -156,11 +158,12 @@ def sign(like: Likeness):
                     [
                         pa.array(ids, pa.int64()),
                         pa.array([xxhash.xxh64_intdigest(s.tobytes()) - 2**63 for s in sets], pa.int64()),
+                        pa.array([len(s) < FEW for s in sets]),
                         pa.array(two[:, 0]),
                         pa.array(two[:, 1]),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * like.bands), pa.array(keys.ravel())),
                     ],
-                    names=["id", "node", "s1", "s2", "bands"],
+                    names=["id", "node", "few", "s1", "s2", "bands"],
                 )
 
     return run
@@ -171,19 +174,20 @@ def candidate_edges(signed: DataFrame, like: Likeness) -> DataFrame:
 
     A text is in ``bands`` buckets, so it has at most that many edges, however large the
     buckets are. The centre is the node least by a hash that differs between buckets, so
-    the members of a family meet various others of it. A sketch screens out chance meetings.
+    the members of a family meet various others of it. A sketch screens out chance meetings,
+    but for texts of fewer than ``FEW`` sequences, which are all compared.
     """
-    nodes = signed.select("node", "s1", "s2", "bands").dropDuplicates(["node"])
+    nodes = signed.select("node", "few", "s1", "s2", "bands").dropDuplicates(["node"])
     placed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     placed = placed.select("node", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("key").cast("long")).alias("bucket"))
     order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "node")).rowsBetween(Window.unboundedPreceding, 0)
     met = placed.select("node", F.first("node").over(order).alias("centre")).where("node <> centre")
     edges = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    bits = nodes.select("node", "s1", "s2")
-    one = bits.toDF("a", "a1", "a2")
-    two = bits.toDF("b", "b1", "b2")
+    bits = nodes.select("node", "few", "s1", "s2")
+    one = bits.toDF("a", "few_a", "a1", "a2")
+    two = bits.toDF("b", "few_b", "b1", "b2")
     apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    return edges.join(one, "a").join(two, "b").where(apart <= like.slack).select("a", "b")
+    return edges.join(one, "a").join(two, "b").where(F.col("few_a") | F.col("few_b") | (apart <= like.slack)).select("a", "b")
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -271,7 +275,7 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, like: Likeness) ->
     gives empty results. Only the two named columns are read.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = stored(base.mapInArrow(sign(like), "id long, node long, s1 long, s2 long, bands array<int>"), "signed")
+    signed = stored(base.mapInArrow(sign(like), "id long, node long, few boolean, s1 long, s2 long, bands array<int>"), "signed")
     members = signed.select("id", "node").distinct()
     of = components(candidate_edges(signed, like))
     size = of.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))

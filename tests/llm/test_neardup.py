@@ -86,3 +86,11 @@ def test_components(spark, rows):
     got = dict(rows(graph.components(df)))
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
     assert graph.components(df.limit(0)).count() == 0
+
+
+def test_pairs_of_very_short_texts(spark):
+    """Texts of one and of two sequences, one in common: exactly half."""
+    docs = [(2 * i + j, " ".join(f"s{i}x{w}" for w in range(3 + j))) for i in range(60) for j in (0, 1)]
+    df = spark.createDataFrame(docs, "docno long, text string")
+    pairs = neardup.document_pairs(neardup.near_duplicates(df, "docno", "text", HALF)).collect()
+    assert {tuple(r) for r in pairs} == {(2 * i, 2 * i + 1) for i in range(60)}

@@ -21,6 +21,10 @@ def disguised():
     yield "upper", ITEM.upper()
     yield "no punctuation", "".join(c for c in ITEM if c.isalnum() or c == " ")
     yield "tags", " ".join(f"<b>{w}</b>" if i % 3 else f"<p>{w}</p>" for i, w in enumerate(words))
+    yield "blocks", "<div>".join(words)
+    yield "list", "<li>".join(words)
+    yield "long tag", f"<td title='{'x' * 400}'>".join(words)
+    yield "comment", " ".join(words[:12]) + f"<!-- {'hidden words ' * 250}--> " + " ".join(words[12:26])
     yield "entities", "&nbsp;".join(words)
     yield "quoted", "\n> ".join(" ".join(words[i : i + 6]) for i in range(0, len(words), 6))
     yield "hyphenated", ITEM.replace("term", "te-\n> rm")
@@ -85,3 +89,17 @@ def test_visible():
     assert visible("a <b>b</b>&amp;c Ã©") == "a b&c é"
     assert folded("ﬁn É а") == "fin e a"
     assert visible("3 < 5 > 2") == "3 < 5 > 2"
+    for tag in ("div", "li", "table", "title", "form", "footer", "p", "br/", "/div", "DIV class='x'"):
+        assert visible(f"one<{tag}>two") == "one two", tag
+    for tag in ("b", "span", "sup", "a href='x'", "/EM", "wbr"):
+        assert visible(f"one<{tag}>two") == "onetwo", tag
+    assert visible(f"one<a title='{'x' * 4000}'>two") == "onetwo"
+    assert visible(f"one<!-- {'x <b> ' * 1000}-->two<!-- never ended") == "onetwo<!-- never ended"
+    assert visible("one<STYLE>p > b</Style>two<script src=x>if (a<b) c();</script>three") == "one two three"
+    assert visible("p<0.05 and a<b, c>d <!DOCTYPE html><?xml version='1'?>") == "p<0.05 and a<b, c>d   "
+
+
+def test_many_comments_take_linear_time():
+    assert len(visible("<!--" * 200_000)) == 800_000
+    assert len(visible("<a " * 200_000)) == 600_000
+    assert len(visible("İ<!-- x -->" * 10_000)) == 10_000

@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillsearch.llm.graph import components
@@ -24,8 +24,10 @@ _ODD = (np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.
 SKETCH_BITS = 128
 #: Sequences below which a text's sketch says nothing: its bins are copies of a few values.
 FEW = 32
-#: Documents of one component are compared in blocks of this many, each pair of blocks in a task of its own.
+#: Texts of one family are compared in blocks of about this many, each pair of blocks by itself.
 BLOCK = 256
+#: Groups of at most this many texts are compared together in one sparse product, larger ones each in a dense one.
+SMALL, POOL = 48, 4_000
 
 
 @dataclass(frozen=True)
@@ -35,14 +37,14 @@ class Likeness:
     ``words``: length of a word sequence; ``least``: smallest Jaccard similarity of the sets
     of sequences. ``bands`` x ``rows`` signature bins: a pair at similarity s shares a
     bucket with probability 1 - (1 - s^rows)^bands, which is 0.998 at s = 0.5 for the
-    default and nearer to 1 above; links over third texts come on top. ``slack``: bits in which
-    the sketches of an edge may differ; at s = 0.5 the mean is 32 and 52 is four deviations above.
+    default and nearer to 1 above. ``slack``: bits in which the sketches of a text and its bucket's
+    centre may differ; at s = 0.5 the mean is 32 and 52 is four deviations above.
     """
 
     words: int = 5
     least: Fraction = Fraction(4, 5)
-    bands: int = 96
-    rows: int = 4
+    bands: int = 48
+    rows: int = 3
     slack: int = 52
 
 
@@ -115,13 +117,13 @@ def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
 
 
 def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
-    """A 32-bit key per band of ``rows`` bins."""
+    """A 64-bit bucket per band of ``rows`` bins, different for every band."""
     n, bins = sig.shape
     parts = sig.reshape(n, bins // rows, rows)
-    total = np.zeros(parts.shape[:2], np.uint64)
+    total = np.broadcast_to(mix(np.arange(bins // rows, dtype=np.uint64)), parts.shape[:2]).copy()
     for i in range(rows):
         total += mix(parts[:, :, i] + _ODD[i]) * _ODD[i]
-    return (mix(total) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return mix(total).view(np.int64)
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
@@ -131,8 +133,15 @@ def sketches(sig: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(words, axis=2).view(np.int64)
 
 
+def _node(sequences: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(sequences.tobytes()) - 2**63
+
+
+SIGNED = "id long, node long, few boolean, s1 long, s2 long, bands array<long>"
+
+
 def sign(like: Likeness):
-    """mapInArrow function: ``(id, text)`` to ``(id, node, few, s1, s2, bands)``.
+    """mapInArrow function: ``(id, text)`` to rows of ``SIGNED``.
 
     ``node`` is a hash of the whole set of sequences, so exact copies are one node. Texts
     that are null or too short for one sequence give no row.
@@ -157,7 +166,7 @@ def sign(like: Likeness):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
-                        pa.array([xxhash.xxh64_intdigest(s.tobytes()) - 2**63 for s in sets], pa.int64()),
+                        pa.array([_node(s) for s in sets], pa.int64()),
                         pa.array([len(s) < FEW for s in sets]),
                         pa.array(two[:, 0]),
                         pa.array(two[:, 1]),
@@ -169,25 +178,45 @@ def sign(like: Likeness):
     return run
 
 
-def candidate_edges(signed: DataFrame, like: Likeness) -> DataFrame:
-    """Star edges ``(a, b)`` between nodes: in every bucket each node meets only the bucket's centre.
+def star_edges(signed: DataFrame, like: Likeness) -> DataFrame:
+    """Star edges ``(node, centre)``: in every bucket each node meets only the bucket's centre, its least node.
 
     A text is in ``bands`` buckets, so it has at most that many edges, however large the
-    buckets are. The centre is the node least by a hash that differs between buckets, so
-    the members of a family meet various others of it. A sketch screens out chance meetings,
-    but for texts of fewer than ``FEW`` sequences, which are all compared.
+    buckets are. Centres are a partial aggregate, and only texts of buckets with two nodes are
+    shuffled to meet them. A sketch screens out chance meetings, but for texts of fewer
+    than ``FEW`` sequences, which are all kept.
     """
-    nodes = signed.select("node", "few", "s1", "s2", "bands").dropDuplicates(["node"])
-    placed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    placed = placed.select("node", (F.shiftleft(F.col("band").cast("long"), 32) + F.col("key").cast("long")).alias("bucket"))
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "node")).rowsBetween(Window.unboundedPreceding, 0)
-    met = placed.select("node", F.first("node").over(order).alias("centre")).where("node <> centre")
-    edges = met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    bits = nodes.select("node", "few", "s1", "s2")
-    one = bits.toDF("a", "few_a", "a1", "a2")
-    two = bits.toDF("b", "few_b", "b1", "b2")
+    placed = signed.select("node", F.explode("bands").alias("bucket"))
+    pair = placed.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("most"))
+    centres = stored(pair.where("centre < most").select("bucket", "centre"), "centres")
+    open_ = placed.where(might_contain(filter_of(centres, "bucket"), F.col("bucket")))
+    met = open_.join(centres, "bucket").where("node <> centre").select("node", "centre").distinct()
+    bits = signed.select("node", "few", "s1", "s2").distinct()
+    one = bits.toDF("node", "few_a", "a1", "a2")
+    two = bits.toDF("centre", "few_b", "b1", "b2")
     apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    return edges.join(one, "a").join(two, "b").where(F.col("few_a") | F.col("few_b") | (apart <= like.slack)).select("a", "b")
+    near = met.join(one, "node").join(two, "centre").where(F.col("few_a") | F.col("few_b") | (apart <= like.slack))
+    return near.select("node", "centre")
+
+
+def blocks_of(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node, block)`` of every node with an edge, and the pairs ``(i, j)`` of blocks that have to be compared.
+
+    A node's home is the least of its centres, so a family gathers at one of them, and a
+    chain of texts that each resemble only the next ones falls into many homes. Homes are cut
+    into blocks of about ``BLOCK`` nodes. Two nodes that met in a bucket have its
+    centre in common; so blocks are compared if members of both have one, and the number of
+    comparisons follows the number of meetings, not the square of a component.
+    """
+    of = edges.unionByName(edges.select(F.col("centre").alias("node"), "centre")).distinct()
+    of = stored(of, "stars")
+    homes = of.groupBy("node").agg(F.min("centre").alias("home"))
+    size = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    part = F.pmod(F.xxhash64("node"), F.col("n"))
+    blocks = stored(homes.join(size, "home").select("node", F.xxhash64("home", part).alias("block")), "blocks")
+    at = of.join(blocks, "node").select("centre", "block").distinct()
+    pairs = at.withColumnRenamed("block", "i").join(at.withColumnRenamed("block", "j"), "centre").where("i <= j")
+    return blocks, pairs.select("i", "j").distinct()
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -209,47 +238,79 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def _shared_few(sets: list[np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(p, q, size)`` of the non-empty intersections of sets of the same group, p < q, for many small groups at once."""
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values = np.concatenate(sets)
+    order = np.lexsort((values, group[rows]))
+    values, rows = values[order], rows[order]
+    own = group[rows]
+    run = np.cumsum(np.concatenate([[True], (values[1:] != values[:-1]) | (own[1:] != own[:-1])]))
+    found, at, apart = [], np.arange(len(rows)), 1
+    while len(at):
+        at = at[at + apart < len(rows)]
+        at = at[run[at] == run[at + apart]]
+        found.append(rows[at] * len(sets) + rows[at + apart])
+        apart += 1
+    pair, size = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
+    return pair // len(sets), pair % len(sets), size
+
+
 def verify_blocks(like: Likeness):
-    """mapInArrow function over rows ``(component, i, j, block, node, text)`` sorted by (component, i, j): exact pairs.
+    """mapInArrow function over rows ``(i, j, block, node, text)`` sorted by (i, j): exact pairs.
 
-    In a block with itself all pairs are compared, in a pair of blocks those across.
+    In a block with itself all pairs are compared, in a pair of blocks those across. It holds
+    one pair of blocks, or small ones of together ``POOL`` texts.
     """
 
-    def pairs(rows: list[tuple], shingles: Shingler) -> list[tuple[int, int, int, int]]:
-        i, j = rows[0][1], rows[0][2]
-        unique = {r[4]: r for r in rows}
-        rows = list(unique.values())
-        if len(rows) < 2:
-            return []
-        sets = [shingles(r[5]) for r in rows]
-        both = _shared(sets)
+    def pairs(groups: list[tuple[bool, dict[int, tuple[int, np.ndarray]]]]) -> Iterator[pa.RecordBatch]:
+        node = np.array([x for _, g in groups for x in g], np.int64)
+        block = np.array([b for _, g in groups for b, _ in g.values()], np.int64)
+        sets = [s for _, g in groups for _, s in g.values()]
+        group = np.repeat(np.arange(len(groups)), [len(g) for _, g in groups])
+        if len(groups) == 1 and len(sets) > SMALL:
+            p, q = np.nonzero(np.triu(together := _shared(sets), 1))
+            both = together[p, q]
+        else:
+            p, q, both = _shared_few(sets, group)
         size = np.array([len(s) for s in sets])
-        either = size[:, None] + size[None, :] - both
-        ok = np.triu(both * like.least.denominator >= either * like.least.numerator, 1)
-        if i != j:
-            block = np.array([r[3] for r in rows])
-            ok &= block[:, None] != block[None, :]
-        return [
-            (min(x, y), max(x, y), int(both[p, q]), int(either[p, q]))
-            for p, q in zip(*np.nonzero(ok))
-            for x, y in [(rows[p][4], rows[q][4])]
-        ]
+        either = size[p] + size[q] - both
+        cross = np.array([c for c, _ in groups], bool)[group[p]]
+        ok = (both * like.least.denominator >= either * like.least.numerator) & (~cross | (block[p] != block[q]))
+        if ok.any():
+            a, b = node[p[ok]], node[q[ok]]
+            columns = [np.minimum(a, b), np.maximum(a, b), both[ok], either[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "both", "either"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(like.words)
-        held: list[tuple] = []
-        out: list[tuple] = []
+        pool: list[tuple[bool, dict[int, tuple[int, np.ndarray]]]] = []
+        last, held, n = None, {}, 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal pool, n
+            if len(held) > SMALL:
+                yield from pairs([(last[0] != last[1], held)])
+            elif len(held) > 1:
+                pool.append((last[0] != last[1], held))
+                n += len(held)
+            if n >= POOL:
+                yield from pairs(pool)
+                pool, n = [], 0
+
         for b in batches:
-            for r in zip(*(c.to_pylist() for c in b.columns)):
-                if held and held[0][:3] != r[:3]:
-                    out += pairs(held, shingles)
-                    held = []
-                held.append(r)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "both", "either"])
-                out = []
-        if held and (out := pairs(held, shingles)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b", "both", "either"])
+            for i, j, block, node, text in zip(*(c.to_pylist() for c in b.columns)):
+                if last != (i, j):
+                    yield from close()
+                    last, held = (i, j), {}
+                if node not in held:
+                    s = shingles(text)
+                    # an id that came with several texts brings them all
+                    if _node(s) == node:
+                        held[node] = (block, s)
+        yield from close()
+        if pool:
+            yield from pairs(pool)
 
     return run
 
@@ -265,28 +326,27 @@ class NearDuplicates:
 def near_duplicates(docs: DataFrame, doc_id: str, text: str, like: Likeness) -> NearDuplicates:
     """All pairs of different texts whose sets of word sequences reach ``like.least``.
 
-    Candidates come from star edges; their connected components are compared pair by pair,
-    exactly, over the whole texts, so a family of revisions is complete even where the
-    bucket centres missed a link. A large component is cut into blocks and each pair of
-    blocks goes to another task. Only documents in a component move their text.
+    Candidates come from star edges: texts that share a bucket share its centre. Families
+    around the centres are cut into blocks, and only pairs of blocks with a centre in common
+    are compared, exactly, over the whole texts. Only texts with an edge are moved, one of each
+    class of exact copies.
 
     Defined cases: null ids, null texts and texts shorter than one sequence take part in
     nothing; rows that repeat an id count once; exact copies are one node; an empty table
     gives empty results. Only the two named columns are read.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    signed = stored(base.mapInArrow(sign(like), "id long, node long, few boolean, s1 long, s2 long, bands array<int>"), "signed")
+    signed = stored(base.mapInArrow(sign(like), SIGNED), "signed")
     members = signed.select("id", "node").distinct()
-    of = components(candidate_edges(signed, like))
-    size = of.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
-    speaker = signed.where(might_contain(filter_of(of, "node"), F.col("node"))).groupBy("node").agg(F.min("id").alias("id"))
-    chosen = speaker.join(of, "node").join(size, "component")
-    own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
-    texts = base.where("text is not null").where(might_contain(filter_of(chosen, "id"), F.col("id")))
-    rows = chosen.withColumn("block", own).join(texts, "id")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "text")
-    spread = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    blocks, pairs = blocks_of(star_edges(signed, like))
+    speaker = signed.join(blocks, "node").groupBy("node", "block").agg(F.min("id").alias("id"))
+    chosen = stored(speaker, "speakers")
+    texts = base.where("text is not null").where(might_contain(filter_of(chosen, "id"), F.col("id"))).dropDuplicates(["id", "text"])
+    rows = chosen.join(texts, "id").select("block", "node", "text")
+    pairs = stored(pairs, "pairs")
+    sent = pairs.select("i", "j", F.col("i").alias("block")).unionByName(pairs.where("i < j").select("i", "j", F.col("j").alias("block")))
+    spread = sent.join(rows, "block").select("i", "j", "block", "node", "text")
+    spread = spread.repartition("i", "j").sortWithinPartitions("i", "j")
     return NearDuplicates(members, spread.mapInArrow(verify_blocks(like), "a long, b long, both long, either long"))
 
 

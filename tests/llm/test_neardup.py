@@ -64,6 +64,21 @@ def test_pairs_and_groups(spark, block, monkeypatch):
     assert {r["id"]: r["group_id"] for r in neardup.groups(found).collect()} == {i: root(i) for i in ids}
 
 
+def test_chain_takes_linear_work(spark):
+    """A window slides over one long text: each resembles only its neighbours, all are connected."""
+    words = [f"s{i}" for i in range(5200)]
+    docs = [(i, " ".join(words[10 * i : 10 * i + 60])) for i in range(500)]
+    want, _ = brute(docs, 3, Fraction(1, 2))
+    df = spark.createDataFrame(docs, "docno long, text string")
+    got = {tuple(r) for r in neardup.document_pairs(neardup.near_duplicates(df, "docno", "text", HALF)).collect()}
+    assert got <= want and len(got) >= 0.995 * len(want)
+    signed = df.toDF("id", "text").mapInArrow(neardup.sign(HALF), neardup.SIGNED)
+    blocks, pairs = neardup.blocks_of(neardup.star_edges(signed, HALF))
+    size = {r["block"]: r["count"] for r in blocks.groupBy("block").count().collect()}
+    compared = sum(size[i] * (size[i] - 1) // 2 if i == j else size[i] * size[j] for i, j in pairs.collect())
+    assert compared < 20 * len(docs)
+
+
 def test_defaults_and_empty(spark):
     none = spark.createDataFrame([], "docno long, text string")
     found = neardup.near_duplicates(none, "docno", "text", neardup.Likeness())

@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsearch.llm.graph import components
@@ -20,8 +20,9 @@ from quillsearch.session import stored
 _WORD = re.compile("[a-z0-9]+")
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = (np.arange(1, 33, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: Bits of the sketch that screens candidate edges.
-SKETCH_BITS = 128
+#: Bins of the sketch that screens candidate edges, and bits of each; one 64-bit word holds one bit of 64 bins.
+SKETCH_BINS, SKETCH_BITS = 128, 4
+SKETCH = [f"s{i}" for i in range(SKETCH_BINS // 64 * SKETCH_BITS)]
 #: Sequences below which a text's sketch says nothing: its bins are copies of a few values.
 FEW = 32
 #: Texts of one family are compared in blocks of about this many, each pair of blocks by itself.
@@ -37,15 +38,15 @@ class Likeness:
     ``words``: length of a word sequence; ``least``: smallest Jaccard similarity of the sets
     of sequences. ``bands`` x ``rows`` signature bins: a pair at similarity s shares a
     bucket with probability 1 - (1 - s^rows)^bands, which is 0.998 at s = 0.5 for the
-    default and nearer to 1 above. ``slack``: bits in which the sketches of a text and its bucket's
-    centre may differ; at s = 0.5 the mean is 32 and 52 is four deviations above.
+    default and nearer to 1 above. ``slack``: bins of 128 in which the sketches of a text and its bucket's
+    centre may differ; at s = 0.5 the mean is 60 and 84 is more than four deviations above.
     """
 
     words: int = 5
     least: Fraction = Fraction(4, 5)
     bands: int = 48
     rows: int = 3
-    slack: int = 52
+    slack: int = 84
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -127,17 +128,30 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(sig: np.ndarray) -> np.ndarray:
-    """Two 64-bit words per row, one bit of each of 128 bins: equal bits estimate the similarity."""
-    bits = (mix(sig[:, :: max(1, sig.shape[1] // SKETCH_BITS)][:, :SKETCH_BITS]) & np.uint64(1)).astype(np.uint64)
-    words = bits.reshape(len(sig), -1, 64) << np.arange(64, dtype=np.uint64)
+    """The last ``SKETCH_BITS`` bits of ``SKETCH_BINS`` bins of every row, as ``SKETCH`` words: equal bins estimate the similarity."""
+    bins = mix(sig[:, np.arange(SKETCH_BINS) * sig.shape[1] // SKETCH_BINS])
+    planes = [(bins >> np.uint64(i)) & np.uint64(1) for i in range(SKETCH_BITS)]
+    words = np.concatenate(planes, axis=1).reshape(len(sig), len(SKETCH), 64) << np.arange(64, dtype=np.uint64)
     return np.bitwise_or.reduce(words, axis=2).view(np.int64)
 
 
+def _apart(one: str, two: str) -> Column:
+    """Bins in which two sketches differ, of columns named by ``SKETCH`` with a letter before."""
+    wide = len(SKETCH) // SKETCH_BITS
+    total = F.lit(0)
+    for w in range(wide):
+        differ = F.lit(0).cast("long")
+        for c in SKETCH[w::wide]:
+            differ = differ.bitwiseOR(F.col(one + c).bitwiseXOR(F.col(two + c)))
+        total = total + F.bit_count(differ)
+    return total
+
+
 def _node(sequences: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(sequences.tobytes()) - 2**63
 
 
-SIGNED = "id long, node long, few boolean, s1 long, s2 long, bands array<long>"
+SIGNED = f"id long, node long, few boolean, {', '.join(c + ' long' for c in SKETCH)}, bands array<long>"
 
 
 def sign(like: Likeness):
@@ -161,18 +175,17 @@ def sign(like: Likeness):
                 if not ids:
                     continue
                 sig = signatures(sets, bins)
-                two = sketches(sig)
+                sketch = sketches(sig)
                 keys = band_keys(sig, like.rows)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
                         pa.array([_node(s) for s in sets], pa.int64()),
                         pa.array([len(s) < FEW for s in sets]),
-                        pa.array(two[:, 0]),
-                        pa.array(two[:, 1]),
+                        *(pa.array(sketch[:, i]) for i in range(len(SKETCH))),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * like.bands), pa.array(keys.ravel())),
                     ],
-                    names=["id", "node", "few", "s1", "s2", "bands"],
+                    names=["id", "node", "few", *SKETCH, "bands"],
                 )
 
     return run
@@ -190,12 +203,12 @@ def star_edges(signed: DataFrame, like: Likeness) -> DataFrame:
     pair = placed.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("most"))
     centres = stored(pair.where("centre < most").select("bucket", "centre"), "centres")
     open_ = placed.where(might_contain(filter_of(centres, "bucket"), F.col("bucket")))
-    met = open_.join(centres, "bucket").where("node <> centre").select("node", "centre").distinct()
-    bits = signed.select("node", "few", "s1", "s2").distinct()
-    one = bits.toDF("node", "few_a", "a1", "a2")
-    two = bits.toDF("centre", "few_b", "b1", "b2")
-    apart = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    near = met.join(one, "node").join(two, "centre").where(F.col("few_a") | F.col("few_b") | (apart <= like.slack))
+    met = stored(open_.join(centres, "bucket").where("node <> centre").select("node", "centre").distinct(), "met")
+    ends = met.select("node").unionByName(met.select(F.col("centre").alias("node")))
+    bits = signed.where(might_contain(filter_of(ends, "node"), F.col("node"))).select("node", "few", *SKETCH).distinct()
+    one = bits.toDF("node", "few_a", *("a" + c for c in SKETCH))
+    two = bits.toDF("centre", "few_b", *("b" + c for c in SKETCH))
+    near = met.join(one, "node").join(two, "centre").where(F.col("few_a") | F.col("few_b") | (_apart("a", "b") <= like.slack))
     return near.select("node", "centre")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsearch.functions.text import clean_key
+from quillsearch.functions.text import SPACE_RE2, clean_key
 from quillsearch.operators import orphans, skew
 from quillsearch.session import table
 
@@ -43,7 +43,7 @@ def p4_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_term_totals": p1_term_totals, "p4_found": p4_found, "p4_by_month": p4_by_month}
 
-_LOST = r"""
+_LOST = rf"""
 WITH refs AS (
   SELECT judgment_id, 'did' AS ref_field, 'collection_docs' AS ref_table, judged_at,
          NOT EXISTS (SELECT 1 FROM collection_docs d WHERE d.docno = q.did AND d.added_at <= q.judged_at
@@ -52,7 +52,7 @@ WITH refs AS (
   UNION ALL
   SELECT judgment_id, 'qid', 'queries', judged_at,
          NOT EXISTS (SELECT 1 FROM queries d
-                     WHERE upper(regexp_replace(d.qid, '^\s+|\s+$', '', 'g')) = upper(regexp_replace(q.qid, '^\s+|\s+$', '', 'g'))
+                     WHERE upper(regexp_replace(d.qid, '^{SPACE_RE2}+|{SPACE_RE2}+$', '', 'g')) = upper(regexp_replace(q.qid, '^{SPACE_RE2}+|{SPACE_RE2}+$', '', 'g'))
                      AND d.created_at <= q.judged_at AND (d.withdrawn_at IS NULL OR q.judged_at < d.withdrawn_at))
   FROM qrels q WHERE qid IS NOT NULL)
 """

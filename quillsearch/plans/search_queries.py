@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsearch.functions import codecs
-from quillsearch.functions.text import clean_key, words_by_pattern, words_by_space
+from quillsearch.functions.text import SPACE_RE2, clean_key, words_by_pattern, words_by_space
 from quillsearch.operators import dictionary, evaluate, index, retrieve, vector
 from quillsearch.session import stored, table
 
@@ -188,9 +188,9 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of the BM25 ranking of every query."""
+    """Metrics of the BM25 ranking of every query, 1,000 documents deep."""
     asked = query_set(spark, sf_dir)
-    top = retrieve.top_k(built(spark, sf_dir), asked, 100)
+    top = retrieve.top_k(built(spark, sf_dir), asked, 1000)
     return evaluate.per_query(top, judgments(spark, sf_dir), asked)
 
 
@@ -211,18 +211,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _DOCS = """docs AS (SELECT docno AS doc_id, max(text) AS text, max(block) AS block FROM collection_docs
   WHERE text IS NOT NULL AND docno IS NOT NULL GROUP BY docno)"""
-_POST = _DOCS + r""",
-occ AS (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS term FROM docs),
+_POST = _DOCS + rf""",
+occ AS (SELECT doc_id, unnest(string_split_regex(text, '{SPACE_RE2}+')) AS term FROM docs),
 post AS (SELECT term, doc_id, count(*) AS tf FROM occ WHERE term <> '' GROUP BY ALL),
 dls AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS dl FROM post GROUP BY doc_id),
 corp AS (SELECT count(*) AS n, avg(dl) AS a, min(dl) AS m FROM dls),
 terms AS (SELECT term, count(*) AS df, max(tf) AS max_tf, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY term)"""
-_ASK = r""",
-asked AS (SELECT upper(regexp_replace(qid, '^\s+|\s+$', '', 'g')) AS qid, arg_max(text, struct_pack(c := created_at, t := text)) AS text
+_ASK = rf""",
+asked AS (SELECT upper(regexp_replace(qid, '^{SPACE_RE2}+|{SPACE_RE2}+$', '', 'g')) AS qid, arg_max(text, struct_pack(c := created_at, t := text)) AS text
   FROM queries WHERE qid IS NOT NULL AND text IS NOT NULL GROUP BY 1),
-qraw AS (SELECT qid, unnest(string_split_regex(text, '\s+')) AS term FROM asked),
+qraw AS (SELECT qid, unnest(string_split_regex(text, '{SPACE_RE2}+')) AS term FROM asked),
 qterms AS (SELECT qid, term, count(*) AS qtf FROM qraw WHERE term <> '' GROUP BY ALL)"""
-_JUDGED = r"""judged AS (SELECT DISTINCT upper(regexp_replace(qid, '^\s+|\s+$', '', 'g')) AS qid, did AS doc_id
+_JUDGED = rf"""judged AS (SELECT DISTINCT upper(regexp_replace(qid, '^{SPACE_RE2}+|{SPACE_RE2}+$', '', 'g')) AS qid, did AS doc_id
   FROM qrels WHERE qid IS NOT NULL AND did IS NOT NULL)"""
 
 
@@ -245,7 +245,7 @@ def _top_sql(score: str, factor: int = 1) -> str:
     return f"WITH {_ranking(score, factor)} SELECT qid, rank, doc_id, score FROM ranked"
 
 
-_METRICS = f"""WITH {_ranking(_bm25(1.2, 0.75), k=100)}, {_JUDGED},
+_METRICS = f"""WITH {_ranking(_bm25(1.2, 0.75), k=1000)}, {_JUDGED},
 rels AS (SELECT r.qid, r.rank, CASE WHEN j.qid IS NULL THEN 0 ELSE 1 END AS rel FROM ranked r LEFT JOIN judged j USING (qid, doc_id)),
 rich AS (SELECT *, count(*) OVER (PARTITION BY qid) AS n, sum(rel) OVER (PARTITION BY qid ORDER BY rank) AS hits,
   row_number() OVER (PARTITION BY qid ORDER BY rel DESC, rank) AS ideal FROM rels),
@@ -263,7 +263,7 @@ _BITS = "repeat('0', length(bin({0})) - 1) || bin({0})"
 _BYTES = "array_to_string([printf('%02X', list_sum([CASE WHEN substr({0}, k * 8 + j, 1) = '1' THEN 1 << (8 - j) ELSE 0 END FOR j IN range(1, 9)])::BIGINT) FOR k IN range(0, CAST(ceil(length({0}) / 8.0) AS BIGINT))], '')"
 
 ORACLES = {
-    "tokenize_ws": rf"WITH {_DOCS} SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n_tokens FROM docs",
+    "tokenize_ws": rf"WITH {_DOCS} SELECT doc_id, len(list_filter(string_split_regex(text, '{SPACE_RE2}+'), lambda x: x <> '')) AS n_tokens FROM docs",
     "tokenize_word": rf"WITH {_DOCS} SELECT doc_id, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS n_tokens FROM docs",
     "postings_tf": f"WITH {_POST} SELECT term, doc_id, tf FROM post",
     "postings_block_merge": f"WITH {_POST} SELECT term, doc_id, tf FROM post",

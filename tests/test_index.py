@@ -1,8 +1,12 @@
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
+from quillsearch.functions.text import words_by_pattern, words_by_space
 from quillsearch.operators import dictionary, index
 
 DOCS = [(1, "a", "x y  y\nz"), (2, "a", "y"), (3, "b", ""), (4, "b", None), (5, "b", "Z z y.")]
@@ -86,3 +90,23 @@ def test_lookup_pushes_filter(docs):
     made = index.Index.build(docs)
     plan = made.postings.where(F.col("term") == "y")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,y)" in plan
+
+
+def test_radix_of_long_and_nested_terms(spark, rows):
+    words = ["a" * n for n in (1, 5, 3000)] + ["a" * 3000 + "b", "b", "ba", "bé", "béa", ""]
+    got = {r[0]: r[1:] for r in rows(dictionary.radix_nodes(spark.createDataFrame([(w,) for w in words], "term string")))}
+    for node, (parent, label, is_term) in got.items():
+        above = [x for x in got if x != node and node.startswith(x)]
+        assert parent == (max(above, key=len) if above else None)
+        assert label == node[len(parent or "") :] and is_term == (node in words)
+
+
+def test_tokens_are_those_of_the_unicode_rules(spark):
+    """Every character below 0x3100 between two letters: does it separate words, is it part of one?"""
+    data = [(c, f"a{chr(c)}b") for c in range(1, 0x3100)]
+    df = spark.createDataFrame(data, "c int, text string").select("c", words_by_space(F.col("text")).alias("s"), words_by_pattern(F.col("text")).alias("w"))
+    got = {r["c"]: (r["s"], r["w"]) for r in df.collect()}
+    assert all(got[c][0] == t.split() for c, t in data)
+    # characters younger than the oldest edition of Unicode at hand are left out
+    assert all(got[c][1] == re.findall(r"\w+", t) for c, t in data if unicodedata.ucd_3_2_0.category(chr(c)) != "Cn")
+    assert got[0xB2][1] == ["a²b"] and got[0x301][1] == ["a", "b"]

@@ -105,23 +105,26 @@ def _gamma_numbers(data: bytes) -> np.ndarray:
     if len(data) < 4:
         return np.empty(0, np.int64)
     n = int(np.frombuffer(data[:4], ">u4")[0])
-    bits = np.unpackbits(np.frombuffer(data[4:], np.uint8))
-    ones = np.flatnonzero(bits)
-    out, at = [], 0
-    for _ in range(n):
-        k = np.searchsorted(ones, at)
-        if k == len(ones):
-            break
-        zeros = int(ones[k]) - at
-        end = at + 2 * zeros + 1
-        if end > len(bits):
-            break
-        value = 0
-        for b in bits[at + zeros : end]:
-            value = value * 2 + int(b)
-        out.append(value)
-        at = end
-    return np.array(out, np.int64)
+    bits = np.unpackbits(np.frombuffer(data[4:], np.uint8)).astype(np.int64)
+    size = len(bits)
+    # the next one at or after every position, and where the code that begins there would end; ``size + 1`` for none
+    one = np.minimum.accumulate(np.where(bits == 1, np.arange(size), size)[::-1])[::-1]
+    end = 2 * one - np.arange(size) + 1
+    jump = np.append(np.where((one < size) & (end <= size), end, size + 1), [size + 1, size + 1])
+    # beginnings of all codes: each doubling knows twice as many
+    starts = np.zeros(min(n, size) + 1, np.int64)
+    known = 1
+    while known < len(starts):
+        more = min(known, len(starts) - known)
+        starts[known : known + more] = jump[starts[:more]]
+        jump, known = jump[jump], known + more
+    starts = starts[starts <= size]
+    starts, ends = starts[:-1], starts[1:]
+    if not len(starts):
+        return np.empty(0, np.int64)
+    width = (ends - starts + 1) // 2
+    at = np.repeat(ends - width, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+    return np.add.reduceat(bits[at] << (np.repeat(ends, width) - 1 - at), np.cumsum(width) - width)
 
 
 def _each(convert):

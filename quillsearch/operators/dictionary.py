@@ -28,26 +28,29 @@ def dense_ids(terms: DataFrame) -> DataFrame:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix of two strings."""
+    """Length of the longest common prefix of two strings, by bisection."""
     n = F.least(F.length(a), F.length(b))
-    same = F.filter(F.sequence(F.lit(0), n), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))
-    return F.coalesce(F.array_max(same), F.lit(0))
+    steps = F.transform(F.sequence(F.length(F.bin(n)) - 1, F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
+    same = lambda m: F.substring(a, F.lit(1), m) == F.substring(b, F.lit(1), m)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & same(at + step), at + step).otherwise(at))
+
+
+def _with_next(words: DataFrame, name: str) -> DataFrame:
+    """``(term, before)``: every word and the one before it in sorted order, which meet by their dense ids; null for the first."""
+    ids = stored(dense_ids(words), name)
+    return ids.join(ids.select((F.col("term_id") + 1).alias("term_id"), F.col("term").alias("before")), "term_id", "left")
 
 
 def radix_nodes(terms: DataFrame) -> DataFrame:
     """``(node, parent, label, is_term)`` of the radix tree of the terms; the root is the empty string without a parent.
 
     The inner nodes of a radix tree are the common prefixes of neighbours in sorted order,
-    so the node set needs no insertion. A node's parent is its longest proper prefix
-    among the nodes: the prefixes of every node are listed and joined by equality, so there is no
-    comparison of all nodes with each other.
+    so the node set needs no insertion. In the sorted order of all nodes, which is the
+    order of a walk through the tree, a node's parent is what it has in common with the node before it.
     """
     words = terms.select("term").where("term is not null").distinct()
-    # neighbours in the order of the terms meet by their dense ids
-    ids = stored(dense_ids(words), "ids")
-    after = ids.select((F.col("term_id") - 1).alias("term_id"), F.col("term").alias("next"))
-    inner = ids.join(after, "term_id")
-    inner = inner.withColumn("n", common_prefix(F.col("term"), F.col("next"))).select(F.expr("substring(term, 1, n)").alias("node"))
+    shared = F.when(F.col("before").isNotNull(), F.substring(F.col("term"), F.lit(1), common_prefix(F.col("term"), F.col("before"))))
+    inner = _with_next(words, "term-ids").where("before is not null").select(shared.alias("node"))
     root = terms.sparkSession.createDataFrame([("",)], "node string")
     nodes = (
         words.select(F.col("term").alias("node"), F.lit(1).alias("t"))
@@ -55,10 +58,9 @@ def radix_nodes(terms: DataFrame) -> DataFrame:
         .groupBy("node")
         .agg(F.max("t").alias("t"))
     )
-    prefixes = nodes.where("node <> ''").select("node", F.explode(F.sequence(F.lit(0), F.length("node") - 1)).alias("n"))
-    prefixes = prefixes.select("node", F.expr("substring(node, 1, n)").alias("prefix"))
-    parents = prefixes.join(nodes.select(F.col("node").alias("prefix")), "prefix").groupBy("node").agg(F.max_by("prefix", F.length("prefix")).alias("parent"))
-    return nodes.join(parents, "node", "left").select(
+    nodes = stored(nodes, "nodes")
+    parents = _with_next(nodes.select(F.col("node").alias("term")), "node-ids").select(F.col("term").alias("node"), shared.alias("parent"))
+    return nodes.join(parents, "node").select(
         "node",
         "parent",
         F.when(F.col("parent").isNull(), F.col("node")).otherwise(F.expr("substring(node, length(parent) + 1)")).alias("label"),

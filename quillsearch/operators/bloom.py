@@ -2,38 +2,70 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 from pyspark.sql.classic.column import _to_java_column, _to_seq
 
-#: A filter never exceeds this many bits (8 MB); beyond that it only lets more keys through to the exact step.
+#: A filter has at most this many bits (8 MB). Keys beyond what that holds are spread by their hash over several filters, at
+#: most ``MAX_FILTERS``; beyond those the filters only let more keys through to the exact step.
 MAX_FILTER_BITS = 67_108_864
 BITS_PER_KEY = 12
+MAX_FILTERS = 16
 
 
 def _object(spark: SparkSession, name: str):
     return getattr(getattr(spark._jvm, name + "$"), "MODULE$")
 
 
-def filter_of(keys: DataFrame, key: str) -> Column:
-    """Bloom filter of a column as a scalar subquery. Nulls aren't in it; an empty table's filter is null."""
+@dataclass(frozen=True)
+class Bloom:
+    """Filters as scalar subqueries; a key belongs to the one its hash names."""
+
+    parts: list[Column]
+
+
+def _which(hash_: Column, n: int) -> Column:
+    """Filter of a hashed key, from other bits than those the filters use first."""
+    return F.pmod(F.xxhash64(hash_), F.lit(n))
+
+
+def filter_of(keys: DataFrame, key: str) -> Bloom:
+    """Bloom filters of a column, sized from the number of rows. Nulls aren't in them; an empty table's filter is null."""
     spark = keys.sparkSession
-    rows = keys.select(F.col(key).alias("k")).where("k is not null")
-    items = max(1, min(rows.count(), MAX_FILTER_BITS // BITS_PER_KEY))
+    n = max(1, keys.count())
+    filters = min(MAX_FILTERS, -(-n * BITS_PER_KEY // MAX_FILTER_BITS))
+    items = max(1, min(-(-n // filters), MAX_FILTER_BITS // BITS_PER_KEY))
     bits = min(MAX_FILTER_BITS, max(1024, items * BITS_PER_KEY))
-    args = [F.xxhash64("k"), F.lit(items).cast("long"), F.lit(bits).cast("long")]
-    made = _object(spark, "org.apache.spark.sql.Column").internalFn(
-        "bloom_filter_agg", _to_seq(spark.sparkContext, args, _to_java_column)
-    )
-    return rows.select(ClassicColumn(made).alias("b")).scalar()
+    rows = keys.select(F.col(key).alias("k")).where("k is not null").select(F.xxhash64("k").alias("h"))
+    args = [F.col("h"), F.lit(items).cast("long"), F.lit(bits).cast("long")]
+    parts = []
+    for i in range(filters):
+        own = rows if filters == 1 else rows.where(_which(F.col("h"), filters) == i)
+        made = _object(spark, "org.apache.spark.sql.Column").internalFn(
+            "bloom_filter_agg", _to_seq(spark.sparkContext, args, _to_java_column)
+        )
+        parts.append(own.select(ClassicColumn(made).alias("b")).scalar())
+    return Bloom(parts)
 
 
-def might_contain(bloom: Column, key: Column) -> Column:
-    """False proves that ``key`` isn't among the filter's keys."""
+def might_contain(bloom: Bloom, key: Column) -> Column:
+    """False proves that ``key`` isn't among the filters' keys."""
     spark = SparkSession.active()
     utils = _object(spark, "org.apache.spark.sql.classic.ExpressionUtils")
-    probe = spark._jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(
-        utils.expression(bloom._jc), utils.expression(F.xxhash64(key)._jc)
-    )
-    return F.coalesce(ClassicColumn(utils.column(probe)), F.lit(False))
+    hash_ = F.xxhash64(key)
+
+    def probe(part: Column) -> Column:
+        made = spark._jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(
+            utils.expression(part._jc), utils.expression(hash_._jc)
+        )
+        return F.coalesce(ClassicColumn(utils.column(made)), F.lit(False))
+
+    if len(bloom.parts) == 1:
+        return probe(bloom.parts[0])
+    which, out = _which(hash_, len(bloom.parts)), F.lit(False)
+    for i, part in enumerate(bloom.parts):
+        out = F.when(which == i, probe(part)).otherwise(out)
+    return out

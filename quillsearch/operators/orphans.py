@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillsearch.operators.bloom import filter_of, might_contain
 
+
 @dataclass(frozen=True)
 class Target:
     """A referenced table: ``field`` of the referring table holds ``key`` of ``rows``, alive from ``start`` to ``end``."""
@@ -48,8 +49,8 @@ def alive_spans(target: Target) -> DataFrame:
 def orphan_references(refs: DataFrame, ref_id: str, at: str, target: Target) -> DataFrame:
     """References of ``refs`` to ``target`` that had no living target row: ``(ref_id, ref_field, at)``.
 
-    1. A Bloom filter of the target's keys (at most 8 MB, whatever the table's size)
-       proves that a key never existed; such references are orphans without a join.
+    1. Bloom filters of the target's keys, 8 MB each and sized from the number of its rows,
+       prove that a key never existed; such references are orphans without a join.
     2. Only references that pass the filter are joined exactly, by key and time.
 
     Defined cases: a null reference is no case; a null ``at`` has no living target; a

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is heavy when it holds at least this share of the rows. At most 1 / HEAVY_SHARE keys can.
-HEAVY_SHARE = 0.005
-#: Counters of the frequent-items sketch. Its error is about 3.5 / SKETCH_ITEMS of the rows, far below HEAVY_SHARE.
-SKETCH_ITEMS = 8192
+from quillsearch.session import parallelism
+
+#: A key is heavy when it has more rows than this part of a fair share of a shuffle partition.
+FAIR_PART = 0.25
+#: Bounds of that share of all rows: keys beyond the first are heavy in any case, and at most 1 / LEAST_SHARE keys can be heavy.
+MOST_SHARE, LEAST_SHARE = 0.005, 1 / 4096
+#: Counters of the frequent-items sketch. Its error is about 3.5 / SKETCH_ITEMS of the rows, below LEAST_SHARE.
+SKETCH_ITEMS = 16_384
 
 
 @dataclass(frozen=True)
@@ -21,7 +25,12 @@ class HeavyKeys:
     total: int
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, items: int = SKETCH_ITEMS) -> HeavyKeys:
+def heavy_share(spark: SparkSession) -> float:
+    """Share of the rows from which a key counts as heavy: ``FAIR_PART`` of a shuffle partition, within the stated bounds."""
+    return min(MOST_SHARE, max(LEAST_SHARE, FAIR_PART / parallelism(spark)))
+
+
+def heavy_keys(df: DataFrame, key: str, share: float | None = None, items: int = SKETCH_ITEMS) -> HeavyKeys:
     """Find heavy keys with one mergeable frequent-items sketch over the key column.
 
     The sketch is a partial aggregate, so the shuffle carries one sketch per task. It
@@ -29,6 +38,7 @@ def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, items: int =
     driver and is broadcast later is at most ``2 / share`` keys, whatever the input size.
     """
     spark = df.sparkSession
+    share = share or heavy_share(spark)
     most = min(items, int(2 / share))
     column = F.col(key)
     row = (
@@ -44,14 +54,14 @@ def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, items: int =
 
 
 def per_key_totals(
-    df: DataFrame, key: str, record: str, weight: str, share: float = HEAVY_SHARE, heavy: HeavyKeys | None = None
+    df: DataFrame, key: str, record: str, weight: str, share: float | None = None, heavy: HeavyKeys | None = None
 ) -> DataFrame:
     """Rows, distinct records and summed weight of every key: ``(key, n_rows, n_records, weight_sum)``.
 
-    Heavy keys are split off by a broadcast join and aggregated by ``(key, record)``
-    first, which spreads each over all tasks; what then meets per key is one partial
-    row per task. The other keys take one ordinary shuffle by key and both
-    aggregates run on that partitioning. The two results are unioned.
+    Heavy keys are split off by a broadcast join and cut into parts by a hash of the record,
+    one for every shuffle partition; what then meets per key is one row a part. The other
+    keys take the ordinary shuffle. Both are aggregated by ``(key, record)`` before they are
+    shuffled, so no key of any share sends its raw rows to one task. The results are unioned.
 
     Defined cases: rows with a null key are left out; a null record counts as a row but
     not as a record; a null weight adds nothing, a key with only null weights has
@@ -70,10 +80,10 @@ def per_key_totals(
         F.count("r").alias("n_records"),
         F.coalesce(F.sum("w"), F.lit(0)).alias("weight_sum"),
     )
-    few = rows.join(keys, "k", "left_semi").groupBy("k", "r").agg(*pair).groupBy("k").agg(*whole)
-    rest = (
-        rows.join(keys, "k", "left_anti").repartition("k").groupBy("k", "r").agg(*pair).groupBy("k").agg(*whole)
-    )
+    few = rows.join(keys, "k", "left_semi").groupBy("k", "r").agg(*pair)
+    few = few.groupBy("k", F.pmod(F.xxhash64("r"), F.lit(parallelism(df.sparkSession))).alias("part")).agg(*whole)
+    few = few.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("n_rows", "n_records", "weight_sum")))
+    rest = rows.join(keys, "k", "left_anti").groupBy("k", "r").agg(*pair).groupBy("k").agg(*whole)
     return few.unionByName(rest).withColumnRenamed("k", "key")
 
 

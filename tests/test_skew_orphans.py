@@ -5,9 +5,10 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillsearch.functions.text import clean_key
-from quillsearch.operators import orphans, skew
+from quillsearch.operators import bloom, orphans, skew
 
 
 def test_totals_against_brute_force(spark):
@@ -27,6 +28,32 @@ def test_totals_against_brute_force(spark):
     assert {r[0] for r in skew.heavy_keys(df, "term").keys.collect()} >= {"hot"}
 
 
+def test_key_just_under_the_bound(spark):
+    """Neither a key just below the heavy bound nor one above it sends its raw rows through a shuffle."""
+    n = 20_000
+    below = int(n * skew.heavy_share(spark)) - 1
+    data = [("over", i % 7, 1) for i in range(n // 3)] + [("under", i % 5, 1) for i in range(below)]
+    data += [(f"t{i}", 1, 1) for i in range(n - len(data))]
+    df = spark.createDataFrame(data, "term string, docno long, tf long")
+    assert [r[0] for r in skew.heavy_keys(df, "term").keys.collect()] == ["over"]
+    totals = skew.per_key_totals(df, "term", "docno", "tf")
+    got = {r["key"]: (r["n_rows"], r["n_records"]) for r in totals.where("key in ('over', 'under')").collect()}
+    assert got == {"over": (n // 3, 7), "under": (below, 5)}
+    plan = totals._jdf.queryExecution().sparkPlan().toString()
+    assert "REPARTITION" not in plan
+
+
+def test_several_filters(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "MAX_FILTER_BITS", 12 * 100)
+    keys = spark.range(0, 2000, 2).withColumnRenamed("id", "k")
+    made = bloom.filter_of(keys, "k")
+    assert len(made.parts) == 10
+    seen = spark.range(4000).withColumn("maybe", bloom.might_contain(made, F.col("id")))
+    assert seen.where("id < 2000 and id % 2 = 0 and not maybe").count() == 0
+    assert seen.where("id >= 2000 and maybe").count() < 500
+    assert not seen.select(bloom.might_contain(bloom.filter_of(keys.limit(0), "k"), F.col("id")).alias("m")).where("m").count()
+
+
 def test_bound_is_inclusive(spark):
     df = spark.createDataFrame([("a", 1, 1)] * 2 + [(f"b{i}", 1, 1) for i in range(98)], "t string, d long, w long")
     assert [r["key"] for r in skew.keys_above(df, "t", "d", "w", 2).collect()] == ["a"]

@@ -118,6 +118,10 @@ class Index:
         """Postings of the terms in ``terms (term)``; unknown terms give none."""
         return self.postings.join(terms.select("term").distinct(), "term", "left_semi").select("term", "doc_id", "tf")
 
+    def hits(self, words: DataFrame) -> DataFrame:
+        """``(term, doc_id, tf, dl)`` of the terms in ``words (term)``, few enough to be broadcast, none twice."""
+        return self.postings.join(F.broadcast(words), "term", "left_semi")
+
     def postings_of_term(self, term: str) -> DataFrame:
         """Postings of one term; the filter reaches the scan."""
         return self.postings.where(F.col("term") == term).select("doc_id", "tf")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +16,16 @@ from quillsearch.session import parallelism, stored
 
 #: Scores are rounded to this many decimals before ranking, so ties don't depend on the order of a sum.
 DECIMALS = 6
-#: Query terms are broadcast up to this many rows and shuffled beyond.
-BROADCAST_ROWS = 200_000
+#: Rows of query terms that are broadcast at a time, about, and rows of results kept for them in a task of the pruned plan. Larger query sets go in blocks of whole queries.
+BLOCK_TERMS, BLOCK_RESULTS = 200_000, 4_000_000
 #: Pairs of query and document a partition should sum, about, and most partitions for them.
 PAIRS, MAX_PARTS = 2_000_000, 10_000
-#: The pruned plan's floor comes from a query's terms of highest bound that together have this many documents for each wanted one.
+#: Postings a partition of the pruned plan should have, about, and postings of documents that it scores at a time.
+HITS, CHUNK = 4_000_000, 262_144
+#: The pruned plan's first floor comes from a query's terms of highest bound that together have this many documents for each wanted one.
 LEAD_DOCS = 20
+#: By so much a bound may fall short of the floor, for scores are rounded.
+MARGIN = 1e-5
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -44,30 +52,22 @@ def term_bounds(index: Index, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     )
 
 
-def _rows(df: DataFrame) -> int:
-    """Number of rows, counted up to one more than may be broadcast."""
-    return df.limit(BROADCAST_ROWS + 1).count()
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a table whose row count was checked; else leave the join to the optimizer."""
-    return F.broadcast(df) if _rows(df) <= BROADCAST_ROWS else df
-
+def _in_blocks(terms: DataFrame, k: int, run) -> DataFrame:
+    """Union of ``run(block)`` over blocks of whole queries that are small enough to be broadcast.
 
-def _hits(index: Index, terms: DataFrame) -> DataFrame:
-    """Postings of query terms, partitioned by document where the terms can be broadcast.
-
-    Only postings of query terms are shuffled, not the far more numerous pairs of query and
-    document: all of a pair is then in one partition, so its sum and the first cut to the
-    best documents need no shuffle.
+    A single block stays a lazy plan. Several are run one after the other and written, so
+    that no more than one is in memory at any time.
     """
-    n = _rows(terms)
-    if n > BROADCAST_ROWS:
-        return index.postings.join(terms, "term")
-    asked = index.postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-    spark = index.postings.sparkSession
-    parts = min(MAX_PARTS, parallelism(spark, n * index.n_docs // 4, PAIRS))
-    return asked.repartition(parts, "doc_id").join(F.broadcast(terms), "term")
+    terms = stored(terms, "query-terms")
+    size = terms.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("qid").alias("q")).head()
+    blocks = max(1, -(-size["n"] // BLOCK_TERMS), -(-size["q"] * k // BLOCK_RESULTS))
+    if blocks == 1:
+        return run(terms)
+    out = None
+    for i in range(blocks):
+        got = stored(run(terms.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)), "ranked")
+        out = got if out is None else out.unionByName(got)
+    return out
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:
@@ -87,16 +87,21 @@ def top_k(
 ) -> DataFrame:
     """``(qid, rank, doc_id, score)``: the ``k`` best documents of every query that any of its words occurs in.
 
-    One plan for all queries: postings of query terms are partitioned by document, scores add up
-    inside the partitions, and each gives ``k`` rows a query to the last window. Order: score
-    descending, then document id. Documents with score 0 are kept. A query without a known word has no rows.
+    One plan for all queries: only postings of query terms are shuffled, by document, not the
+    far more numerous pairs of query and document. Scores add up inside the partitions, and each gives
+    ``k`` rows a query to the last window. Order: score descending, then document id.
+    Documents with score 0 are kept. A query without a known word has no rows.
     """
     mode, k = scoring.checked(mode), _checked(k)
-    terms = weighted_terms(index, queries, mode).select("qid", "term", "qtf", "idf")
-    hits = _hits(index, terms)
     part = scoring.term(mode, F.col("idf"), F.col("tf"), F.col("dl"), F.lit(index.avg_dl), k1, b) * F.col("qtf")
-    scores = hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
-    return _ranked(scores, k)
+
+    def block(terms: DataFrame) -> DataFrame:
+        pairs = terms.agg(F.sum("df")).head()[0] or 0
+        parts = min(MAX_PARTS, parallelism(terms.sparkSession, pairs, PAIRS))
+        hits = index.hits(terms.select("term").distinct()).repartition(parts, "doc_id").join(F.broadcast(terms), "term")
+        return _ranked(hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), DECIMALS).alias("score")), k)
+
+    return _in_blocks(weighted_terms(index, queries, mode).select("qid", "term", "qtf", "idf", "df"), k, block)
 
 
 def pruned_top_k(
@@ -104,29 +109,126 @@ def pruned_top_k(
 ) -> DataFrame:
     """The rows of :func:`top_k`, scoring fewer documents.
 
-    1. A query's terms of highest bound, until they have ``LEAD_DOCS`` x ``k`` documents, are scored
-       alone; the k-th best such score is a floor for the k-th best score (no floor with fewer than ``k`` documents).
-    2. Terms in ascending order of bound whose bounds together stay below the floor can't lift a
-       document to it by themselves. Only postings of the other terms name candidates.
-    3. Candidates are scored in full, by a join on (term, document).
+    Postings of query terms are partitioned and ordered by document and scored in chunks of
+    documents (:func:`best_of`). The best score a chunk can give a query is known from its largest
+    term scores. Chunks below the query's floor, the ``k``-th best score so far, are passed over,
+    and inside a chunk terms that can't lift a document to the floor name no candidates.
     """
     mode, k = scoring.checked(mode), _checked(k)
-    terms = weighted_terms(index, queries, mode)
-    least = F.lit(max(1, index.min_dl))
-    avg = F.lit(index.avg_dl)
-    bound = scoring.term(mode, F.col("idf"), F.col("max_tf"), least, avg, k1, b) * F.col("qtf")
-    terms = stored(terms.withColumn("ub", bound).select("qid", "term", "qtf", "idf", "ub", "df"), "query-terms")
-    part = scoring.term(mode, F.col("idf"), F.col("tf"), F.col("dl"), avg, k1, b) * F.col("qtf")
-    down = Window.partitionBy("qid").orderBy(F.desc("ub"), "term").rowsBetween(Window.unboundedPreceding, -1)
-    lead = terms.withColumn("before", F.coalesce(F.sum("df").over(down), F.lit(0))).where(F.col("before") < LEAD_DOCS * k)
-    lead = lead.select("qid", "term", "qtf", "idf")
-    some = _hits(index, lead).groupBy("qid", "doc_id").agg(F.sum(part).alias("s"))
-    kth = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("s"), "doc_id"))
-    floor = some.withColumn("r", kth).where(F.col("r") == k).select("qid", F.col("s").alias("floor"))
-    up = Window.partitionBy("qid").orderBy("ub", "term").rowsBetween(Window.unboundedPreceding, 0)
-    marked = terms.join(floor, "qid", "left").withColumn("sum", F.sum("ub").over(up))
-    needed = marked.where(F.col("floor").isNull() | (F.col("sum") >= F.col("floor") - 1e-5)).select("qid", "term")
-    candidates = _hits(index, needed).select("qid", "doc_id").distinct()
-    pairs = candidates.join(_small(terms.select("qid", "term", "qtf", "idf")), "qid")
-    scores = pairs.join(index.postings, ["term", "doc_id"]).groupBy("qid", "doc_id").agg(F.round(F.sum(part), DECIMALS).alias("score"))
-    return _ranked(scores, k)
+    score = scoring.term(mode, F.col("idf"), F.col("tf"), F.col("dl"), F.lit(index.avg_dl), k1, b)
+
+    def block(terms: DataFrame) -> DataFrame:
+        spark = terms.sparkSession
+        t = terms.orderBy("qid", "term").toArrow()
+        qid, term = (t.column(c).combine_chunks().dictionary_encode() for c in ("qid", "term"))
+        query, word = qid.indices.to_numpy(), term.indices.to_numpy()
+        first = np.unique(word, return_index=True)[1]
+        words = spark.createDataFrame(
+            pa.table({"term": term.dictionary, "no": np.arange(len(first)), "idf": t.column("idf").to_numpy()[first]}),
+            "term string, no long, idf double",
+        )
+        names = spark.createDataFrame(pa.table({"q": np.arange(len(qid.dictionary)), "qid": qid.dictionary}), "q long, qid string")
+        starts = np.searchsorted(query, np.arange(len(qid.dictionary) + 1))
+        parts = min(MAX_PARTS, parallelism(spark, int(t.column("df").to_numpy()[first].sum()), HITS))
+        hits = index.hits(words.select("term")).join(F.broadcast(words), "term").select("doc_id", "no", score.alias("s"))
+        rows = hits.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+        run = best_of(starts, word, t.column("qtf").to_numpy().astype(np.float64), len(first), k)
+        found = rows.mapInArrow(run, "q long, doc_id long, score double")
+        return _ranked(found.join(F.broadcast(names), "q").select("qid", "doc_id", "score"), k)
+
+    return _in_blocks(weighted_terms(index, queries, mode).select("qid", "term", "qtf", "idf", "df"), k, block)
+
+
+def best_of(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int, k: int):
+    """mapInArrow function over ``(doc_id, no, s)`` ordered by document: ``(q, doc_id, score)``, the ``k`` best of every query in the partition.
+
+    Query q has the words ``word[starts[q] : starts[q + 1]]`` with their weights. It holds one chunk and ``k`` results a query.
+    """
+    n = len(starts) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor = np.full(n, -np.inf)
+        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n
+
+        def chunk(doc: np.ndarray, no: np.ndarray, s: np.ndarray) -> None:
+            docs, at = np.unique(doc, return_inverse=True)
+            order = np.argsort(no, kind="stable")
+            no, at, s = no[order], at[order], s[order]
+            begin = np.searchsorted(no, np.arange(n_words + 1))
+            present = np.flatnonzero(begin[1:] > begin[:-1])
+            most = np.full(n_words, -1.0)
+            most[present] = np.maximum.reduceat(s, begin[present])
+            bound = weight * np.maximum(most[word], 0)
+            here = np.add.reduceat(most[word] >= 0, starts[:-1]) > 0
+            total, touched = np.zeros(len(docs)), np.zeros(len(docs), bool)
+            for q in np.flatnonzero(here & (np.add.reduceat(bound, starts[:-1]) >= floor - MARGIN)):
+                own = np.arange(starts[q], starts[q + 1])
+                own = own[most[word[own]] >= 0]
+                own = own[np.argsort(-bound[own], kind="stable")]
+                rest = np.cumsum(bound[own][::-1])[::-1]
+                least, seen, led = floor[q], [], False
+                for i, x in enumerate(own):
+                    if rest[i] < least - MARGIN:
+                        break
+                    lo, hi = begin[word[x]], begin[word[x] + 1]
+                    total[at[lo:hi]] += weight[x] * s[lo:hi]
+                    fresh = at[lo:hi][~touched[at[lo:hi]]]
+                    touched[fresh] = True
+                    seen.append(fresh)
+                    if not led and i + 1 < len(own) and sum(map(len, seen)) >= LEAD_DOCS * k:
+                        led = True
+                        some = total[np.concatenate(seen)]
+                        least = max(least, np.partition(some, -k)[-k])
+                else:
+                    i = len(own)
+                every = np.concatenate(seen) if seen else np.empty(0, np.int64)
+                some = every
+                if i < len(own):
+                    some = every[total[every] + rest[i] >= least - MARGIN]
+                    for x in own[i:]:
+                        lo, hi = begin[word[x]], begin[word[x] + 1]
+                        place = lo + np.searchsorted(at[lo:hi], some)
+                        hit = at[np.minimum(place, hi - 1)] == some
+                        total[some[hit]] += weight[x] * s[place[hit]]
+                score, name = np.round(total[some], DECIMALS) + 0.0, docs[some]
+                total[every], touched[every] = 0, False
+                if best[q] is not None:
+                    name, score = np.concatenate([best[q][0], name]), np.concatenate([best[q][1], score])
+                if len(score) > k:
+                    good = np.flatnonzero(score >= np.partition(score, -k)[-k])
+                    good = good[np.lexsort((name[good], -score[good]))[:k]]
+                    name, score = name[good], score[good]
+                best[q] = (name, score)
+                if len(score) == k:
+                    floor[q] = score.min()
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.num_rows
+            if size < CHUNK:
+                continue
+            t = pa.Table.from_batches(held)
+            doc = t.column("doc_id").to_numpy()
+            # a document stays whole
+            cut = int(np.searchsorted(doc, doc[-1]))
+            if cut:
+                chunk(doc[:cut], t.column("no").to_numpy()[:cut], t.column("s").to_numpy()[:cut])
+                held = t.slice(cut).combine_chunks().to_batches()
+                size = t.num_rows - cut
+        if held:
+            t = pa.Table.from_batches(held)
+            chunk(t.column("doc_id").to_numpy(), t.column("no").to_numpy(), t.column("s").to_numpy())
+        for lo in range(0, n, 1000):
+            some = [(q, *best[q]) for q in range(lo, min(n, lo + 1000)) if best[q] is not None]
+            if some:
+                q = np.repeat([x[0] for x in some], [len(x[1]) for x in some])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q, pa.int64()), pa.array(np.concatenate([x[1] for x in some])), pa.array(np.concatenate([x[2] for x in some]))],
+                    names=["q", "doc_id", "score"],
+                )
+
+    return run

@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillsearch.operators import evaluate, retrieve, vector
@@ -61,6 +63,36 @@ def test_against_brute_force(made, queries, mode, run, k):
         assert [s for _, s in got[q]] == pytest.approx([s for _, s in want], abs=2e-6)
 
 
+@pytest.mark.parametrize("run", [retrieve.top_k, retrieve.pruned_top_k])
+def test_query_sets_in_blocks(made, queries, rows, run, monkeypatch):
+    whole = rows(run(made, queries, 4))
+    monkeypatch.setattr(retrieve, "BLOCK_TERMS", 6)
+    monkeypatch.setattr(retrieve, "CHUNK", 5)
+    monkeypatch.setattr(retrieve, "LEAD_DOCS", 1)
+    assert rows(run(made, queries, 4)) == whole
+
+
+def test_pruning_kernel_passes_over_documents():
+    """Random chunks: the kernel's best are those of a full sum, with few and with many chunks."""
+    rng = np.random.default_rng(3)
+    n_docs, n_words = 400, 12
+    s = np.where(rng.random((n_docs, n_words)) < 0.3, np.round(rng.random((n_docs, n_words)) * np.arange(1, 13), 1), 0)
+    doc, no = np.nonzero(s)
+    batch = pa.RecordBatch.from_arrays([pa.array(doc), pa.array(no), pa.array(s[doc, no])], names=["doc_id", "no", "s"])
+    starts, word = np.array([0, 3, 8, 12]), np.array([0, 5, 11, 1, 2, 3, 9, 10, 4, 6, 7, 8])
+    weight = rng.integers(1, 3, len(word)).astype(float)
+    run = retrieve.best_of(starts, word, weight, n_words, 5)
+    for chunk, lead in ((10**6, 20), (50, 1), (1, 1)):
+        retrieve.CHUNK, retrieve.LEAD_DOCS, old = chunk, lead, (retrieve.CHUNK, retrieve.LEAD_DOCS)
+        got = pa.Table.from_batches(run(batch.slice(i, 7) for i in range(0, batch.num_rows, 7))).to_pylist()
+        retrieve.CHUNK, retrieve.LEAD_DOCS = old
+        for q in range(3):
+            own = slice(starts[q], starts[q + 1])
+            total, has = (s[:, word[own]] * weight[own]).sum(1), (s[:, word[own]] > 0).any(1)
+            want = sorted((-round(float(x), 6), d) for d, x in enumerate(total) if has[d])[:5]
+            assert sorted((-r["score"], r["doc_id"]) for r in got if r["q"] == q) == want
+
+
 def test_bad_arguments(made, queries):
     with pytest.raises(ValueError):
         retrieve.top_k(made, queries, 0)

@@ -32,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Folder all executors share: ``spark.checkpoint.dir``; a temporary one where that is unset and all runs on this machine, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith(("local[", "local-")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='quill-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -66,6 +68,11 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def input_partitions(df: DataFrame) -> int:
+    """Partitions that reading and mapping ``df`` takes, from its plan."""
+    return df._jdf.queryExecution().toRdd().getNumPartitions()
+
+
 def parallelism(spark: SparkSession, rows: int = 0, each: int = 1_000_000) -> int:
     """Partitions for a shuffle of ``rows`` rows: at least the session's, and so many that none has more than about ``each``."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))

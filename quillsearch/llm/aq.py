@@ -12,19 +12,21 @@ from pyspark.sql import functions as F
 
 from quillsearch.session import parallelism, stored
 
-#: The quantiser is fitted on about this many distinct vectors; every vector is indexed.
-FIT_SAMPLE = 16_384
-#: Vectors a cell should hold. Cells grow in number with the collection: first by more first-level codewords, then by pairs of codewords.
+#: The quantiser is fitted on about this many distinct vectors, or on ``FIT_EACH`` for every first-level codeword if that is more; every vector is indexed.
+FIT_SAMPLE, FIT_EACH = 16_384, 16
+#: Vectors a cell should hold. Cells grow in number with the collection: by more first-level codewords, then by as many second-level ones as are needed, and so on.
 CELL_SIZE = 512
 MAX_FIRST = 2_048
+#: A cell with more vectors than this, as far as the sample shows, is cut into parts that are compared pair by pair, at most ``MAX_PARTS``.
+MAX_CELL, MAX_PARTS = 4_096, 256
 #: Codewords of every further level, and number of levels after the first.
 FINE, LEVELS = 256, 6
-#: Beam width of the encoder, and number of cells in which a vector is kept.
-BEAM, SPILL = 4, 3
+#: Beam width of the encoder, and number of cells in which a vector is kept, with one level of cells and with more.
+BEAM, SPILL, SPILL_DEEP = 4, 3, 4
 #: Candidates of a vector that are reranked exactly at first, and by how much a looked-up cosine may fall short of the least wanted one.
 RERANK, SLACK = 512, 0.12
 #: Rows of a shuffle partition of cells, about.
-CELL_ROWS = 50_000
+CELL_ROWS = 8_000
 #: Documents of one exact vector that are named with it, at least, and always more than are wanted; a class with more is expanded by a join.
 NAMED = 7
 
@@ -62,14 +64,34 @@ def fit(sample: np.ndarray, total: int, seed: int = 7) -> Quantiser:
     """Codebooks trained one after the other on what the ones before leave over."""
     rng = np.random.default_rng(seed)
     rest = sample.astype(np.float32)
-    first = int(np.clip(total // CELL_SIZE, 1, min(MAX_FIRST, max(1, len(rest) // 4))))
-    sizes = [first] + [min(FINE, max(1, len(rest) // 4))] * LEVELS
+    sizes = cell_levels(total, max(1, len(rest) // 4))
     books = []
-    for k in sizes:
+    for k in sizes + [min(FINE, max(1, len(rest) // 4))] * (LEVELS + 1 - len(sizes)):
         c, near = _kmeans(rest, k, 5, rng)
         books.append(c)
         rest = rest - c[near]
-    return Quantiser(books, 1 if total <= 2 * CELL_SIZE * MAX_FIRST else 2)
+    return Quantiser(books, len(sizes))
+
+
+def cell_levels(total: int, most: int) -> list[int]:
+    """Codewords of the levels that name cells, at most ``most`` each: their product is about ``total / CELL_SIZE``, at any size."""
+    left = max(1, total // CELL_SIZE)
+    sizes = [min(left, MAX_FIRST, most)]
+    left = -(-left // sizes[0])
+    while left > 1 and most > 1 and len(sizes) < LEVELS:
+        sizes.append(min(left, FINE, most))
+        left = -(-left // sizes[-1])
+    return sizes
+
+
+def crowded(q: Quantiser, sample: np.ndarray, total: int) -> dict[int, int]:
+    """Parts of the cells that have more than ``MAX_CELL`` of ``total`` vectors, judged from the sample: at most one for each of its vectors."""
+    coarse = Quantiser(q.books[: q.prefix], q.prefix)
+    cross = coarse.cross()
+    cells = [encode(coarse, cross, sample[lo : lo + 1024])[2] for lo in range(0, len(sample), 1024)]
+    cell, n = np.unique(np.concatenate(cells), return_counts=True)
+    size = n * (total / len(sample))
+    return {int(c): int(min(MAX_PARTS, np.ceil(s / MAX_CELL))) for c, s in zip(cell, size) if c >= 0 and s > MAX_CELL}
 
 
 def encode(q: Quantiser, cross: list[list[np.ndarray]], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,13 +122,16 @@ def encode(q: Quantiser, cross: list[list[np.ndarray]], x: np.ndarray) -> tuple[
         codes = np.concatenate([codes[rows, beam], word[:, :, None]], axis=2)
         error = np.take_along_axis(flat, best, 1)
         if m + 1 == q.prefix:
-            cells = codes[:, :, 0] if m == 0 else codes[:, :, 0] * len(book) + word
-    if cells.shape[1] < SPILL:
-        cells = np.concatenate([cells, np.full((n, SPILL - cells.shape[1]), -1)], axis=1)
+            cells = codes[:, :, 0]
+            for level in range(1, q.prefix):
+                cells = cells * len(q.books[level]) + codes[:, :, level]
+    spill = SPILL if q.prefix == 1 else SPILL_DEEP
+    if cells.shape[1] < spill:
+        cells = np.concatenate([cells, np.full((n, spill - cells.shape[1]), -1)], axis=1)
     code = codes[:, 0]
     total = sum(b[code[:, m]] for m, b in enumerate(q.books))
     norm = (1 + (total * total).sum(1) - error[:, 0]) / 2
-    return code.astype(np.int16), np.maximum(norm, 1e-3).astype(np.float32), cells[:, :SPILL]
+    return code.astype(np.int16), np.maximum(norm, 1e-3).astype(np.float32), cells[:, :spill]
 
 
 def _matrix(c: pa.ListArray, dim: int) -> np.ndarray:
@@ -136,24 +161,47 @@ def valid_vectors(df: DataFrame, doc_id: str, vec: str, dim: int) -> DataFrame:
     return rows.where(F.coalesce(good, F.lit(False))).withColumn("class", F.xxhash64("vec"))
 
 
-def fit_on(rows: DataFrame, total: int, dim: int) -> Quantiser | None:
-    """Fit on a hash sample of the distinct ones of ``total`` vectors, about ``FIT_SAMPLE`` of them; None without vectors."""
+def fit_on(rows: DataFrame, total: int, dim: int) -> tuple[Quantiser, dict[int, int]] | None:
+    """Fit on a hash sample of the distinct ones of ``total`` vectors, and the parts of crowded cells; None without vectors."""
     if not total:
         return None
-    share = min(1.0, FIT_SAMPLE / total)
+    most = max(FIT_SAMPLE, FIT_EACH * min(MAX_FIRST, total // CELL_SIZE))
+    share = min(1.0, most / total)
     some = rows.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
-    t = some.dropDuplicates(["class"]).limit(2 * FIT_SAMPLE).select("class", "vec").toArrow().sort_by("class").combine_chunks()
+    t = some.dropDuplicates(["class"]).limit(2 * most).select("class", "vec").toArrow().sort_by("class").combine_chunks()
     if not t.num_rows:
-        t = rows.limit(FIT_SAMPLE).select("class", "vec").toArrow().combine_chunks()
-    return fit(_unit(_matrix(t.column("vec").chunk(0) if t.column("vec").num_chunks else t.column("vec").combine_chunks(), dim)), total)
+        t = rows.limit(most).select("class", "vec").toArrow().combine_chunks()
+    sample = _unit(_matrix(t.column("vec").chunk(0) if t.column("vec").num_chunks else t.column("vec").combine_chunks(), dim))
+    q = fit(sample, total)
+    return q, crowded(q, sample, total)
+
 
+def _spread(cell: np.ndarray, home: np.ndarray, kind: np.ndarray, parts: dict[int, int]) -> tuple[np.ndarray, ...]:
+    """``(row, cell, asks, answers, parted)``: where each placed row goes.
 
-def place(q: Quantiser, dim: int, named: int):
+    A class lies in one part of a crowded cell. It answers beside every part and, where it is at home,
+    asks every part, so all pairs meet, in as many tasks as there are pairs of parts.
+    """
+    n = np.array([parts.get(int(c), 1) for c in cell], np.int64)
+    own = kind % n
+    row = np.repeat(np.arange(len(cell)), n)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    asks = home[row] & (other == own[row])
+    ends = [np.stack([row, other, own[row], asks, np.ones(len(row), bool)], axis=1)]
+    far = home[row] & (other != own[row])
+    ends.append(np.stack([row[far], own[row[far]], other[far], np.ones(far.sum(), bool), np.zeros(far.sum(), bool)], axis=1))
+    row, asking, answering, asks, answers = np.concatenate(ends).T
+    key = (cell[row] * MAX_PARTS + asking) * MAX_PARTS + answering
+    return row, key, asks.astype(bool), answers.astype(bool), n[row] > 1
+
+
+def place(q: Quantiser, dim: int, named: int, parts: dict[int, int] | None = None):
     """mapInArrow function over ``(id, vec, class)`` sorted by (class, id): codes each class once and puts it into its cells.
 
     Copies of a vector in a partition become one row with their ``named`` least ids before
     anything is shuffled.
     """
+    parts = parts or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cross = q.cross()
@@ -163,18 +211,23 @@ def place(q: Quantiser, dim: int, named: int):
                 own = slice(lo, lo + 1024)
                 code, norm, cells = encode(q, cross, _unit(x[own]))
                 at, slot = np.nonzero(cells >= 0)
+                kind = np.array(classes[own], np.int64)
+                row, cell, asks, answers, parted = _spread(cells[at, slot].astype(np.int64), slot == 0, kind[at], parts)
+                at = at[row]
                 vectors = x[own][at]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(cells[at, slot].astype(np.int64)),
-                        pa.array(slot == 0),
-                        pa.array(np.array(classes[own], np.int64)[at]),
+                        pa.array(cell),
+                        pa.array(asks),
+                        pa.array(answers),
+                        pa.array(parted),
+                        pa.array(kind[at]),
                         _lists([np.array(ids[lo + i], np.int64) for i in at], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * dim), pa.array(vectors.ravel())),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * code.shape[1]), pa.array(code[at].ravel())),
                         pa.array(norm[at]),
                     ],
-                    names=["cell", "home", "class", "ids", "vec", "code", "norm"],
+                    names=["cell", "asks", "answers", "parted", "class", "ids", "vec", "code", "norm"],
                 )
 
         held: tuple[int, list[int], np.ndarray] | None = None
@@ -205,7 +258,7 @@ def place(q: Quantiser, dim: int, named: int):
     return run
 
 
-_PLACED = "cell long, home boolean, class long, ids array<long>, vec array<float>, code array<short>, norm float"
+_PLACED = "cell long, asks boolean, answers boolean, parted boolean, class long, ids array<long>, vec array<float>, code array<short>, norm float"
 
 
 def _looked_up(q: Quantiser, x: np.ndarray, code: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -228,7 +281,8 @@ def _exact(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def score_cells(q: Quantiser, dim: int, k: int, least: float, named: int):
     """mapInArrow function over placed rows sorted by (cell, class): neighbours of the classes at home in each cell.
 
-    Gives rows ``(class, a, b, cos)``: ``a`` is null for classes with ``named`` or more ids, which are expanded later.
+    Gives rows ``(class, a, b, cos, parted)``: ``a`` is null for classes with ``named`` or more ids, which are expanded
+    later; ``parted`` rows come from one of several parts of a cell.
     """
 
     def cell(t: pa.Table) -> list[tuple]:
@@ -243,7 +297,9 @@ def score_cells(q: Quantiser, dim: int, k: int, least: float, named: int):
         full = raw / np.linalg.norm(raw, axis=1)[:, None]
         code = _matrix(pick("code"), len(q.books))
         norm = pick("norm").to_numpy()
-        home = np.flatnonzero(pick("home").to_numpy(zero_copy_only=False))
+        home = np.flatnonzero(pick("asks").to_numpy(zero_copy_only=False))
+        silent = ~pick("answers").to_numpy(zero_copy_only=False)
+        parted = bool(pick("parted")[0].as_py())
         kind = kind[start]
         least_id = np.array([i[0] for i in ids])
         out = []
@@ -251,6 +307,7 @@ def score_cells(q: Quantiser, dim: int, k: int, least: float, named: int):
             own = home[lo : lo + 512]
             est = _looked_up(q, full[own].astype(np.float32), code, norm)
             est[np.arange(len(own)), own] = -2
+            est[:, silent] = -2
             est[est < least - SLACK] = -2
             r = min(RERANK, est.shape[1])
             short = np.argpartition(-est, r - 1, axis=1)[:, :r]
@@ -278,10 +335,10 @@ def score_cells(q: Quantiser, dim: int, k: int, least: float, named: int):
                 near = [(-1.0, i) for i in mine] + [(-cos[y], i) for y in range(s, e) for i in ids[other[y]]]
                 near.sort()
                 if len(mine) >= named:
-                    out += [(int(kind[x]), None, i, -c) for c, i in near[: k + named]]
+                    out += [(int(kind[x]), None, i, -c, parted) for c, i in near[: k + named]]
                 else:
                     for a in mine:
-                        out += [(int(kind[x]), a, i, -c) for c, i in [v for v in near if v[1] != a][:k]]
+                        out += [(int(kind[x]), a, i, -c, parted) for c, i in [v for v in near if v[1] != a][:k]]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,10 +347,10 @@ def score_cells(q: Quantiser, dim: int, k: int, least: float, named: int):
             start = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
             for s, e in zip(start, np.append(start[1:], len(cells))):
                 if got := cell(t.slice(s, e - s)):
-                    cls, a, b, cos = zip(*got)
+                    cls, a, b, cos, parted = zip(*got)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cls, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cos, pa.float64())],
-                        names=["class", "a", "b", "cos"],
+                        [pa.array(cls, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cos, pa.float64()), pa.array(parted)],
+                        names=["class", "a", "b", "cos", "parted"],
                     )
 
         held: list[pa.Table] = []
@@ -321,8 +378,9 @@ def similar_vectors(df: DataFrame, doc_id: str, vec: str, dim: int, k: int, leas
     """For every vector its ``k`` most similar others with a cosine of at least ``least``: ``(a, b, cos)``.
 
     Cosines are exact in double precision, rounded to 6 decimals; equal ones rank by smaller
-    id. Candidates come from the cells a vector is kept in (its ``SPILL`` nearest), scored by
+    id. Candidates come from the cells a vector is kept in (its ``SPILL`` nearest, or ``SPILL_DEEP`` of several levels), scored by
     table lookup on the codes; the ``RERANK`` best and all others within ``SLACK`` of the ``k``-th best are computed exactly.
+    Cells hold about ``CELL_SIZE`` vectors however many there are; crowded ones are cut into parts.
 
     Defined cases: null, incomplete, all-zero, NaN or infinite vectors and null ids take no
     part; an id delivered again with the same vector counts once; ids of equal vectors are
@@ -331,26 +389,36 @@ def similar_vectors(df: DataFrame, doc_id: str, vec: str, dim: int, k: int, leas
     """
     rows = valid_vectors(df, doc_id, vec, dim)
     total = rows.count()
-    q = fit_on(rows, total, dim)
+    fitted = fit_on(rows, total, dim)
     spark = df.sparkSession
-    if q is None:
+    if fitted is None:
         return spark.createDataFrame([], "a long, b long, cos double")
+    q, parts = fitted
     named = max(NAMED, k + 1)
-    placed = rows.select("id", "vec", "class").sortWithinPartitions("class", "id").mapInArrow(place(q, dim, named), _PLACED)
+    placed = rows.select("id", "vec", "class").sortWithinPartitions("class", "id").mapInArrow(place(q, dim, named, parts), _PLACED)
     cells = placed.repartition(parallelism(spark, total * SPILL, CELL_ROWS), "cell").sortWithinPartitions("cell", "class")
-    found = stored(cells.mapInArrow(score_cells(q, dim, k, least, named), "class long, a long, b long, cos double"), "neighbours")
-    direct = found.where("a is not null").select("a", "b", "cos")
+    found = stored(cells.mapInArrow(score_cells(q, dim, k, least, named), "class long, a long, b long, cos double, parted boolean"), "neighbours")
+    direct = found.where("a is not null and not parted").select("a", "b", "cos")
+    if parts:
+        some = found.where("a is not null and parted").select("a", "b", "cos").distinct()
+        direct = direct.unionByName(_best(some, k))
     many = found.where("a is null").select("class", "b", "cos")
     if many.isEmpty():
         return direct
     # a class of many copies: its ids are never gathered, each row meets the class's short list
-    near = many.groupBy("class").agg(F.sort_array(F.collect_list(F.struct((-F.col("cos")).alias("c"), "b"))).alias("near"))
+    near = many.groupBy("class").agg(F.sort_array(F.collect_set(F.struct((-F.col("cos")).alias("c"), "b"))).alias("near"))
     ids = rows.select(F.col("id").alias("a"), "class").distinct().join(F.broadcast(near) if near.count() < 10_000 else near, "class")
     best = F.slice(F.filter("near", lambda x: x["b"] != F.col("a")), 1, k)
     wide = ids.select("a", F.explode(best).alias("n")).select("a", F.col("n.b").alias("b"), (-F.col("n.c")).alias("cos"))
     return direct.unionByName(wide)
 
 
+def _best(pairs: DataFrame, k: int) -> DataFrame:
+    """The ``k`` first pairs ``(a, b, cos)`` of every ``a``."""
+    order = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+
+
 def scan_for(dim: int, ids: np.ndarray, vectors: np.ndarray, k: int):
     """mapInArrow function over ``(id, vec, class)``: the ``k`` best rows of each batch for a block of query vectors.
 
@@ -397,19 +465,21 @@ def search(df: DataFrame, queries: DataFrame, doc_id: str, vec: str, dim: int, k
     """The ``k`` most similar rows of ``df`` for every query vector: ``(a, b, cos)``, ranked as in :func:`similar_vectors`.
 
     Queries are a stated subset with its own ids and go through the whole table in blocks of
-    ``QUERY_BLOCK`` vectors, each block broadcast within a fixed size. Neither cells nor codes
-    are used, so dissimilar neighbours are found as well and the result is exact.
+    ``QUERY_BLOCK`` vectors. One block is in memory at a time, the results of several are written one
+    after the other. Neither cells nor codes are used, so dissimilar neighbours are found
+    as well and the result is exact.
     """
     spark = df.sparkSession
     rows = valid_vectors(df, doc_id, vec, dim)
     asked = valid_vectors(queries, doc_id, vec, dim).groupBy("id").agg(F.first("vec").alias("vec"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = spark.createDataFrame([], "a long, b long, cos double")
+    found = None
     for i in range(blocks):
         t = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow().combine_chunks()
         if not t.num_rows:
             continue
         ids, vectors = t.column("id").to_numpy(), _matrix(t.column("vec").combine_chunks(), dim).astype(np.float64)
-        found = found.unionByName(rows.mapInArrow(scan_for(dim, ids, vectors, k), "a long, b long, cos double"))
-    order = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+        got = _best(rows.mapInArrow(scan_for(dim, ids, vectors, k), "a long, b long, cos double").distinct(), k)
+        got = got if blocks == 1 else stored(got, "found")
+        found = got if found is None else found.unionByName(got)
+    return spark.createDataFrame([], "a long, b long, cos double") if found is None else found

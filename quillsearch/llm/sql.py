@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-_BEST = r"""
+from quillsearch.functions.text import SPACE_RE2
+
+_BEST = rf"""
 WITH best AS (
-  SELECT upper(regexp_replace(qid, '^\s+|\s+$', '', 'g')) AS qid, did, max(score) AS score
+  SELECT upper(regexp_replace(qid, '^{SPACE_RE2}+|{SPACE_RE2}+$', '', 'g')) AS qid, did, max(score) AS score
   FROM evaluation
   WHERE qid IS NOT NULL AND did IS NOT NULL AND score IS NOT NULL AND isfinite(score)
   GROUP BY ALL),
@@ -43,6 +45,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS
 
 ORACLES = {
     "p5_found": _COSINES + "SELECT DISTINCT least(a, b) AS docno_a, greatest(a, b) AS docno_b FROM ranked WHERE rank <= 5 AND cos >= 0.85",
+    "p5_search": _COSINES + "SELECT a AS docno, b AS similar, cos FROM ranked WHERE rank <= 5 AND a % 100 = 0",
     "p3_found": _VERSIONS + "SELECT docno_a, docno_b FROM pairs",
     "p3_groups": _VERSIONS + """,
         ends AS (SELECT docno_a AS a, docno_b AS b FROM pairs UNION ALL SELECT docno_b, docno_a FROM pairs),

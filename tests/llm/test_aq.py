@@ -113,3 +113,37 @@ def test_more_neighbours_than_named_copies(spark):
     df = spark.createDataFrame(rows, "docno long, vec array<float>")
     got = {(r["a"], r["b"]) for r in aq.similar_vectors(df, "docno", "vec", DIM, 12, 0.85).collect()}
     assert got == brute(rows, 12, 0.85)
+
+
+@pytest.mark.parametrize("k", [5, 10])
+def test_crowded_cells_in_parts(spark, monkeypatch, k):
+    """One cell for all, compared in pairs of parts: the same result, also for classes of many copies."""
+    monkeypatch.setattr(aq, "MAX_CELL", 25)
+    rows, bad = vectors()
+    df = spark.createDataFrame(rows + bad, "docno long, vec array<float>").repartition(3)
+    valid = aq.valid_vectors(df, "docno", "vec", DIM)
+    q, parts = aq.fit_on(valid, valid.count(), DIM)
+    assert q.prefix == 1 and max(parts.values()) > 4
+    got = [(r["a"], r["b"]) for r in aq.similar_vectors(df, "docno", "vec", DIM, k, 0.85).collect()]
+    assert set(got) == brute(rows, k, 0.85) and len(got) == len(set(got))
+
+
+def test_cells_follow_the_collection():
+    """Whatever the size, cells hold about as many vectors; levels are added without a jump."""
+    for total in (10, 1_000, 100_000, 1_048_576, 1_048_577, 2_200_000, 50_000_000, 10**9, 10**11):
+        cells = int(np.prod(aq.cell_levels(total, 4096)))
+        assert total / cells < 2 * aq.CELL_SIZE and (total < aq.CELL_SIZE or total / cells > aq.CELL_SIZE / 3)
+
+
+def test_twenty_copies_ten_neighbours(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0] * 8) for i in range(20)], "docno long, vec array<float>")
+    got = [(r["a"], r["b"]) for r in aq.similar_vectors(df, "docno", "vec", DIM, 10, 0.85).collect()]
+    assert sorted(got) == [(a, b) for a in range(20) for b in [x for x in range(20) if x != a][:10]]
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    rows, bad = vectors()
+    df = spark.createDataFrame(rows + bad, "docno long, vec array<float>")
+    monkeypatch.setattr(aq, "QUERY_BLOCK", 20)
+    got = {(r["a"], r["b"]) for r in aq.search(df, df.where("docno < 2000"), "docno", "vec", DIM, 5).collect()}
+    assert got == {p for p in brute(rows, 5, -1) if p[0] < 2000}

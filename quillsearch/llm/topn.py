@@ -10,7 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillsearch.session import parallelism
+from quillsearch.session import input_partitions, parallelism
+
+#: Runs of a group that are merged at a time. More runs take more passes, each with so many times fewer.
+FAN_IN = 256
 
 
 def _changes(*columns: pa.Array) -> np.ndarray:
@@ -154,17 +157,22 @@ def merge_runs(score: np.ndarray, item: np.ndarray, group: np.ndarray, new_run:
 
 
 def merge_bucket(n: int):
-    """mapInArrow function over a bucket sorted by (g, run, score descending, item).
+    """mapInArrow function over a bucket sorted by (g, wave, run, score descending, item).
 
-    Whole groups are merged chunk by chunk. What it holds is a batch and one group, which
-    after the cut has at most ``n`` rows per run.
+    Merges the runs of every (g, wave) into one, ``wave`` by number. What it holds is a batch and one
+    such set of runs, at most ``n`` rows from each of ``FAN_IN`` runs.
     """
 
+    def starts_of(t: pa.Table) -> np.ndarray:
+        return _changes(_column(t, "g"), _column(t, "wave"))
+
+    def key(t: pa.Table, row: int) -> tuple:
+        return t.column("g")[row].as_py(), t.column("wave")[row].as_py()
+
     def merged(t: pa.Table) -> Iterator[pa.RecordBatch]:
         t = _one_chunk(t)
-        g = _column(t, "g")
-        new = _changes(g)
-        run = _changes(g, _column(t, "run"))
+        new = starts_of(t)
+        run = _changes(_column(t, "g"), _column(t, "wave"), _column(t, "run"))
         at, rank = merge_runs(
             _column(t, "score").to_numpy(zero_copy_only=False),
             _column(t, "item").to_numpy(zero_copy_only=False),
@@ -172,8 +180,10 @@ def merge_bucket(n: int):
             run,
             n,
         )
-        got = t.select(["g", "item", "score"]).take(pa.array(at))
-        yield from got.append_column("rank", pa.array(rank, pa.int64())).combine_chunks().to_batches()
+        # in the order of their ranks, so that the result is a run itself
+        order = np.lexsort((rank, np.cumsum(new)[at]))
+        got = t.select(["g", "item", "score", "wave"]).take(pa.array(at[order])).rename_columns(["g", "item", "score", "run"])
+        yield from got.append_column("rank", pa.array(rank[order], pa.int64())).combine_chunks().to_batches()
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -181,9 +191,8 @@ def merge_bucket(n: int):
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
-            starts = np.flatnonzero(_changes(_column(t, "g")))
-            last = int(starts[-1])
-            same = bool(held) and held[-1].column("g")[-1].as_py() == t.column("g")[0].as_py()
+            last = int(np.flatnonzero(starts_of(t))[-1])
+            same = bool(held) and key(held[-1], -1) == key(t, 0)
             if last == 0 and (same or not held):
                 held.append(t)
                 continue
@@ -202,8 +211,11 @@ def top_n(df: DataFrame, group: Column, item: str, score: str, n: int) -> DataFr
 
     1. Every input partition is sorted without a shuffle into one run and cut to the first
        ``n`` distinct items of each group; a group of a third of all rows leaves ``n`` rows a run.
-    2. The cut runs are bucketed by group in one shuffle, each bucket ordered by group and run.
-    3. A loser tree per group merges its runs and goes on to the next group after ``n`` items.
+    2. The cut runs are stored bucketed by group in a shuffle, each bucket ordered by group and run.
+    3. A loser tree per group merges its runs and goes on to the next group after ``n`` items. What it leaves
+       of a run is less than ``n`` rows, for runs are stored cut.
+    4. Beyond ``FAN_IN`` runs, passes over buckets of (group, ``FAN_IN`` runs) come before, so the runs of a
+       hot group are spread over tasks and no task holds more than ``FAN_IN`` x ``n`` rows of it.
 
     Defined cases: rows with a null group or item and scores that are null, NaN or infinite
     don't take part; an item present more than once counts once, with its highest
@@ -215,7 +227,16 @@ def top_n(df: DataFrame, group: Column, item: str, score: str, n: int) -> DataFr
     ).where("g is not null and item is not null and score is not null and not isnan(score) and abs(score) < double('Infinity')")
     rows = rows.withColumn("run", F.spark_partition_id())
     order = [F.desc("score"), "item"]
-    schema = "g string, item long, score double, run int"
-    runs = rows.sortWithinPartitions("g", *order).mapInArrow(cut_runs(n), schema)
-    buckets = runs.repartition(parallelism(df.sparkSession, df.count()), "g").sortWithinPartitions("g", "run", *order)
-    return buckets.mapInArrow(merge_bucket(n), "g string, item long, score double, rank long")
+    left = input_partitions(rows)
+    # a bucket for every few input partitions, which are larger than the runs cut from them
+    buckets = max(parallelism(df.sparkSession), left // 4)
+    runs = rows.sortWithinPartitions("g", *order).mapInArrow(cut_runs(n), "g string, item long, score double, run int")
+    while True:
+        left = -(-left // FAN_IN)
+        waves = runs.withColumn("wave", F.floor(F.col("run") / FAN_IN).cast("int") if left > 1 else F.lit(0))
+        keys = ["g", "wave"] if left > 1 else ["g"]
+        bucketed = waves.repartition(buckets, *keys).sortWithinPartitions("g", "wave", "run", *order)
+        runs = bucketed.mapInArrow(merge_bucket(n), "g string, item long, score double, run int, rank long")
+        if left <= 1:
+            return runs.select("g", "item", "score", "rank")
+        runs = runs.drop("rank")

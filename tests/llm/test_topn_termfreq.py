@@ -35,6 +35,20 @@ def test_top_n_against_brute_force(spark):
     assert topn.top_n(df.limit(0), F.col("qid"), "did", "score", 3).count() == 0
 
 
+def test_many_runs_of_one_group(spark, monkeypatch):
+    """1,000 input partitions that all hold the same group are merged in passes of bounded width."""
+    monkeypatch.setattr(topn, "FAN_IN", 32)
+    df = spark.range(0, 6000, 1, 1000).select(
+        F.when(F.col("id") % 7 == 0, F.concat(F.lit("G"), F.col("id") % 50)).otherwise("HOT").alias("qid"),
+        (F.col("id") % 1500).alias("did"),
+        ((F.col("id") * 7919) % 97).cast("double").alias("score"),
+    )
+    got = topn.top_n(df, F.col("qid"), "did", "score", 10)
+    assert {(r["g"], r["item"], r["rank"]) for r in got.collect()} == best([tuple(r) for r in df.collect()], 10)
+    # the cut, one pass over 32 sets of runs, and the last
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 6), st.integers(0, 8), st.integers(0, 4)), max_size=60), st.integers(1, 5))
 def test_merge_of_runs(rows, n):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillsearch.session import stored
@@ -72,3 +74,88 @@ def lookup(terms: DataFrame, asked: DataFrame) -> DataFrame:
     """``(term, term_id)`` for every asked term; -1 for terms that aren't in the dictionary."""
     found = asked.select("term").distinct().join(dense_ids(terms), "term", "left")
     return found.select("term", F.coalesce("term_id", F.lit(-1)).cast("long").alias("term_id"))
+
+
+@dataclass(frozen=True)
+class IdMap:
+    """Term dictionary as a table ``(term, term_id)`` ordered by term."""
+
+    table: DataFrame
+
+    @staticmethod
+    def build(terms: DataFrame) -> IdMap:
+        return IdMap(stored(dense_ids(terms), "idmap"))
+
+    def save(self, path: str) -> None:
+        self.table.write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> IdMap:
+        return IdMap(spark.read.parquet(path))
+
+    def all(self) -> DataFrame:
+        """``(term, term_id)`` of all terms."""
+        return self.table
+
+    def ids_of(self, asked: DataFrame) -> DataFrame:
+        """``(term, term_id)`` for every asked term, once; -1 for terms that aren't in the dictionary."""
+        found = asked.select("term").distinct().join(self.table, "term", "left")
+        return found.select("term", F.coalesce("term_id", F.lit(-1)).cast("long").alias("term_id"))
+
+
+@dataclass(frozen=True)
+class RadixTree:
+    """Term dictionary as the nodes of a radix tree: ``(node_id, parent_id, first, label, term_id)``.
+
+    Only labels are stored, ``first`` is a label's first character. Node ids follow the sorted
+    order, so the root is 0; ``term_id`` is null for nodes that are no term.
+    """
+
+    nodes: DataFrame
+
+    @staticmethod
+    def build(terms: DataFrame) -> RadixTree:
+        nodes = stored(radix_nodes(terms), "radix")
+        ids = stored(dense_ids(nodes.select(F.col("node").alias("term"))).toDF("node", "node_id"), "node-ids")
+        term_ids = dense_ids(terms).toDF("node", "term_id")
+        parents = ids.toDF("parent", "parent_id")
+        rows = nodes.join(ids, "node").join(parents, "parent", "left").join(term_ids, "node", "left")
+        return RadixTree(stored(rows.select("node_id", "parent_id", F.substring("label", 1, 1).alias("first"), "label", "term_id"), "tree"))
+
+    def save(self, path: str) -> None:
+        self.nodes.write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> RadixTree:
+        return RadixTree(spark.read.parquet(path))
+
+    def all(self) -> DataFrame:
+        """``(term, term_id)`` of all terms, put together from the labels on the way down, one level of the tree a round."""
+        level = self.nodes.where("parent_id is null").select("node_id", F.col("label").alias("text"), "term_id")
+        out = level
+        below = self.nodes.where("parent_id is not null").select(F.col("parent_id").alias("up"), F.col("node_id").alias("to"), "label", F.col("term_id").alias("id"))
+        while not level.isEmpty():
+            level = level.join(below, F.col("node_id") == F.col("up"))
+            level = stored(level.select(F.col("to").alias("node_id"), F.concat("text", "label").alias("text"), F.col("id").alias("term_id")), "level")
+            out = out.unionByName(level)
+        return out.where("term_id is not null").select(F.col("text").alias("term"), "term_id")
+
+    def ids_of(self, asked: DataFrame) -> DataFrame:
+        """``(term, term_id)`` for every asked term, once; -1 for terms that aren't in the dictionary.
+
+        All terms descend together, one edge a round: the edge is found by the node and the next
+        character, and followed where its whole label comes next in the term.
+        """
+        words = asked.select("term").where("term is not null").distinct()
+        root = self.nodes.where("parent_id is null").select(F.col("node_id").alias("at"), F.col("term_id").alias("id"))
+        going = stored(words.crossJoin(F.broadcast(root)).withColumn("n", F.lit(0)), "descent")
+        edges = self.nodes.where("parent_id is not null")
+        done = going
+        while not going.isEmpty():
+            step = going.drop("id").withColumn("first", F.substring(F.col("term"), F.col("n") + 1, F.lit(1)))
+            step = step.join(edges, (F.col("at") == F.col("parent_id")) & (step["first"] == edges["first"]))
+            step = step.where(F.substring(F.col("term"), F.col("n") + 1, F.length("label")) == F.col("label"))
+            going = stored(step.select("term", F.col("node_id").alias("at"), F.col("term_id").alias("id"), (F.col("n") + F.length("label")).alias("n")), "descent")
+            done = done.unionByName(going)
+        found = done.where((F.col("n") == F.length("term")) & F.col("id").isNotNull()).select("term", F.col("id").alias("term_id"))
+        return words.join(found, "term", "left").select("term", F.coalesce("term_id", F.lit(-1)).cast("long").alias("term_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillsearch.functions import codecs
 from quillsearch.functions.text import words_by_space
-from quillsearch.session import parallelism, stored
+from quillsearch.session import has_table, parallelism, stored
 
 #: Index modes: one group-by over all documents, or one per block and a merge. The postings are the same.
 INDEX_MODES = ("spimi", "bsbi")
@@ -66,6 +66,12 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     )
 
 
+def document_map(docs: DataFrame) -> DataFrame:
+    """``(doc_id, doc_path, doc_no)`` of documents with an id and a path."""
+    number = F.col("doc_no").cast("long") if "doc_no" in docs.columns else F.col("doc_id").cast("long")
+    return docs.where("doc_id is not null and doc_path is not null").select("doc_id", "doc_path", number.alias("doc_no")).distinct()
+
+
 @dataclass(frozen=True)
 class Index:
     """Postings with document lengths, and term, document and corpus statistics.
@@ -79,40 +85,53 @@ class Index:
     n_docs: int
     avg_dl: float
     min_dl: int
+    paths: DataFrame | None = None
 
     @staticmethod
     def build(docs: DataFrame, mode: str = "spimi") -> Index:
-        """Index ``docs (doc_id, text)`` (``bsbi`` needs ``block`` as well) and store it in the shared folder."""
+        """Index ``docs (doc_id, text)`` (``bsbi`` needs ``block`` as well) and store it in the shared folder.
+
+        With ``doc_path`` (and ``doc_no``, the document's number outside the index) the document map is kept as ``paths``.
+        """
         if mode not in INDEX_MODES:
             raise ValueError(f"index mode is one of {INDEX_MODES}, not {mode!r}")
         spark = docs.sparkSession
         # few large input files would leave most cores idle
         spread = docs.repartition(parallelism(spark))
         raw = postings_of(spread) if mode == "spimi" else merge_postings(block_postings(spread))
-        return Index._of(stored(raw, "raw-postings"))
+        paths = stored(document_map(docs), "paths") if "doc_path" in docs.columns else None
+        return Index.of_postings(stored(raw, "raw-postings"), paths)
 
     @staticmethod
-    def _of(raw: DataFrame) -> Index:
+    def of_postings(raw: DataFrame, paths: DataFrame | None = None) -> Index:
+        """Index of stored postings ``(term, doc_id, tf)``."""
         spark = raw.sparkSession
         docs = stored(doc_stats(raw), "docs")
         sorted_ = raw.join(docs, "doc_id").repartitionByRange(parallelism(spark), "term", "doc_id")
         postings = stored(sorted_.sortWithinPartitions("term", "doc_id").select("term", "doc_id", "tf", "dl"), "postings")
         terms = stored(term_stats(postings), "terms")
         n, avg, least = corpus_stats(docs).head()
-        return Index(postings, terms, docs, n, float(avg), least)
+        return Index(postings, terms, docs, n, float(avg), least, paths)
 
     def save(self, path: str) -> None:
-        """Write the four tables as Parquet below ``path``; postings keep their order by term, which lets readers skip row groups."""
+        """Write the tables as Parquet below ``path``; postings keep their order by term, which lets readers skip row groups."""
         self.postings.write.mode("overwrite").parquet(f"{path}/postings")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         corpus_stats(self.docs).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
+        if self.paths is not None:
+            self.paths.write.mode("overwrite").parquet(f"{path}/paths")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
         read = lambda name: spark.read.parquet(f"{path}/{name}")
         n, avg, least = read("corpus").head()
-        return Index(read("postings"), read("terms"), read("docs"), n, float(avg), least)
+        paths = read("paths") if has_table(spark, f"{path}/paths") else None
+        return Index(read("postings"), read("terms"), read("docs"), n, float(avg), least, paths)
+
+    def known(self, words: DataFrame) -> DataFrame:
+        """``words`` with the statistics of those that the index has."""
+        return words.join(self.terms.select("term", "df", "max_tf"), "term")
 
     def lookup(self, terms: DataFrame) -> DataFrame:
         """Postings of the terms in ``terms (term)``; unknown terms give none."""

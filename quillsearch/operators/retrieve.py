@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillsearch.functions import scoring
 from quillsearch.functions.text import words_by_space
+from quillsearch.operators.encoded import EncodedIndex
 from quillsearch.operators.index import Index
 from quillsearch.session import parallelism, stored
 
@@ -34,13 +35,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return words.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def weighted_terms(index: Index, queries: DataFrame, mode: str) -> DataFrame:
+def weighted_terms(index: Index | EncodedIndex, queries: DataFrame, mode: str) -> DataFrame:
     """``(qid, term, qtf, df, max_tf, idf)``; words that aren't in the index are dropped. idf is computed once per term."""
-    known = query_terms(queries).join(index.terms.select("term", "df", "max_tf"), "term")
+    known = index.known(query_terms(queries))
     return known.withColumn("idf", scoring.idf(mode, F.lit(index.n_docs), F.col("df")))
 
 
-def term_bounds(index: Index, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def term_bounds(index: Index | EncodedIndex, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``(term, df, max_tf, ub_tfidf, ub_bm25)``: most that a term can add to a score, from its largest count and the shortest document."""
     n, avg, least = F.lit(index.n_docs), F.lit(index.avg_dl), F.lit(max(1, index.min_dl))
     return index.terms.select(
@@ -83,7 +84,7 @@ def _checked(k: int) -> int:
 
 
 def top_k(
-    index: Index, queries: DataFrame, k: int = 10, mode: str = "bm25", k1: float = 1.2, b: float = 0.75
+    index: Index | EncodedIndex, queries: DataFrame, k: int = 10, mode: str = "bm25", k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
     """``(qid, rank, doc_id, score)``: the ``k`` best documents of every query that any of its words occurs in.
 
@@ -105,7 +106,7 @@ def top_k(
 
 
 def pruned_top_k(
-    index: Index, queries: DataFrame, k: int = 10, mode: str = "bm25", k1: float = 1.2, b: float = 0.75
+    index: Index | EncodedIndex, queries: DataFrame, k: int = 10, mode: str = "bm25", k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
     """The rows of :func:`top_k`, scoring fewer documents.
 

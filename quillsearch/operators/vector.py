@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillsearch.functions.text import words_by_pattern
-from quillsearch.operators.index import occurrences
-from quillsearch.session import stored
+from quillsearch.operators.index import document_map, occurrences
+from quillsearch.session import has_table, stored
 
 #: Documents on which the singular vectors are fitted first, at most. Smaller collections are decomposed exactly, larger ones refined over all documents.
 FIT_DOCS = 2_048
@@ -118,6 +118,7 @@ class LsiIndex:
     terms: DataFrame
     docs: DataFrame
     components: int
+    paths: DataFrame | None = None
 
     @staticmethod
     def build(docs: DataFrame, components: int = 128) -> LsiIndex:
@@ -168,22 +169,24 @@ class LsiIndex:
         zero = F.array_repeat(F.lit(0.0).cast("float"), len(value))
         terms = weights.join(projection, "term", "left").select("term", "idf", F.coalesce("v", zero).alias("v"))
         terms = stored(terms, "lsi-terms")
-        return LsiIndex(terms, stored(_project(vectors, terms), "lsi-docs"), len(value))
+        paths = stored(document_map(docs), "paths") if "doc_path" in docs.columns else None
+        return LsiIndex(terms, stored(_project(vectors, terms), "lsi-docs"), len(value), paths)
 
     def save(self, path: str) -> None:
         self.terms.write.mode("overwrite").parquet(f"{path}/lsi-terms")
         self.docs.write.mode("overwrite").parquet(f"{path}/lsi-docs")
+        if self.paths is not None:
+            self.paths.write.mode("overwrite").parquet(f"{path}/lsi-paths")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> LsiIndex:
         terms = spark.read.parquet(f"{path}/lsi-terms")
-        return LsiIndex(terms, spark.read.parquet(f"{path}/lsi-docs"), len(terms.select("v").head()[0]))
+        paths = spark.read.parquet(f"{path}/lsi-paths") if has_table(spark, f"{path}/lsi-paths") else None
+        return LsiIndex(terms, spark.read.parquet(f"{path}/lsi-docs"), len(terms.select("v").head()[0]), paths)
 
     @staticmethod
     def has_artifacts(spark: SparkSession, path: str) -> bool:
-        jvm = spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{path}/lsi-terms/_SUCCESS")
-        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        return has_table(spark, f"{path}/lsi-terms")
 
     def encode(self, queries: DataFrame) -> DataFrame:
         """``(doc_id, vec)`` of query texts; a query without a known word has no vector."""

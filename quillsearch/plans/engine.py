@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quillsearch.functions.scoring import checked
 from quillsearch.operators import evaluate, retrieve
+from quillsearch.operators.encoded import EncodedIndex
 from quillsearch.operators.index import Index
 from quillsearch.operators.vector import LsiIndex
+from quillsearch.sources.collection import with_paths
 
 RETRIEVALS = ("full", "wand", "faiss")
 
@@ -16,7 +18,7 @@ RETRIEVALS = ("full", "wand", "faiss")
 class SearchEngine:
     """Lexical and, if built, vector index of one collection."""
 
-    def __init__(self, index: Index | None = None, vectors: LsiIndex | None = None) -> None:
+    def __init__(self, index: Index | EncodedIndex | None = None, vectors: LsiIndex | None = None) -> None:
         self.index = index
         self.vectors = vectors
 
@@ -25,15 +27,26 @@ class SearchEngine:
         """Index ``docs (doc_id, text[, block])``; with ``components`` a vector index too."""
         return SearchEngine(Index.build(docs, mode), LsiIndex.build(docs, components) if components else None)
 
-    def save(self, path: str) -> None:
-        if self.index:
+    def save(self, path: str, codec: str | None = None, dictionary: str = "idmap") -> None:
+        """Write the indexes below ``path``; with a ``codec`` postings as encoded lists, with a stored term dictionary."""
+        if self.index and codec:
+            EncodedIndex.save(self.index, path, codec, dictionary)
+        elif self.index:
             self.index.save(path)
         if self.vectors:
             self.vectors.save(path)
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> SearchEngine:
-        return SearchEngine(Index.load(spark, path), LsiIndex.load(spark, path) if LsiIndex.has_artifacts(spark, path) else None)
+    def load(spark: SparkSession, path: str, codec: str | None = None, dictionary: str = "idmap", vectors: str | None = None) -> SearchEngine:
+        """Open what :meth:`save` wrote; the vector index may lie in a folder of its own."""
+        index = EncodedIndex.load(spark, path, codec, dictionary) if codec else Index.load(spark, path)
+        at = vectors or path
+        return SearchEngine(index, LsiIndex.load(spark, at) if LsiIndex.has_artifacts(spark, at) else None)
+
+    @property
+    def paths(self) -> DataFrame | None:
+        """The document map ``(doc_id, doc_path, doc_no)``, if the collection had paths."""
+        return self.index.paths if self.index else self.vectors.paths if self.vectors else None
 
     def search(
         self, queries: DataFrame | str, k: int = 10, scoring: str = "bm25", retrieval: str = "full", k1: float = 1.2, b: float = 0.75
@@ -63,4 +76,6 @@ class SearchEngine:
         return evaluate.mean(per)
 
     def evaluate_per_query(self, queries: DataFrame, qrels: DataFrame, k: int = 1000, **options) -> DataFrame:
-        return evaluate.per_query(self.search(queries, k, **options), qrels, queries.select(F.col("qid")))
+        """Judgments name documents by their numbers, which the document map, if there is one, gives for the ids."""
+        top = with_paths(self.search(queries, k, **options), self.paths)
+        return evaluate.per_query(top.select("qid", "rank", F.col("doc_no").alias("doc_id")), qrels, queries.select(F.col("qid")))

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from quillsearch.functions import codecs
 from quillsearch.functions.text import SPACE_RE2, clean_key, words_by_pattern, words_by_space
-from quillsearch.operators import dictionary, evaluate, index, retrieve, vector
-from quillsearch.session import stored, table
+from quillsearch.operators import dictionary, encoded, evaluate, index, retrieve, vector
+from quillsearch.session import shared_dir, stored, table
 
 _INDEXES: dict[tuple[str, str], index.Index] = {}
+_ENCODED: dict[tuple[str, str, str, str], encoded.EncodedIndex] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,49 @@ def built(spark: SparkSession, sf_dir: str) -> index.Index:
     return _INDEXES[key]
 
 
+def opened(spark: SparkSession, sf_dir: str, codec: str, terms: str) -> encoded.EncodedIndex:
+    """The index as it lies on disk: written with a codec and a term dictionary once per application, and opened."""
+    key = (spark.sparkContext.applicationId, sf_dir, codec, terms)
+    if key not in _ENCODED:
+        path = f"{shared_dir(spark)}/index-{key[0]}-{abs(hash(sf_dir))}"
+        encoded.EncodedIndex.save(built(spark, sf_dir), path, codec, terms)
+        _ENCODED[key] = encoded.EncodedIndex.load(spark, path, codec, terms)
+    return _ENCODED[key]
+
+
+def doc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense ids of all document paths, in sorted order."""
+    return dictionary.dense_ids(table(spark, sf_dir, "collection_docs").select(F.col("doc_path").alias("term"))).toDF("doc_path", "doc_id")
+
+
+def radix_tree_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all words of all queries by descent in the stored radix tree."""
+    tree = opened(spark, sf_dir, "vbe", "patricia").dictionary
+    return tree.ids_of(retrieve.query_terms(query_set(spark, sf_dir)))
+
+
+def radix_tree_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms with their ids, read back from the labels of the stored radix tree."""
+    return opened(spark, sf_dir, "vbe", "patricia").dictionary.all()
+
+
+def stored_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All postings, decoded from the stored lists."""
+    return opened(spark, sf_dir, "elias-gamma", "patricia").scan()
+
+
+def bm25_topk_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.top_k(opened(spark, sf_dir, "standard", "idmap"), query_set(spark, sf_dir), 10)
+
+
+def bm25_topk_vbe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.top_k(opened(spark, sf_dir, "vbe", "patricia"), query_set(spark, sf_dir), 10)
+
+
+def bm25_topk_elias_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieve.pruned_top_k(opened(spark, sf_dir, "elias-gamma", "patricia"), query_set(spark, sf_dir), 10)
+
+
 def tokenize_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", F.size(words_by_space(F.col("text"))).cast("long").alias("n_tokens"))
 
@@ -205,7 +249,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         postings_lookup, term_ids, radix_nodes, radix_lookup, gap_list, codec_sizes, standard_encode_hex, vbe_encode_hex,
         eg_encode_hex, codec_roundtrip, term_bounds, tfidf_topk, bm25_topk, bm25_params, tfidf_wand_topk,
         bm25_wand_topk, query_dup_terms, query_unknown_terms, knn_exact_l2, tfidf_cosine_topk, lsi_topk, qrels,
-        eval_per_query, eval_mean,
+        eval_per_query, eval_mean, doc_ids, radix_tree_lookup, radix_tree_terms, stored_scan, bm25_topk_standard,
+        bm25_topk_vbe, bm25_topk_elias_gamma,
     )
 }
 
@@ -301,6 +346,15 @@ ORACLES = {
     "codec_roundtrip": "SELECT unnest(['standard', 'vbe', 'elias-gamma']) AS codec, 0::BIGINT AS mismatches",
     "term_bounds": f"""WITH {_POST} SELECT term, df, max_tf, round(ln(n::DOUBLE / df) * (1 + ln(max_tf)), 6) AS ub_tfidf,
         round({_bm25(1.2, 0.75).replace(" tf ", " max_tf ").replace("(tf ", "(max_tf ").replace("* dl", "* greatest(m, 1)")}, 6) AS ub_bm25 FROM terms, corp""",
+    "doc_ids": """SELECT doc_path, row_number() OVER (ORDER BY doc_path) - 1 AS doc_id
+        FROM (SELECT DISTINCT doc_path FROM collection_docs WHERE doc_path IS NOT NULL)""",
+    "radix_tree_lookup": f"""WITH {_POST}{_ASK}, ids AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM terms)
+        SELECT a.term, coalesce(term_id, -1) AS term_id FROM (SELECT DISTINCT term FROM qterms) a LEFT JOIN ids ON ids.term = a.term""",
+    "radix_tree_terms": f"WITH {_POST} SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM terms",
+    "stored_scan": f"WITH {_POST} SELECT term, doc_id, tf FROM post",
+    "bm25_topk_standard": _top_sql(_bm25(1.2, 0.75)),
+    "bm25_topk_vbe": _top_sql(_bm25(1.2, 0.75)),
+    "bm25_topk_elias_gamma": _top_sql(_bm25(1.2, 0.75)),
     "tfidf_topk": _top_sql(_TFIDF),
     "bm25_topk": _top_sql(_bm25(1.2, 0.75)),
     "bm25_params": _top_sql(_bm25(2.0, 0.5)),

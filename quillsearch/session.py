@@ -68,6 +68,12 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def has_table(spark: SparkSession, path: str) -> bool:
+    """Whether a complete table was written to ``path``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def input_partitions(df: DataFrame) -> int:
     """Partitions that reading and mapping ``df`` takes, from its plan."""
     return df._jdf.queryExecution().toRdd().getNumPartitions()

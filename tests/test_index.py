@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillsearch.functions.text import words_by_pattern, words_by_space
 from quillsearch.operators import dictionary, index
+from quillsearch.operators.encoded import EncodedIndex
 
 DOCS = [(1, "a", "x y  y\nz"), (2, "a", "y"), (3, "b", ""), (4, "b", None), (5, "b", "Z z y.")]
 
@@ -110,3 +111,20 @@ def test_tokens_are_those_of_the_unicode_rules(spark):
     # characters younger than the oldest edition of Unicode at hand are left out
     assert all(got[c][1] == re.findall(r"\w+", t) for c, t in data if unicodedata.ucd_3_2_0.category(chr(c)) != "Cn")
     assert got[0xB2][1] == ["a²b"] and got[0x301][1] == ["a", "b"]
+
+
+@pytest.mark.parametrize("codec", ["standard", "vbe", "elias-gamma"])
+@pytest.mark.parametrize("terms", ["idmap", "patricia"])
+def test_encoded_index(docs, rows, tmp_path, codec, terms):
+    made = index.Index.build(docs)
+    path = f"file://{tmp_path}/i"
+    EncodedIndex.save(made, path, codec, terms)
+    back = EncodedIndex.load(docs.sparkSession, path, codec, terms)
+    assert rows(back.scan()) == rows(made.postings.select("term", "doc_id", "tf"))
+    assert rows(back.terms) == rows(made.terms)
+    asked = docs.sparkSession.createDataFrame([("y",), ("y.",), ("yy",), ("Zz",), ("Z",)], "term string")
+    assert rows(back.hits(asked)) == rows(made.hits(asked), "term", "doc_id", "tf", "dl")
+    assert rows(back.known(asked)) == rows(made.known(asked))
+    assert (back.n_docs, back.avg_dl, back.min_dl) == (made.n_docs, made.avg_dl, made.min_dl)
+    with pytest.raises(ValueError):
+        EncodedIndex.load(docs.sparkSession, path, codec, "trie")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillsearch.functions import codecs
 from quillsearch.functions.text import SPACE_RE2, clean_key, words_by_pattern, words_by_space
 from quillsearch.operators import dictionary, encoded, evaluate, index, retrieve, vector
-from quillsearch.session import shared_dir, stored, table
+from quillsearch.session import scratch, stored, table
 
 _INDEXES: dict[tuple[str, str], index.Index] = {}
 _ENCODED: dict[tuple[str, str, str, str], encoded.EncodedIndex] = {}
@@ -48,7 +48,7 @@ def opened(spark: SparkSession, sf_dir: str, codec: str, terms: str) -> encoded.
     """The index as it lies on disk: written with a codec and a term dictionary once per application, and opened."""
     key = (spark.sparkContext.applicationId, sf_dir, codec, terms)
     if key not in _ENCODED:
-        path = f"{shared_dir(spark)}/index-{key[0]}-{abs(hash(sf_dir))}"
+        path = scratch(spark, "index")
         encoded.EncodedIndex.save(built(spark, sf_dir), path, codec, terms)
         _ENCODED[key] = encoded.EncodedIndex.load(spark, path, codec, terms)
     return _ENCODED[key]

@@ -136,10 +136,12 @@ def test_queries_without_results_count(spark, made, queries):
 
 
 def test_lsi_at_full_rank_is_cosine(spark, corpus, queries, rows, tmp_path):
-    lsi = vector.LsiIndex.build(corpus, 1000)
+    # a word and its twin always come together, so one component fewer than words is full rank
+    twins = spark.createDataFrame([(d, t.replace("w0", "w0 twin")) for d, t in DOCS.items()], "doc_id long, text string")
+    lsi = vector.LsiIndex.build(twins, 1000)
     got = {(r["qid"], r["doc_id"]): r["score"] for r in lsi.query(queries, 60).collect()}
-    for r in vector.cosine_top_k(corpus, queries, 5).collect():
-        assert got[r["qid"], r["doc_id"]] == pytest.approx(2 * r["score"] - 2, abs=0.35)
+    for r in vector.cosine_top_k(twins, queries, 5).collect():
+        assert got[r["qid"], r["doc_id"]] == pytest.approx(2 * r["score"] - 2, abs=1e-3)
     lsi.save(f"file://{tmp_path}/v")
     assert vector.LsiIndex.has_artifacts(spark, f"file://{tmp_path}/v")
     assert rows(vector.LsiIndex.load(spark, f"file://{tmp_path}/v").docs) == rows(lsi.docs)
@@ -165,13 +167,36 @@ def test_knn_of_many_equal_vectors(spark, rows):
     assert got == [(9000, r + 1, 2001 + r, 0.0) for r in range(9)]
 
 
-def test_lsi_keeps_words_outside_the_fit(spark, monkeypatch):
-    """Every document has a word of its own: also those that aren't in the sample are found by it."""
-    monkeypatch.setattr(vector, "FIT_DOCS", 20)
-    docs = spark.createDataFrame([(d, f"{t} own{d}") for d, t in DOCS.items()], "doc_id long, text string")
-    own = spark.createDataFrame([(f"q{d}", f"own{d}") for d in DOCS], "qid string, text string")
+def decomposed(texts, queries, width):
+    """Scores of all pairs by a full decomposition."""
+    words = sorted({w for t in texts.values() for w in t.split()})
+    idf = {w: math.log((1 + len(texts)) / (1 + sum(w in t.split() for t in texts.values()))) + 1 for w in words}
+
+    def matrix(rows):
+        x = np.array([[t.split().count(w) * idf[w] for w in words] for t in rows], float)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    a = matrix(texts.values())
+    v = np.linalg.svd(a, full_matrices=False)[2][:width].T
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    return 2 * unit(matrix(queries) @ v) @ unit(a @ v).T - 2
+
+
+@pytest.mark.parametrize("broadcast,driver", [(64 << 20, 0), (3000, 0), (64 << 20, 1 << 30), (3000, 1 << 30)])
+def test_lsi_is_the_decomposition_of_all_documents(spark, monkeypatch, broadcast, driver):
+    """More terms than one block of the iteration has columns; every document has a word of its own."""
+    monkeypatch.setattr(vector, "MORE_COLUMNS", 4)
+    monkeypatch.setattr(vector, "TERM_BLOCK", 16)
+    monkeypatch.setattr(vector, "BROADCAST_BYTES", broadcast)
+    monkeypatch.setattr(vector, "DRIVER_BYTES", driver)
+    texts = {d: f"{t} own{d}" for d, t in DOCS.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked = [f"own{d}" for d in DOCS] + list(DOCS.values())[:20]
     lsi = vector.LsiIndex.build(docs, 16)
-    assert lsi.terms.count() == len({w for t in DOCS.values() for w in t.split()}) + len(DOCS)
-    found = lsi.query(own, 10).collect()
-    assert {r["qid"] for r in found} == {f"q{d}" for d in DOCS}
-    assert sum(r["qid"] == f"q{r['doc_id']}" for r in found) >= 0.8 * len(DOCS)
+    assert lsi.terms.count() == len({w for t in DOCS.values() for w in t.split()}) + len(DOCS) and lsi.components == 16
+    df = spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(asked)], "qid string, text string")
+    want = decomposed(texts, asked, 16)
+    got = np.zeros_like(want)
+    for r in lsi.query(df, len(DOCS)).collect():
+        got[int(r["qid"][1:]), r["doc_id"]] = r["score"]
+    assert np.abs(got - want).max() < 1e-3

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsearch.llm.plain import folded
@@ -246,8 +247,22 @@ def fit(docs: list[list[str]], label: np.ndarray, language: list[str], corpus: l
     return net
 
 
-def train_trusted(docs: list[list[str]], label: np.ndarray, language: list[str]) -> tuple[Net, Held]:
-    """Train on labels of which some are wrong.
+def _in_tasks(spark: SparkSession | None, n: int, make: Callable[[int], tuple]) -> list[tuple]:
+    """``make(0)`` to ``make(n - 1)``, tuples of numpy arrays and numbers, each in a Spark task of its own if there is a session."""
+    if spark is None:
+        return [make(i) for i in range(n)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column("id").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pickle.dumps(make(i))], pa.binary())], names=["id", "made"])
+
+    rows = spark.range(0, n, 1, n).mapInArrow(run, "id long, made binary").collect()
+    return [pickle.loads(r["made"]) for r in sorted(rows, key=lambda r: r["id"])]
+
+
+def train_trusted(docs: list[list[str]], label: np.ndarray, language: list[str], spark: SparkSession | None = None) -> tuple[Net, Held]:
+    """Train on labels of which some are wrong; with a session in its tasks, the halves side by side.
 
     Two nets, each trained on one half, judge the other half. Labels that such a net plainly
     contradicts are left out when the final net is trained; in languages with few unfit documents
@@ -257,17 +272,27 @@ def train_trusted(docs: list[list[str]], label: np.ndarray, language: list[str])
     lang = np.array(language)
     half = np.random.default_rng(SEED).permutation(len(docs)) % 2
     held = np.full(len(docs), 0.5)
-    for h in (0, 1):
+
+    def judge(h: int) -> tuple:
         own, rest = np.flatnonzero(half != h), np.flatnonzero(half == h)
-        if label[own].sum() >= 2 and len(rest):
-            held[rest] = scores(train([docs[i] for i in own], label[own], lang[own], SEED + h), [docs[i] for i in rest])
+        if label[own].sum() < 2 or not len(rest):
+            return rest[:0], held[:0]
+        return rest, scores(train([docs[i] for i in own], label[own], lang[own], SEED + h), [docs[i] for i in rest])
+
+    for rest, score in _in_tasks(spark, 2, judge):
+        held[rest] = score
     sure = np.array([label[lang == x].sum() >= SURE_LABELS for x in language], bool)
     trusted = np.flatnonzero(~((label == 1) & (held < np.where(sure, 0.15, 0.02))) & ~((label == 0) & (held > 0.9)))
     if label[trusted].sum() < 2:
         trusted = np.arange(len(docs))
-    net = train([docs[i] for i in trusted], label[trusted], lang[trusted], SEED + 2)
     own = [docs[i] for i in trusted]
-    return net, Held(held[trusted], label[trusted], lang[trusted], _share(scores(net, own)))
+
+    def final(_: int) -> tuple:
+        net = train(own, label[trusted], lang[trusted], SEED + 2)
+        return net.table, net.filters, net.bias, net.out, net.offset, _share(scores(net, own))
+
+    *parts, often = _in_tasks(spark, 1, final)[0]
+    return Net(*parts), Held(held[trusted], label[trusted], lang[trusted], often)
 
 
 def _share(score: np.ndarray) -> float:
@@ -319,7 +344,7 @@ def train_on(docs: DataFrame, doc_id: str, text: str, lang: str, reviews: DataFr
     marks = np.array([r["v"] > 0 for r in got])
     if not marks.any() or marks.all():
         return None
-    return train_trusted([tokens(r["text"]) for r in got], marks, [r["lang"] for r in got])
+    return train_trusted([tokens(r["text"]) for r in got], marks, [r["lang"] for r in got], docs.sparkSession)
 
 
 def fit_on(docs: DataFrame, doc_id: str, text: str, lang: str, reviews: DataFrame, review_id: str, label: str) -> Net | None:

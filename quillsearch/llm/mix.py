@@ -20,11 +20,16 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 BLOCK = 4096
 #: Sources a table of weights may list, else an error; it is read to the driver.
 MAX_SOURCES = 100_000
-#: Characters encoded at a time. Texts are cut before white space, which never changes the count; only a longer run of other characters is cut inside.
+#: Characters encoded at a time, about. Texts are cut only before white space, which never changes the count.
 PIECE = 20_000
 
 # fixed value: how the tokenizer splits text
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# fixed value: what that pattern takes for white space
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_CUT = re.compile(f"(?!{_SPACE}).(?={_SPACE})", re.S)
+#: White space of this length or more is counted apart from the pattern, which would run out of stack.
+_LONG_SPACE = re.compile(_SPACE + "{50000,}")
 
 
 def source_key(source: Column) -> Column:
@@ -34,17 +39,29 @@ def source_key(source: Column) -> Column:
 
 
 def pieces(text: str) -> list[str]:
-    """Parts of at most ``PIECE`` characters, cut between a non-space and a space where there is one."""
+    """Parts of about ``PIECE`` characters, cut between a non-space and a space; a longer run without white space stays whole."""
     out, at = [], 0
-    while len(text) - at > PIECE:
-        cut = at + PIECE
-        m = [x.start() + 1 for x in re.finditer(r"\S(?=\s)", text[at + PIECE // 2 : cut + 1])]
-        cut = at + PIECE // 2 + m[-1] if m else cut
-        out.append(text[at:cut])
-        at = cut
+    while len(text) - at > PIECE and (m := _CUT.search(text, at + PIECE)):
+        out.append(text[at : m.end()])
+        at = m.end()
     return [*out, text[at:]]
 
 
+def token_count(encoding, text: str) -> int:
+    """Tokens of the whole text, as if it were encoded at once.
+
+    Of white space before other characters the pattern takes all but the last character as one
+    piece, at the end of a text all of it.
+    """
+    total, at = 0, 0
+    for m in _LONG_SPACE.finditer(text):
+        stop = m.end() - (m.end() < len(text))
+        total += sum(len(encoding.encode_ordinary(p)) for p in pieces(text[at : m.start()]))
+        total += len(encoding._encode_single_piece(text[m.start() : stop]))
+        at = stop
+    return total + sum(len(encoding.encode_ordinary(p)) for p in pieces(text[at:]))
+
+
 def count_tokens(vocabulary: bytes):
     """mapInArrow function: ``(id, source, text)`` to ``(id, source, n_tokens)``."""
 
@@ -52,9 +69,9 @@ def count_tokens(vocabulary: bytes):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
-        encode = tiktoken.Encoding("public", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("public", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
-            n = [sum(len(encode(p)) for p in pieces(t)) for t in b.column("text").to_pylist()]
+            n = [token_count(encoding, t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("source"), pa.array(n, pa.int64())], names=["id", "source", "n_tokens"])
 
     return run

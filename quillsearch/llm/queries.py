@@ -77,6 +77,12 @@ def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "text", 5, Fraction(1, 3))
 
 
+def p7_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`p7_leaks` on the runs of ``a``-``z`` and ``0``-``9`` of the lower-cased texts, which SQL can express: a check of everything but the folding."""
+    plain = lambda name, key: table(spark, sf_dir, name).select(key, F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ").alias("text"))
+    return leak.leaks(plain("documents", "doc_id"), "doc_id", "text", plain("test_items", "item_id"), "item_id", "text", 5, Fraction(1, 3))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test items and the documents that expose them."""
     return p7_leaks(spark, sf_dir).select("item_id", "doc_id")
@@ -97,6 +103,24 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir, "target").shares
 
 
+def p8_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix has to keep, per listed source: documents used too often, and whether its tokens fall short of the budget by less than one document.
+
+    Used from the mix itself, not from its report.
+    """
+    mixed = _mixed(spark, sf_dir, "target")
+    limits = mixed.shares.where("source is not null").select("source", "max_repeats", "budget_tokens", "available_tokens")
+    listed = table(spark, sf_dir, "source_weights").select(mix.source_key(F.col("source")).alias("source")).distinct()
+    longest = mixed.uses.groupBy("source").agg(
+        F.max("n_tokens").alias("longest"), F.sum(F.col("uses") * F.col("n_tokens")).alias("tokens"), F.max("uses").alias("most")
+    )
+    over = mixed.uses.join(limits, "source").where(F.col("uses") > F.col("max_repeats")).groupBy("source").agg(F.count(F.lit(1)).alias("n_over"))
+    rows = listed.join(limits, "source").join(longest, "source", "left").join(over, "source", "left")
+    gap = F.col("budget_tokens") - F.coalesce("tokens", F.lit(0))
+    short = (gap >= 0) & (gap <= F.coalesce("longest", F.col("available_tokens")))
+    return rows.select("source", F.coalesce("n_over", F.lit(0)).alias("n_over"), short.alias("within_a_document"))
+
+
 def p8_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of the sources when their natural shares are tempered to the entropy of the targets."""
     return _mixed(spark, sf_dir, "temperature").shares
@@ -131,6 +155,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_topn, p3_found, p3_groups, p5_found, p5_search, p6_found, p6_frequencies,
-        p7_found, p7_leaks, p8_mix, p8_shares, p8_temperature, p9_found, p9_scores, p9_rates,
+        p7_found, p7_leaks, p7_words, p8_mix, p8_shares, p8_limits, p8_temperature, p9_found, p9_scores, p9_rates,
     )
 }

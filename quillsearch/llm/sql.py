@@ -43,7 +43,23 @@ cosines AS (SELECT a.docno AS a, b.docno AS b, round(list_cosine_similarity(a.v,
 ranked AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS rank FROM cosines)
 """
 
+# spaces inside a sequence aren't compared: it begins where a word begins, ends where one ends, and may cut words otherwise.
+_WORDS = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM test_items WHERE text IS NOT NULL),
+iseq AS (SELECT DISTINCT item_id, unnest([array_to_string(w[k:k + 4], '') FOR k IN range(1, len(w) - 3)]) AS s FROM i),
+dseq AS (SELECT DISTINCT doc_id, unnest(flatten([[array_to_string(w[k:k + n], '') FOR k IN range(1, len(w) - n + 1)] FOR n IN range(0, 68)])) AS s FROM d),
+size AS (SELECT item_id, count(*) AS sequences FROM iseq GROUP BY item_id)
+"""
+
 ORACLES = {
+    "p7_words": _WORDS + """
+        SELECT doc_id, item_id, count(*) AS shared, any_value(sequences) AS sequences
+        FROM iseq JOIN dseq USING (s) JOIN size USING (item_id) GROUP BY doc_id, item_id HAVING count(*) * 3 >= any_value(sequences)""",
+    "p8_limits": rf"""
+        SELECT DISTINCT regexp_replace(lower(regexp_replace(source, '^{SPACE_RE2}+|{SPACE_RE2}+$', '', 'g')), '[\s_-]+', '_', 'g') AS source,
+               0::BIGINT AS n_over, true AS within_a_document
+        FROM source_weights WHERE source IS NOT NULL""",
     "p5_found": _COSINES + "SELECT DISTINCT least(a, b) AS docno_a, greatest(a, b) AS docno_b FROM ranked WHERE rank <= 5 AND cos >= 0.85",
     "p5_search": _COSINES + "SELECT a AS docno, b AS similar, cos FROM ranked WHERE rank <= 5 AND a % 100 = 0",
     "p3_found": _VERSIONS + "SELECT docno_a, docno_b FROM pairs",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillsearch.llm.neardup import mix
 from quillsearch.llm.plain import folded
+from quillsearch.session import stored
 
 #: Length of a q-gram, in letters and digits.
 Q = 10
@@ -40,16 +41,16 @@ def _stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return chars[word], of[word], begins[word], ends[word]
 
 
-def _grams(chars: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the q-grams that lie in one text, and where they begin."""
-    n = len(chars) - Q + 1
+def _grams(chars: np.ndarray, of: np.ndarray, length: int = Q) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``length`` characters that lie in one text, and where they begin."""
+    n = len(chars) - length + 1
     if n < 1:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     h = np.zeros(n, np.uint64)
     c = chars.astype(np.uint64)
-    for i in range(Q):
+    for i in range(length):
         h = h * np.uint64(0x100000001B3) + c[i : i + n]
-    at = np.flatnonzero(of[:n] == of[Q - 1 :])
+    at = np.flatnonzero(of[:n] == of[length - 1 :])
     return mix(h[at]), at
 
 
@@ -68,14 +69,17 @@ class Items:
     item: np.ndarray
     at: np.ndarray
     seen: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def index_items(ids: list[int], texts: list[str], words: int, share: Fraction) -> Items:
     """Index of the items; those without a whole sequence are left out.
 
-    ``need`` is the number of an item's sequences that make a leak. ``bound`` is how many of its
-    q-grams any ``need`` unedited sequences hold at least: a sequence of L characters holds
-    L - Q + 1, and a q-gram lies in at most ``words`` sequences.
+    ``need`` is the number of an item's sequences that make a leak; all edits that leave so many
+    are in the budget. ``bound`` is how many of its q-grams any such edits leave at least: a
+    sequence of L characters holds L - Q + 1, and a q-gram lies in at most ``words`` sequences.
+    Items without a bound can leak by sequences shorter than a q-gram; ``short`` has those by their
+    lengths: hashes in order, and the item of each.
     """
     kept, streams, sequences, least, need, bound = [], [], [], [], [], []
     for i, t in zip(ids, texts):
@@ -100,6 +104,17 @@ def index_items(ids: list[int], texts: list[str], words: int, share: Fraction) -
     seen = np.zeros(1 << 22, bool)
     seen[(grams >> np.uint64(42)).astype(np.int64)] = True
     item = of[at][order]
+    small: dict[int, list[tuple[str, int]]] = {}
+    for i in np.flatnonzero(np.array(bound) == 0).tolist():
+        for q in sequences[i]:
+            if len(q) < Q:
+                small.setdefault(len(q), []).append((q, i))
+    short = {}
+    for length, pairs in small.items():
+        letters = np.frombuffer("".join(q for q, _ in pairs).encode("utf-32-le"), np.uint32)
+        hashes, _ = _grams(letters, np.repeat(np.arange(len(pairs)), length), length)
+        rank = np.argsort(hashes, kind="stable")
+        short[length] = hashes[rank], np.array([i for _, i in pairs])[rank]
     return Items(
         np.array(kept, np.int64),
         [chars[s:e] for s, e in zip(start, np.append(start[1:], len(chars)))],
@@ -112,6 +127,7 @@ def index_items(ids: list[int], texts: list[str], words: int, share: Fraction) -
         item,
         at[order] - start[item],
         seen,
+        short,
     )
 
 
@@ -192,6 +208,18 @@ def align(items: Items, chars: np.ndarray, starts: np.ndarray, stops: np.ndarray
     return best
 
 
+def short_hits(items: Items, chars: np.ndarray, of: np.ndarray) -> set[tuple[int, int]]:
+    """``(text, item)`` where a text has one of the ``short`` sequences of an item without a bound."""
+    found = set()
+    for length, (hashes, item) in items.short.items():
+        h, at = _grams(chars, of, length)
+        lo, hi = np.searchsorted(hashes, h), np.searchsorted(hashes, h, side="right")
+        n = hi - lo
+        entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        found |= set(zip(np.repeat(of[at], n).tolist(), item[entry].tolist()))
+    return found
+
+
 def find_leaks(items: Items):
     """mapInArrow function: ``(id, text)`` to ``(doc_id, item_id, shared, sequences)`` for every leak."""
 
@@ -212,8 +240,7 @@ def find_leaks(items: Items):
                     score = align(items, chars, starts, stops, text[own], item[own], diagonal[own])
                     ok = score >= items.least[item[own]]
                     pairs |= set(zip(text[own][ok].tolist(), item[own][ok].tolist()))
-                # items of very short words have no bound and are looked for in every text
-                pairs |= {(t, i) for i in np.flatnonzero(items.bound == 0).tolist() for t in range(len(rows))}
+                pairs |= short_hits(items, chars, of)
                 out = []
                 for t, i in sorted(pairs):
                     s, e = int(starts[t]), int(stops[t])
@@ -249,8 +276,9 @@ def leaks(
     what stands between them, so case, punctuation, layout, hyphenation at line ends,
     markup and encoding don't matter.
 
-    The passages, a fixed set, are sent to the executors in blocks of at most ``ITEM_BLOCK``
-    characters; documents are never shuffled.
+    The passages, a fixed set, are sent to the executors in blocks of about ``ITEM_BLOCK``
+    characters; one block is in memory at a time, and the results of several are written one after
+    the other. Documents are never shuffled.
 
     Defined cases: null ids and null or empty texts have no leak; a passage of fewer than ``words``
     words has no sequence and can't leak; a document or passage given twice counts once; empty
@@ -269,5 +297,6 @@ def leaks(
         rows = sorted(tuple(r) for r in held.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect())
         part = index_items([r[0] for r in rows], [r[1] for r in rows], words, share)
         got = base.mapInArrow(find_leaks(part), "doc_id long, item_id long, shared long, sequences long")
+        got = got if blocks == 1 else stored(got, "leaks")
         found = got if found is None else found.unionByName(got)
     return found.groupBy("doc_id", "item_id").agg(F.max("shared").alias("shared"), F.max("sequences").alias("sequences"))

@@ -64,6 +64,20 @@ def test_short_words_are_checked_exactly(spark):
     assert found(spark, items, [(1, "x a b c d e f g h y"), (2, "ab cd ef gh"), (3, "a b c d")]) == {(1, 1)}
 
 
+def test_short_and_long_words_in_one_item(spark):
+    """Items without a bound leak by their short sequences or by their long ones; blocks of items don't matter."""
+    items = spark.createDataFrame([(1, "a b c d e extraordinarily complicated terminology notwithstanding"), (2, "f g h i j k l")], "item_id long, text string")
+    texts = [(1, "x A-b, c d e y extraordinarily"), (2, "d e extraordinarily complicated terminology, e extraordinarily complicated terminology notwithstanding"), (3, "nothing f g h i")]
+    assert found(spark, items, texts) == {(2, 1)}
+    assert found(spark, items, [(1, "zz f g h i j zz"), (2, "g h i j k"), (3, "fg hijk"), (4, "xf g h i j")]) == {(1, 2), (2, 2)}
+
+
+def test_items_in_blocks(spark, items, monkeypatch):
+    monkeypatch.setattr(leak, "ITEM_BLOCK", 800)
+    more = items.union(spark.createDataFrame([(20 + i, f"{ITEM} {i} more words here now") for i in range(6)], items.schema))
+    assert found(spark, more, [(1, ITEM), (2, FILL(90))]) == {(1, 7)} | {(1, 20 + i) for i in range(6)}
+
+
 def test_long_text(spark, items):
     assert found(spark, items, [(1, FILL(60_000) + " " + ITEM + " " + FILL(1000))]) == {(1, 7)}
 

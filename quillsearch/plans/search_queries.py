@@ -10,10 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillsearch.functions import codecs
+from quillsearch.functions import codecs, scoring
 from quillsearch.functions.text import SPACE_RE2, clean_key, words_by_pattern, words_by_space
 from quillsearch.operators import dictionary, encoded, evaluate, index, retrieve, vector
+from quillsearch.plans.engine import SearchEngine
 from quillsearch.session import scratch, stored, table
+from quillsearch.sources import collection
 
 _INDEXES: dict[tuple[str, str], index.Index] = {}
 _ENCODED: dict[tuple[str, str, str, str], encoded.EncodedIndex] = {}
@@ -242,6 +244,62 @@ def eval_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.mean(eval_per_query(spark, sf_dir))
 
 
+def query_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries written as lines ``QID words`` and read back."""
+    path = scratch(spark, "queries")
+    query_set(spark, sf_dir).select(F.concat_ws(" ", F.regexp_replace("qid", r"\s", "_"), F.regexp_replace("text", r"[\r\n]", " "))).write.text(path)
+    return collection.read_queries(spark, path)
+
+
+def qrels_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The judgments written as lines ``QID DOCID`` and read back."""
+    path = scratch(spark, "qrels")
+    judgments(spark, sf_dir).select(F.concat_ws(" ", F.regexp_replace("qid", r"\s", "_"), "doc_id")).write.text(path)
+    return collection.read_qrels(spark, path)
+
+
+def dense_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance of all pairs of 30 queries and 1,033 documents."""
+    return collection.dense_qrels(judgments(spark, sf_dir))
+
+
+def demo_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.demo_queries(spark)
+
+
+def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query through the engine, pruned, as printed lines."""
+    engine = SearchEngine(built(spark, sf_dir))
+    top = collection.with_paths(engine.search(query_set(spark, sf_dir), 10, "tfidf", "wand"), engine.paths)
+    return collection.result_lines(top)
+
+
+def engine_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SearchEngine(built(spark, sf_dir)).evaluate(query_set(spark, sf_dir), judgments(spark, sf_dir), 1000, scoring="bm25", retrieval="wand")
+
+
+def scoring_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The formulas where something is 0."""
+    grid = spark.range(0, 54).select(
+        (F.col("id") % 3 * 5).alias("n"), (F.floor(F.col("id") / 3) % 3 * 2).alias("df"), (F.floor(F.col("id") / 9) % 3).alias("tf"), (F.floor(F.col("id") / 27) * 7).alias("avg")
+    )
+    n, df, tf, avg = (F.col(c) for c in ("n", "df", "tf", "avg"))
+    made = grid.withColumn("idf_tfidf", scoring.tfidf_idf(n, df)).withColumn("idf_bm25", scoring.bm25_idf(n, df))
+    made = made.withColumn("tfidf", scoring.tfidf_term(F.col("idf_tfidf"), tf)).withColumn("bm25", scoring.bm25_term(F.col("idf_bm25"), tf, F.lit(9), avg, 1.2, 0.75))
+    return made.select("n", "df", "tf", "avg", *(F.round(c, 6).alias(c) for c in ("idf_tfidf", "idf_bm25", "tfidf", "bm25")))
+
+
+def lsi_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a vector index holds after it was saved and opened: components, terms, documents, and those of length 1."""
+    path = scratch(spark, "lsi")
+    vector.LsiIndex.build(stored(corpus(spark, sf_dir), "corpus"), 128).save(path)
+    opened_ = vector.LsiIndex.load(spark, path)
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda at, x: at + x.cast("double") * x))
+    docs = opened_.docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum((F.abs(length - 1) < 1e-5).cast("long")).alias("n_unit"))
+    terms = opened_.terms.agg(F.count(F.lit(1)).alias("n_terms"), F.max(F.size("v")).cast("long").alias("components"))
+    return terms.crossJoin(docs).select("components", "n_terms", "n_docs", "n_unit")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -250,7 +308,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         eg_encode_hex, codec_roundtrip, term_bounds, tfidf_topk, bm25_topk, bm25_params, tfidf_wand_topk,
         bm25_wand_topk, query_dup_terms, query_unknown_terms, knn_exact_l2, tfidf_cosine_topk, lsi_topk, qrels,
         eval_per_query, eval_mean, doc_ids, radix_tree_lookup, radix_tree_terms, stored_scan, bm25_topk_standard,
-        bm25_topk_vbe, bm25_topk_elias_gamma,
+        bm25_topk_vbe, bm25_topk_elias_gamma, query_file, qrels_file, dense_qrels, demo_queries, engine_search,
+        engine_evaluate, scoring_guards, lsi_artifacts,
     )
 }
 
@@ -346,6 +405,26 @@ ORACLES = {
     "codec_roundtrip": "SELECT unnest(['standard', 'vbe', 'elias-gamma']) AS codec, 0::BIGINT AS mismatches",
     "term_bounds": f"""WITH {_POST} SELECT term, df, max_tf, round(ln(n::DOUBLE / df) * (1 + ln(max_tf)), 6) AS ub_tfidf,
         round({_bm25(1.2, 0.75).replace(" tf ", " max_tf ").replace("(tf ", "(max_tf ").replace("* dl", "* greatest(m, 1)")}, 6) AS ub_bm25 FROM terms, corp""",
+    "query_file": f"""WITH {_DOCS}{_ASK} SELECT regexp_replace(qid, '\\s', '_', 'g') AS qid,
+        array_to_string(list_filter(string_split_regex(regexp_replace(text, '[\\r\\n]', ' ', 'g'), '{SPACE_RE2}+'), lambda x: x <> ''), ' ') AS text FROM asked""",
+    "qrels_file": f"WITH {_JUDGED} SELECT DISTINCT regexp_replace(qid, '\\s', '_', 'g') AS qid, doc_id FROM judged",
+    "dense_qrels": f"""WITH {_JUDGED}, grid AS (SELECT 'Q' || q AS qid, d AS doc_id FROM range(1, 31) a(q), range(1, 1034) b(d))
+        SELECT qid, doc_id, CASE WHEN j.qid IS NULL THEN 0 ELSE 1 END AS rel FROM grid LEFT JOIN judged j USING (qid, doc_id)""",
+    "demo_queries": "SELECT * FROM (VALUES "
+    + ", ".join(f"('D{i + 1}', '{q}')" for i, q in enumerate(collection.DEMO_QUERIES))
+    + ") AS v(qid, text)",
+    "engine_search": f"WITH {_ranking(_TFIDF)} SELECT qid, rank, rpad(doc_id::VARCHAR, 30, ' ') || ' ' || printf('%.3f', round(score::DECIMAL(18, 6), 3)::DOUBLE) AS line FROM ranked",
+    "engine_evaluate": _METRICS + """ SELECT count(*) AS n_queries, round(avg(rbp), 5) AS rbp, round(avg(dcg), 5) AS dcg,
+        round(avg(ndcg), 5) AS ndcg, round(avg(ap), 5) AS ap FROM per""",
+    "scoring_guards": """WITH g AS (SELECT id % 3 * 5 AS n, id // 3 % 3 * 2 AS df, id // 9 % 3 AS tf, id // 27 * 7 AS avg FROM range(54) t(id)),
+        i AS (SELECT *, CASE WHEN n > 0 AND df > 0 THEN ln(n::DOUBLE / df) ELSE 0 END AS a,
+              CASE WHEN n > 0 AND df > 0 THEN ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5)) ELSE 0 END AS b FROM g)
+        SELECT n, df, tf, avg, round(a, 6) AS idf_tfidf, round(b, 6) AS idf_bm25,
+               round(CASE WHEN tf > 0 THEN a * (1 + ln(tf)) ELSE 0 END, 6) AS tfidf,
+               round(CASE WHEN tf > 0 THEN b * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * 9 / CASE WHEN avg > 0 THEN avg ELSE 1 END)) ELSE 0 END, 6) AS bm25 FROM i""",
+    "lsi_artifacts": rf"""WITH {_DOCS}, w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')) AS term FROM docs),
+        c AS (SELECT count(DISTINCT term) AS t, count(DISTINCT doc_id) AS d FROM w), n AS (SELECT count(*) AS n FROM docs)
+        SELECT least(128, n - 1, t - 1) AS components, t AS n_terms, d AS n_docs, d AS n_unit FROM c, n""",
     "doc_ids": """SELECT doc_path, row_number() OVER (ORDER BY doc_path) - 1 AS doc_id
         FROM (SELECT DISTINCT doc_path FROM collection_docs WHERE doc_path IS NOT NULL)""",
     "radix_tree_lookup": f"""WITH {_POST}{_ASK}, ids AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM terms)

@@ -93,7 +93,7 @@ def with_paths(ranking: DataFrame, paths: DataFrame | None) -> DataFrame:
 
 
 def result_lines(ranking: DataFrame, name: str = "doc_path") -> DataFrame:
-    """Printable lines: the document in at least 30 columns and the score with 3 decimals."""
+    """Printable lines: the document in at least 30 columns and the score with 3 decimals, rounded half up from its 6."""
     shown = F.col(name).cast("string")
     padded = F.when(F.length(shown) < 30, F.rpad(shown, 30, " ")).otherwise(shown)
     return ranking.select("qid", "rank", F.concat(padded, F.lit(" "), F.format_string("%.3f", F.col("score"))).alias("line"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,24 +54,29 @@ def term_bounds(index: Index | EncodedIndex, k1: float = 1.2, b: float = 0.75) -
     )
 
 
-def _in_blocks(terms: DataFrame, k: int, run) -> DataFrame:
+def _in_blocks(terms: DataFrame, k: int, run: Callable[[pa.Table], DataFrame]) -> DataFrame:
     """Union of ``run(block)`` over blocks of whole queries that are small enough to be broadcast.
 
     A single block stays a lazy plan. Several are run one after the other and written, so
     that no more than one is in memory at any time.
     """
+    few = terms.limit(BLOCK_TERMS + 1).toArrow()
+    if few.num_rows <= BLOCK_TERMS and pc.count_distinct(few.column("qid")).as_py() * k <= BLOCK_RESULTS:
+        return run(few)
     terms = stored(terms, "query-terms")
     size = terms.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("qid").alias("q")).head()
-    blocks = max(1, -(-size["n"] // BLOCK_TERMS), -(-size["q"] * k // BLOCK_RESULTS))
-    if blocks == 1:
-        return run(terms)
+    blocks = max(-(-size["n"] // BLOCK_TERMS), -(-size["q"] * k // BLOCK_RESULTS))
     out = None
     for i in range(blocks):
-        got = stored(run(terms.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)), "ranked")
+        block = terms.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow()
+        got = stored(run(block), "ranked")
         out = got if out is None else out.unionByName(got)
     return out
 
 
+_TERMS = "qid string, term string, qtf long, idf double, df long"
+
+
 def _ranked(scores: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     top = scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
@@ -96,13 +102,15 @@ def top_k(
     mode, k = scoring.checked(mode), _checked(k)
     part = scoring.term(mode, F.col("idf"), F.col("tf"), F.col("dl"), F.lit(index.avg_dl), k1, b) * F.col("qtf")
 
-    def block(terms: DataFrame) -> DataFrame:
-        pairs = terms.agg(F.sum("df")).head()[0] or 0
-        parts = min(MAX_PARTS, parallelism(terms.sparkSession, pairs, PAIRS))
-        hits = index.hits(terms.select("term").distinct()).repartition(parts, "doc_id").join(F.broadcast(terms), "term")
+    def block(t: pa.Table) -> DataFrame:
+        spark = queries.sparkSession
+        terms = spark.createDataFrame(t, _TERMS)
+        words = spark.createDataFrame(pa.table({"term": t.column("term").unique()}), "term string")
+        parts = min(MAX_PARTS, parallelism(spark, pc.sum(t.column("df")).as_py() or 0, PAIRS))
+        hits = index.hits(words).repartition(parts, "doc_id").join(F.broadcast(terms), "term")
         return _ranked(hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), DECIMALS).alias("score")), k)
 
-    return _in_blocks(weighted_terms(index, queries, mode).select("qid", "term", "qtf", "idf", "df"), k, block)
+    return _in_blocks(weighted_terms(index, queries, mode).select(F.col("qid").cast("string"), "term", "qtf", "idf", "df"), k, block)
 
 
 def pruned_top_k(
@@ -118,9 +126,9 @@ def pruned_top_k(
     mode, k = scoring.checked(mode), _checked(k)
     score = scoring.term(mode, F.col("idf"), F.col("tf"), F.col("dl"), F.lit(index.avg_dl), k1, b)
 
-    def block(terms: DataFrame) -> DataFrame:
-        spark = terms.sparkSession
-        t = terms.orderBy("qid", "term").toArrow()
+    def block(t: pa.Table) -> DataFrame:
+        spark = queries.sparkSession
+        t = t.sort_by([("qid", "ascending"), ("term", "ascending")])
         qid, term = (t.column(c).combine_chunks().dictionary_encode() for c in ("qid", "term"))
         query, word = qid.indices.to_numpy(), term.indices.to_numpy()
         first = np.unique(word, return_index=True)[1]
@@ -137,7 +145,7 @@ def pruned_top_k(
         found = rows.mapInArrow(run, "q long, doc_id long, score double")
         return _ranked(found.join(F.broadcast(names), "q").select("qid", "doc_id", "score"), k)
 
-    return _in_blocks(weighted_terms(index, queries, mode).select("qid", "term", "qtf", "idf", "df"), k, block)
+    return _in_blocks(weighted_terms(index, queries, mode).select(F.col("qid").cast("string"), "term", "qtf", "idf", "df"), k, block)
 
 
 def best_of(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int, k: int):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -162,18 +163,30 @@ def valid_vectors(df: DataFrame, doc_id: str, vec: str, dim: int) -> DataFrame:
 
 
 def fit_on(rows: DataFrame, total: int, dim: int) -> tuple[Quantiser, dict[int, int]] | None:
-    """Fit on a hash sample of the distinct ones of ``total`` vectors, and the parts of crowded cells; None without vectors."""
+    """Fit on a hash sample of the distinct ones of ``total`` vectors, and the parts of crowded cells; None without vectors.
+
+    The sample, at most twice ``FIT_SAMPLE`` or ``FIT_EACH`` x ``MAX_FIRST`` vectors, meets in one task; the driver gets the codebooks.
+    """
     if not total:
         return None
     most = max(FIT_SAMPLE, FIT_EACH * min(MAX_FIRST, total // CELL_SIZE))
     share = min(1.0, most / total)
-    some = rows.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
-    t = some.dropDuplicates(["class"]).limit(2 * most).select("class", "vec").toArrow().sort_by("class").combine_chunks()
-    if not t.num_rows:
-        t = rows.limit(most).select("class", "vec").toArrow().combine_chunks()
-    sample = _unit(_matrix(t.column("vec").chunk(0) if t.column("vec").num_chunks else t.column("vec").combine_chunks(), dim))
-    q = fit(sample, total)
-    return q, crowded(q, sample, total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held).sort_by("class")
+            sample = _unit(_matrix(t.column("vec").combine_chunks(), dim))
+            q = fit(sample, total)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((q.books, q.prefix, crowded(q, sample, total)))], pa.binary())], names=["made"])
+
+    some = rows.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(np.ceil(share * 1_000_000))).dropDuplicates(["class"]).limit(2 * most)
+    for sample in (some, rows.limit(most)):
+        made = sample.select("class", "vec").repartition(1).mapInArrow(run, "made binary").collect()
+        if made:
+            break
+    books, prefix, parts = pickle.loads(made[0]["made"])
+    return Quantiser(books, prefix), parts
 
 
 def _spread(cell: np.ndarray, home: np.ndarray, kind: np.ndarray, parts: dict[int, int]) -> tuple[np.ndarray, ...]:

@@ -25,6 +25,8 @@ SKETCH_BINS, SKETCH_BITS = 128, 4
 SKETCH = [f"s{i}" for i in range(SKETCH_BINS // 64 * SKETCH_BITS)]
 #: Sequences below which a text's sketch says nothing: its bins are copies of a few values.
 FEW = 32
+#: A class of exact copies with more than this share of all documents meets its result by a broadcast; at most 1 / HOT_SHARE classes can.
+HOT_SHARE = 1e-4
 #: Texts of one family are compared in blocks of about this many, each pair of blocks by itself.
 BLOCK = 256
 #: Groups of at most this many texts are compared together in one sparse product, larger ones each in a dense one.
@@ -157,13 +159,15 @@ SIGNED = f"id long, node long, few boolean, {', '.join(c + ' long' for c in SKET
 def sign(like: Likeness):
     """mapInArrow function: ``(id, text)`` to rows of ``SIGNED``.
 
-    ``node`` is a hash of the whole set of sequences, so exact copies are one node. Texts
-    that are null or too short for one sequence give no row.
+    ``node`` is a hash of the whole set of sequences, so exact copies are one node. Its first row
+    in a partition has the buckets, further ones have none, so copies don't multiply
+    what is shuffled. Texts that are null or too short for one sequence give no row.
     """
     bins = like.bands * like.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(like.words)
+        seen: set[int] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
@@ -177,13 +181,21 @@ def sign(like: Likeness):
                 sig = signatures(sets, bins)
                 sketch = sketches(sig)
                 keys = band_keys(sig, like.rows)
+                nodes = [_node(s) for s in sets]
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                fresh = np.zeros(len(nodes), bool)
+                for i, x in enumerate(nodes):
+                    fresh[i] = x not in seen
+                    seen.add(x)
+                ends = np.concatenate([[0], np.cumsum(fresh * like.bands)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
-                        pa.array([_node(s) for s in sets], pa.int64()),
+                        pa.array(nodes, pa.int64()),
                         pa.array([len(s) < FEW for s in sets]),
                         *(pa.array(sketch[:, i]) for i in range(len(SKETCH))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * like.bands), pa.array(keys.ravel())),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[fresh].ravel())),
                     ],
                     names=["id", "node", "few", *SKETCH, "bands"],
                 )
@@ -352,8 +364,8 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, like: Likeness) ->
     signed = stored(base.mapInArrow(sign(like), SIGNED), "signed")
     members = signed.select("id", "node").distinct()
     blocks, pairs = blocks_of(star_edges(signed, like))
-    speaker = signed.join(blocks, "node").groupBy("node", "block").agg(F.min("id").alias("id"))
-    chosen = stored(speaker, "speakers")
+    speaker = signed.groupBy("node").agg(F.min("id").alias("id"))
+    chosen = stored(speaker.join(blocks, "node"), "speakers")
     texts = base.where("text is not null").where(might_contain(filter_of(chosen, "id"), F.col("id"))).dropDuplicates(["id", "text"])
     rows = chosen.join(texts, "id").select("block", "node", "text")
     pairs = stored(pairs, "pairs")
@@ -378,7 +390,14 @@ def groups(found: NearDuplicates) -> DataFrame:
     of = components(pairs.select("a", "b"))
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
     links = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    rows = found.members.join(of, "node", "left").join(links, "node", "left")
-    rows = rows.withColumn("component", F.coalesce("component", "node"))
-    named = rows.groupBy("component").agg(F.min("id").alias("group_id"))
-    return rows.join(named, "component").select("id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    nodes = found.members.groupBy("node").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    nodes = nodes.join(of, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = stored(nodes, "nodes")
+    named = nodes.groupBy("component").agg(F.min("least").alias("group_id"))
+    result = nodes.join(named, "component").select("node", "copies", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    total = nodes.agg(F.sum("copies")).head()[0] or 0
+    hot = F.broadcast(result.where(F.col("copies") > F.lit(HOT_SHARE * total)).drop("copies"))
+    rest = result.where(F.col("copies") <= F.lit(HOT_SHARE * total)).drop("copies")
+    few = found.members.join(hot, "node")
+    others = found.members.join(hot.select("node"), "node", "left_anti").join(rest, "node")
+    return few.unionByName(others).select("id", "group_id", "n_links")

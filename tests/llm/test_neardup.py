@@ -79,6 +79,18 @@ def test_chain_takes_linear_work(spark):
     assert compared < 20 * len(docs)
 
 
+def test_a_third_of_all_rows_are_copies(spark):
+    """Copies are one node: their buckets leave a partition once, and every copy gets its group."""
+    base = "a b c d e f g h i j k l m n o p"
+    docs = [(i, base) for i in range(3000)] + [(3000 + i, base.replace("p", f"q{i}")) for i in range(3)]
+    docs += [(4000 + i, " ".join(f"u{i}x{w}" for w in range(12))) for i in range(500)]
+    df = spark.createDataFrame(docs, "docno long, text string").repartition(4)
+    signed = df.toDF("id", "text").mapInArrow(neardup.sign(HALF), neardup.SIGNED)
+    assert signed.count() == len(docs) and signed.where("size(bands) > 0").count() <= 503 + 4
+    got = {r["id"]: (r["group_id"], r["n_links"]) for r in neardup.groups(neardup.near_duplicates(df, "docno", "text", HALF)).collect()}
+    assert got == {i: (0, 3) if i < 3003 else (i, 0) for i, _ in docs}
+
+
 def test_defaults_and_empty(spark):
     none = spark.createDataFrame([], "docno long, text string")
     found = neardup.near_duplicates(none, "docno", "text", neardup.Likeness())

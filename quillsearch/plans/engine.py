@@ -59,7 +59,7 @@ class SearchEngine:
         if retrieval not in RETRIEVALS:
             raise ValueError(f"retrieval is one of {RETRIEVALS}, not {retrieval!r}")
         if isinstance(queries, str):
-            spark = (self.index.terms if self.index else self.vectors.terms).sparkSession
+            spark = (self.index or self.vectors).docs.sparkSession
             queries = spark.createDataFrame([("Q", queries)], "qid string, text string")
         if retrieval == "faiss":
             if self.vectors is None:

@@ -159,6 +159,14 @@ def test_knn(spark, rows):
         vector.knn(v, v, 0)
 
 
+def test_knn_in_blocks_of_queries(spark, rows, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 17), float(i % 5)]) for i in range(90)], "id long, vec array<float>")
+    whole = rows(vector.knn(v, v, 4))
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 25)
+    assert rows(vector.knn(v, v, 4)) == whole and len(whole) == 360
+    assert vector.knn(v, v.limit(0), 4).count() == 0
+
+
 def test_knn_of_many_equal_vectors(spark, rows):
     """More copies in a batch than any fixed number of candidates: the least ids come first."""
     data = [(5000 - i, [1.0, 2.0]) for i in range(3000)] + [(i, [float(i), 0.0]) for i in range(1, 200)] + [(9000, [1.0, 2.0])]

@@ -182,7 +182,9 @@ class LsiIndex:
         """``(qid, rank, doc_id, score)`` of ``queries (qid, text)``, score = minus the squared distance, from -4 to 0."""
         names = stored(dense_ids(queries.select(F.col("qid").alias("term"))).toDF("qid", "n"), "query-numbers")
         asked = queries.join(names, "qid").select(F.col("n").alias("doc_id"), "text")
-        got = knn(self.docs.toDF("id", "vec"), self.encode(asked).toDF("id", "vec"), k)
+        # written once, for every block of queries reads them
+        vectors = stored(self.encode(asked).toDF("id", "vec"), "query-vectors")
+        got = knn(self.docs.toDF("id", "vec"), vectors, k)
         return got.join(names, got["qid"] == names["n"]).select(names["qid"], "rank", F.col("id").alias("doc_id"), "score")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillsearch.functions import scoring
@@ -18,13 +18,19 @@ from quillsearch.session import parallelism, stored
 
 #: Scores are rounded to this many decimals before ranking, so ties don't depend on the order of a sum.
 DECIMALS = 6
-#: Rows of query terms that are broadcast at a time, about, and rows of results kept for them in a task of the pruned plan. Larger query sets go in blocks of whole queries.
+#: Rows of query terms that are broadcast at a time, about, and rows of results kept for them in a task of the exhaustive plan. Larger query sets go in blocks of whole queries.
 BLOCK_TERMS, BLOCK_RESULTS = 200_000, 4_000_000
-#: Pairs of query and document a partition should sum, about, and most partitions for them.
+#: Pairs of query and document a partition of the exhaustive plan should sum, about, and most partitions for them.
 PAIRS, MAX_PARTS = 2_000_000, 10_000
-#: Postings a partition of the pruned plan should have, about, and postings of documents that it scores at a time.
-HITS, CHUNK = 4_000_000, 262_144
-#: The pruned plan's first floor comes from a query's terms of highest bound that together have this many documents for each wanted one.
+#: Postings of a partition, about, and most postings of documents that are scored at a time: small chunks cost more than large ones. Bytes of packed chunks a task goes through.
+HITS, CHUNK, CHUNK_BYTES = 750_000, 1_000_000, 256 << 20
+#: Results a task keeps, about, and rows of query terms up to which nothing is packed.
+TASK_RESULTS, FEW_TERMS = 2_000_000, 1_000
+#: A word in one of so many documents of a chunk has a whole row of scores.
+DENSE = 8
+_PARTS = ("docs", "words", "begin", "at", "s")
+_CHUNK = ", ".join(f"{c} binary" for c in _PARTS)
+#: A query's first floor comes from a query's terms of highest bound that together have this many documents for each wanted one.
 LEAD_DOCS = 20
 #: By so much a bound may fall short of the floor, for scores are rounded.
 MARGIN = 1e-5
@@ -54,18 +60,18 @@ def term_bounds(index: Index | EncodedIndex, k1: float = 1.2, b: float = 0.75) -
     )
 
 
-def _in_blocks(terms: DataFrame, k: int, run: Callable[[pa.Table], DataFrame]) -> DataFrame:
-    """Union of ``run(block)`` over blocks of whole queries that are small enough to be broadcast.
+def _in_blocks(terms: DataFrame, run: Callable[[pa.Table], DataFrame], most_queries: int | None = None) -> DataFrame:
+    """Union of ``run(block)`` over blocks of whole queries that are small enough to be broadcast, of at most about ``most_queries``.
 
     A single block stays a lazy plan. Several are run one after the other and written, so
     that no more than one is in memory at any time.
     """
     few = terms.limit(BLOCK_TERMS + 1).toArrow()
-    if few.num_rows <= BLOCK_TERMS and pc.count_distinct(few.column("qid")).as_py() * k <= BLOCK_RESULTS:
+    if few.num_rows <= BLOCK_TERMS and (most_queries is None or pc.count_distinct(few.column("qid")).as_py() <= most_queries):
         return run(few)
     terms = stored(terms, "query-terms")
     size = terms.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("qid").alias("q")).head()
-    blocks = max(-(-size["n"] // BLOCK_TERMS), -(-size["q"] * k // BLOCK_RESULTS))
+    blocks = max(-(-size["n"] // BLOCK_TERMS), -(-size["q"] // most_queries) if most_queries else 1)
     out = None
     for i in range(blocks):
         block = terms.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i).toArrow()
@@ -89,15 +95,13 @@ def _checked(k: int) -> int:
     return k
 
 
-def top_k(
+def exhaustive_top_k(
     index: Index | EncodedIndex, queries: DataFrame, k: int = 10, mode: str = "bm25", k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
-    """``(qid, rank, doc_id, score)``: the ``k`` best documents of every query that any of its words occurs in.
+    """The rows of :func:`top_k` by the score of every pair of query and document that have a word in common.
 
-    One plan for all queries: only postings of query terms are shuffled, by document, not the
-    far more numerous pairs of query and document. Scores add up inside the partitions, and each gives
-    ``k`` rows a query to the last window. Order: score descending, then document id.
-    Documents with score 0 are kept. A query without a known word has no rows.
+    Work follows the number of pairs, which grows with documents times queries. Only postings of query terms are
+    shuffled, by document; scores add up inside the partitions, and each gives ``k`` rows a query to the last window.
     """
     mode, k = scoring.checked(mode), _checked(k)
     part = scoring.term(mode, F.col("idf"), F.col("tf"), F.col("dl"), F.lit(index.avg_dl), k1, b) * F.col("qtf")
@@ -110,134 +114,252 @@ def top_k(
         hits = index.hits(words).repartition(parts, "doc_id").join(F.broadcast(terms), "term")
         return _ranked(hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), DECIMALS).alias("score")), k)
 
-    return _in_blocks(weighted_terms(index, queries, mode).select(F.col("qid").cast("string"), "term", "qtf", "idf", "df"), k, block)
+    return _in_blocks(weighted_terms(index, queries, mode).select(F.col("qid").cast("string"), "term", "qtf", "idf", "df"), block, max(1, BLOCK_RESULTS // k))
+
+
+def best_rows(t: pa.Table, hits_of: Callable[[DataFrame], DataFrame], k: int, spark: SparkSession) -> DataFrame:
+    """``(qid, rank, doc_id, score)``: the ``k`` documents with the largest sums of weight times ``s``, none of them below 0, for the queries in ``t (qid, term, qtf, df, ...)``.
+
+    ``hits_of(words)`` gives rows ``(doc_id, no, s)`` for ``words (term, no, ...)``, few enough to be broadcast, with the other columns of ``t`` that
+    are the same for all rows of a term. These rows are ordered by document, packed in chunks and stored. Each
+    task takes a group of queries through the chunks, so a query's floor holds in all of them. Chunks of more than
+    ``CHUNK_BYTES`` together are cut into parts, whose results meet in a window. A few
+    terms are searched where the rows are, without a table between.
+    """
+    t = t.sort_by([("qid", "ascending"), ("term", "ascending")])
+    qid, term = (t.column(c).combine_chunks().dictionary_encode() for c in ("qid", "term"))
+    query, word = qid.indices.to_numpy(), term.indices.to_numpy()
+    n_queries, weight = len(qid.dictionary), t.column("qtf").to_numpy().astype(np.float64)
+    first = np.unique(word, return_index=True)[1]
+    columns = {c: t.column(c).to_numpy()[first] for c in t.column_names if c not in ("qid", "term", "qtf", "df")}
+    made = pa.table({"term": term.dictionary, "no": np.arange(len(first)), **columns})
+    words = spark.createDataFrame(made, ", ".join(["term string, no long", *(f"{c} double" for c in columns)]))
+    names = spark.createDataFrame(pa.table({"q": np.arange(n_queries), "qid": qid.dictionary}), "q long, qid string")
+    starts = np.searchsorted(query, np.arange(n_queries + 1))
+    parts = min(MAX_PARTS, max(1, -(-int(t.column("df").to_numpy()[first].sum()) // HITS)))
+    rows = hits_of(words).select("doc_id", "no", "s").repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+    out = "q long, rank long, doc_id long, score double"
+    one = False
+    if t.num_rows <= FEW_TERMS:
+        found = rows.mapInArrow(best_of(starts, word, weight, len(first), k), out)
+    else:
+        chunks = stored(rows.mapInArrow(pack_chunks, _CHUNK), "chunks")
+        size = chunks.agg(F.sum(sum((F.length(c) for c in _PARTS), F.lit(0).cast("long")))).head()[0] or 0
+        cuts = max(1, -(-size // CHUNK_BYTES))
+        one = cuts == 1
+        groups = min(n_queries, max(parallelism(spark), -(-n_queries * k // TASK_RESULTS)))
+        each = spark.range(0, groups, 1, groups).select(F.col("id").alias("group"))
+        every = each.hint("shuffle_replicate_nl").crossJoin(chunks.coalesce(cuts))
+        found = every.mapInArrow(best_of_chunks(starts, word, weight, len(first), k, groups), out)
+    found = found.join(F.broadcast(names), "q").select("qid", "rank", "doc_id", "score")
+    return found if one else _ranked(found.select("qid", "doc_id", "score"), k)
 
 
-def pruned_top_k(
+def top_k(
     index: Index | EncodedIndex, queries: DataFrame, k: int = 10, mode: str = "bm25", k1: float = 1.2, b: float = 0.75
 ) -> DataFrame:
-    """The rows of :func:`top_k`, scoring fewer documents.
+    """``(qid, rank, doc_id, score)``: the ``k`` best documents of every query that any of its words occurs in.
 
-    Postings of query terms are partitioned and ordered by document and scored in chunks of
-    documents (:func:`best_of`). The best score a chunk can give a query is known from its largest
-    term scores. Chunks below the query's floor, the ``k``-th best score so far, are passed over,
-    and inside a chunk terms that can't lift a document to the floor name no candidates.
+    One plan for all queries (:func:`best_rows`). Documents that can't be among the ``k`` best by the bounds of
+    their terms aren't scored, which changes no row. Order: score descending, then document id.
+    Documents with score 0 are kept. A query without a known word has no rows.
     """
     mode, k = scoring.checked(mode), _checked(k)
     score = scoring.term(mode, F.col("idf"), F.col("tf"), F.col("dl"), F.lit(index.avg_dl), k1, b)
 
-    def block(t: pa.Table) -> DataFrame:
-        spark = queries.sparkSession
-        t = t.sort_by([("qid", "ascending"), ("term", "ascending")])
-        qid, term = (t.column(c).combine_chunks().dictionary_encode() for c in ("qid", "term"))
-        query, word = qid.indices.to_numpy(), term.indices.to_numpy()
-        first = np.unique(word, return_index=True)[1]
-        words = spark.createDataFrame(
-            pa.table({"term": term.dictionary, "no": np.arange(len(first)), "idf": t.column("idf").to_numpy()[first]}),
-            "term string, no long, idf double",
-        )
-        names = spark.createDataFrame(pa.table({"q": np.arange(len(qid.dictionary)), "qid": qid.dictionary}), "q long, qid string")
-        starts = np.searchsorted(query, np.arange(len(qid.dictionary) + 1))
-        parts = min(MAX_PARTS, parallelism(spark, int(t.column("df").to_numpy()[first].sum()), HITS))
-        hits = index.hits(words.select("term")).join(F.broadcast(words), "term").select("doc_id", "no", score.alias("s"))
-        rows = hits.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
-        run = best_of(starts, word, t.column("qtf").to_numpy().astype(np.float64), len(first), k)
-        found = rows.mapInArrow(run, "q long, doc_id long, score double")
-        return _ranked(found.join(F.broadcast(names), "q").select("qid", "doc_id", "score"), k)
-
-    return _in_blocks(weighted_terms(index, queries, mode).select(F.col("qid").cast("string"), "term", "qtf", "idf", "df"), k, block)
+    def hits(words: DataFrame) -> DataFrame:
+        return index.hits(words.select("term")).join(F.broadcast(words), "term").select("doc_id", "no", score.alias("s"))
 
+    terms = weighted_terms(index, queries, mode).select(F.col("qid").cast("string"), "term", "qtf", "idf", "df")
+    return _in_blocks(terms, lambda t: best_rows(t, hits, k, queries.sparkSession))
 
-def best_of(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int, k: int):
-    """mapInArrow function over ``(doc_id, no, s)`` ordered by document: ``(q, doc_id, score)``, the ``k`` best of every query in the partition.
 
-    Query q has the words ``word[starts[q] : starts[q + 1]]`` with their weights. It holds one chunk and ``k`` results a query.
+#: Retrieval under its name in the engine (``wand``).
+pruned_top_k = top_k
+
+
+class _Best:
+    """The ``k`` best documents of some queries over chunks of documents that come one after the other.
+
+    Query q has the words ``word[starts[q] : starts[q + 1]]`` with their weights; no score is below 0. A chunk's documents and
+    ``k`` results a query are held. The best score a chunk can give a query is known from its largest term scores:
+    chunks below the query's floor, the ``k``-th best score so far, are passed over, and inside a chunk
+    terms that can't lift a document to the floor name no candidates.
     """
-    n = len(starts) - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor = np.full(n, -np.inf)
-        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n
-
-        def chunk(doc: np.ndarray, no: np.ndarray, s: np.ndarray) -> None:
-            docs, at = np.unique(doc, return_inverse=True)
-            order = np.argsort(no, kind="stable")
-            no, at, s = no[order], at[order], s[order]
-            begin = np.searchsorted(no, np.arange(n_words + 1))
-            present = np.flatnonzero(begin[1:] > begin[:-1])
-            most = np.full(n_words, -1.0)
-            most[present] = np.maximum.reduceat(s, begin[present])
-            bound = weight * np.maximum(most[word], 0)
-            here = np.add.reduceat(most[word] >= 0, starts[:-1]) > 0
-            total, touched = np.zeros(len(docs)), np.zeros(len(docs), bool)
-            for q in np.flatnonzero(here & (np.add.reduceat(bound, starts[:-1]) >= floor - MARGIN)):
-                own = np.arange(starts[q], starts[q + 1])
-                own = own[most[word[own]] >= 0]
-                own = own[np.argsort(-bound[own], kind="stable")]
-                rest = np.cumsum(bound[own][::-1])[::-1]
-                least, seen, led = floor[q], [], False
-                for i, x in enumerate(own):
-                    if rest[i] < least - MARGIN:
-                        break
-                    lo, hi = begin[word[x]], begin[word[x] + 1]
-                    total[at[lo:hi]] += weight[x] * s[lo:hi]
-                    fresh = at[lo:hi][~touched[at[lo:hi]]]
-                    touched[fresh] = True
-                    seen.append(fresh)
-                    if not led and i + 1 < len(own) and sum(map(len, seen)) >= LEAD_DOCS * k:
-                        led = True
-                        some = total[np.concatenate(seen)]
-                        least = max(least, np.partition(some, -k)[-k])
+    def __init__(self, starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int, k: int) -> None:
+        self.starts, self.word, self.weight, self.n_words, self.k = starts, word, weight, n_words, k
+        self.ends, self.weights = starts.tolist(), weight.tolist()
+        self.floor = np.full(len(starts) - 1, -np.inf)
+        self.best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * (len(starts) - 1)
+
+    def add(self, docs: np.ndarray, words: np.ndarray, begin: np.ndarray, at: np.ndarray, s: np.ndarray) -> None:
+        """A chunk as made by :func:`_packed`."""
+        if not len(docs) or not len(self.floor):
+            return
+        n, k, ends, weights = len(docs), self.k, self.ends, self.weights
+        most = np.maximum(np.maximum.reduceat(s, begin[:-1]), 0)
+        local = np.full(self.n_words, -1)
+        local[words] = np.arange(len(words))
+        here = local[self.word]
+        bound = np.where(here >= 0, self.weight * most[here], 0)
+        asked = np.add.reduceat(here >= 0, self.starts[:-1]) > 0
+        asked = np.flatnonzero(asked & (np.add.reduceat(bound, self.starts[:-1]) >= self.floor - MARGIN)).tolist()
+        # words of many documents as whole rows
+        used = np.unique(here)
+        used = used[used >= 0]
+        full = used[(begin[used + 1] - begin[used]) * DENSE >= n]
+        row = np.full(len(words), -1)
+        row[full] = np.arange(len(full))
+        whole, has = np.zeros((len(full), n)), np.zeros((len(full), n), bool)
+        for r, x in enumerate(full.tolist()):
+            whole[r, at[begin[x] : begin[x + 1]]] = s[begin[x] : begin[x + 1]]
+            has[r, at[begin[x] : begin[x + 1]]] = True
+        here, bound, row, begin = here.tolist(), bound.tolist(), row.tolist(), begin.tolist()
+        total, touched, one = np.zeros(n), np.zeros(n, bool), np.zeros(n)
+        for q in asked:
+            own = sorted([(bound[i], here[i], weights[i]) for i in range(ends[q], ends[q + 1]) if here[i] >= 0], reverse=True)
+            rest = [0.0] * (len(own) + 1)
+            for i in range(len(own) - 1, -1, -1):
+                rest[i] = rest[i + 1] + own[i][0]
+            floor = least = float(self.floor[q])
+            seen, led, wide, i = 0, floor > -np.inf, False, 0
+            while i < len(own) and rest[i] >= least - MARGIN:
+                _, x, by = own[i]
+                lo, hi = begin[x], begin[x + 1]
+                if row[x] >= 0:
+                    np.multiply(whole[row[x]], by, out=one)
+                    total += one
+                    touched |= has[row[x]]
+                    one.fill(0)
+                    wide = True
                 else:
-                    i = len(own)
-                every = np.concatenate(seen) if seen else np.empty(0, np.int64)
-                some = every
-                if i < len(own):
-                    some = every[total[every] + rest[i] >= least - MARGIN]
-                    for x in own[i:]:
-                        lo, hi = begin[word[x]], begin[word[x] + 1]
-                        place = lo + np.searchsorted(at[lo:hi], some)
-                        hit = at[np.minimum(place, hi - 1)] == some
-                        total[some[hit]] += weight[x] * s[place[hit]]
-                score, name = np.round(total[some], DECIMALS) + 0.0, docs[some]
+                    total[at[lo:hi]] += by * s[lo:hi]
+                    touched[at[lo:hi]] = True
+                seen += hi - lo
+                i += 1
+                if not led and i < len(own) and seen >= LEAD_DOCS * k:
+                    some = total[touched]
+                    if led := len(some) >= k:
+                        least = max(least, float(np.partition(some, -k)[-k]))
+            every = np.flatnonzero(touched)
+            score, named = total[every], every
+            if wide:
+                total.fill(0)
+                touched.fill(False)
+            else:
                 total[every], touched[every] = 0, False
-                if best[q] is not None:
-                    name, score = np.concatenate([best[q][0], name]), np.concatenate([best[q][1], score])
-                if len(score) > k:
-                    good = np.flatnonzero(score >= np.partition(score, -k)[-k])
+            for j in range(i, len(own) + 1):
+                if least > -np.inf:
+                    good = score + rest[j] >= least - MARGIN
+                    named, score = named[good], score[good]
+                if j == len(own) or not len(named):
+                    break
+                _, x, by = own[j]
+                if row[x] >= 0:
+                    score += by * whole[row[x]][named]
+                else:
+                    own_at = at[begin[x] : begin[x + 1]]
+                    one[own_at] = s[begin[x] : begin[x + 1]]
+                    score += by * one[named]
+                    one[own_at] = 0
+            if not len(named):
+                continue
+            score, name = np.round(score, DECIMALS) + 0.0, docs[named]
+            if self.best[q] is not None:
+                name, score = np.concatenate([self.best[q][0], name]), np.concatenate([self.best[q][1], score])
+            if len(score) > k:
+                good = np.flatnonzero(score >= np.partition(score, -k)[-k])
+                if len(good) > k:
                     good = good[np.lexsort((name[good], -score[good]))[:k]]
-                    name, score = name[good], score[good]
-                best[q] = (name, score)
-                if len(score) == k:
-                    floor[q] = score.min()
+                name, score = name[good], score[good]
+            self.best[q] = (name, score)
+            if len(score) == k:
+                self.floor[q] = score.min()
+
+    def results(self, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``(q, rank, doc_id, score)``, queries by their ``names``."""
+        step = max(1, 1_000_000 // self.k)
+        for lo in range(0, len(self.best), step):
+            some = [(q, *self.best[q]) for q in range(lo, min(len(self.best), lo + step)) if self.best[q] is not None]
+            if some:
+                length = np.array([len(x[1]) for x in some])
+                q = np.repeat([x[0] for x in some], length)
+                doc, score = np.concatenate([x[1] for x in some]), np.concatenate([x[2] for x in some])
+                order = np.lexsort((doc, -score, q))
+                rank = np.arange(len(q)) - np.repeat(np.cumsum(length) - length, length) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names[q], rank, doc[order], score[order])], names=["q", "rank", "doc_id", "score"])
+
+
+def _packed(doc: np.ndarray, no: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A chunk: its documents, its words, and per word a slice of places among the documents and of scores."""
+    docs, at = np.unique(doc, return_inverse=True)
+    order = np.argsort(no, kind="stable")
+    words, first = np.unique(no[order], return_index=True)
+    return docs.astype(np.int64), words.astype(np.int64), np.append(first, len(no)).astype(np.int64), at[order].astype(np.int32), s[order]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Packed chunks of about ``CHUNK`` rows ``(doc_id, no, s)`` that are ordered by document; a document stays whole."""
+    arrays = lambda t: (t.column(c).to_numpy() for c in ("doc_id", "no", "s"))
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.num_rows
+        if size < CHUNK:
+            continue
+        t = pa.Table.from_batches(held)
+        doc = t.column("doc_id").to_numpy()
+        cut = int(np.searchsorted(doc, doc[-1]))
+        if cut:
+            yield _packed(*arrays(t.slice(0, cut)))
+            held = t.slice(cut).combine_chunks().to_batches()
+            size = t.num_rows - cut
+    if held:
+        yield _packed(*arrays(pa.Table.from_batches(held)))
+
+
+def pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: rows ``(doc_id, no, s)`` ordered by document to chunks, one a row of ``_CHUNK``."""
+    for chunk in _chunks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in chunk], names=list(_PARTS))
+
+
+def best_of(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int, k: int):
+    """mapInArrow function over ``(doc_id, no, s)`` ordered by document: ``(q, rank, doc_id, score)``, the ``k`` best of every query in the partition.
+
+    Query q has the words ``word[starts[q] : starts[q + 1]]`` with their weights. It holds one chunk and ``k`` results a query.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(starts, word, weight, n_words, k)
+        for chunk in _chunks(batches):
+            best.add(*chunk)
+        yield from best.results(np.arange(len(starts) - 1))
+
+    return run
+
+
+def best_of_chunks(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int, k: int, groups: int):
+    """mapInArrow function over rows of ``group`` and ``_CHUNK``, of one group in a partition: as :func:`best_of` for the queries of the group, every ``groups``-th."""
 
-        held: list[pa.RecordBatch] = []
-        size = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, names = None, None
         for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            size += b.num_rows
-            if size < CHUNK:
-                continue
-            t = pa.Table.from_batches(held)
-            doc = t.column("doc_id").to_numpy()
-            # a document stays whole
-            cut = int(np.searchsorted(doc, doc[-1]))
-            if cut:
-                chunk(doc[:cut], t.column("no").to_numpy()[:cut], t.column("s").to_numpy()[:cut])
-                held = t.slice(cut).combine_chunks().to_batches()
-                size = t.num_rows - cut
-        if held:
-            t = pa.Table.from_batches(held)
-            chunk(t.column("doc_id").to_numpy(), t.column("no").to_numpy(), t.column("s").to_numpy())
-        for lo in range(0, n, 1000):
-            some = [(q, *best[q]) for q in range(lo, min(n, lo + 1000)) if best[q] is not None]
-            if some:
-                q = np.repeat([x[0] for x in some], [len(x[1]) for x in some])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q, pa.int64()), pa.array(np.concatenate([x[1] for x in some])), pa.array(np.concatenate([x[2] for x in some]))],
-                    names=["q", "doc_id", "score"],
-                )
+            for i in range(b.num_rows):
+                if best is None:
+                    names = np.arange(b.column("group")[i].as_py(), len(starts) - 1, groups)
+                    length = starts[names + 1] - starts[names]
+                    own_starts = np.concatenate([[0], np.cumsum(length)])
+                    own = np.repeat(starts[names] - own_starts[:-1], length) + np.arange(own_starts[-1])
+                    best = _Best(own_starts, word[own], weight[own], n_words, k)
+                kinds = (np.int64, np.int64, np.int64, np.int32, np.float64)
+                docs, words, begin, at, s = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in zip(_PARTS, kinds))
+                best.add(docs, words, begin, at.astype(np.intp), s)
+        if best is not None:
+            yield from best.results(names)
 
     return run

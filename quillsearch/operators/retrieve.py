@@ -60,7 +60,7 @@ def term_bounds(index: Index | EncodedIndex, k1: float = 1.2, b: float = 0.75) -
     )
 
 
-def _in_blocks(terms: DataFrame, run: Callable[[pa.Table], DataFrame], most_queries: int | None = None) -> DataFrame:
+def in_blocks(terms: DataFrame, run: Callable[[pa.Table], DataFrame], most_queries: int | None = None) -> DataFrame:
     """Union of ``run(block)`` over blocks of whole queries that are small enough to be broadcast, of at most about ``most_queries``.
 
     A single block stays a lazy plan. Several are run one after the other and written, so
@@ -114,14 +114,14 @@ def exhaustive_top_k(
         hits = index.hits(words).repartition(parts, "doc_id").join(F.broadcast(terms), "term")
         return _ranked(hits.groupBy("qid", "doc_id").agg(F.round(F.sum(part), DECIMALS).alias("score")), k)
 
-    return _in_blocks(weighted_terms(index, queries, mode).select(F.col("qid").cast("string"), "term", "qtf", "idf", "df"), block, max(1, BLOCK_RESULTS // k))
+    return in_blocks(weighted_terms(index, queries, mode).select(F.col("qid").cast("string"), "term", "qtf", "idf", "df"), block, max(1, BLOCK_RESULTS // k))
 
 
-def best_rows(t: pa.Table, hits_of: Callable[[DataFrame], DataFrame], k: int, spark: SparkSession) -> DataFrame:
+def best_rows(t: pa.Table, hits_of: Callable[[DataFrame, int], DataFrame], k: int, spark: SparkSession, decimals: int = DECIMALS) -> DataFrame:
     """``(qid, rank, doc_id, score)``: the ``k`` documents with the largest sums of weight times ``s``, none of them below 0, for the queries in ``t (qid, term, qtf, df, ...)``.
 
-    ``hits_of(words)`` gives rows ``(doc_id, no, s)`` for ``words (term, no, ...)``, few enough to be broadcast, with the other columns of ``t`` that
-    are the same for all rows of a term. These rows are ordered by document, packed in chunks and stored. Each
+    ``hits_of(words, parts)`` gives rows ``(doc_id, no, s)`` for ``words (term, no, ...)``, few enough to be broadcast, with the other columns of ``t`` that
+    are the same for all rows of a term, in ``parts`` partitions by document. They are ordered by document, packed in chunks and stored. Each
     task takes a group of queries through the chunks, so a query's floor holds in all of them. Chunks of more than
     ``CHUNK_BYTES`` together are cut into parts, whose results meet in a window. A few
     terms are searched where the rows are, without a table between.
@@ -137,11 +137,11 @@ def best_rows(t: pa.Table, hits_of: Callable[[DataFrame], DataFrame], k: int, sp
     names = spark.createDataFrame(pa.table({"q": np.arange(n_queries), "qid": qid.dictionary}), "q long, qid string")
     starts = np.searchsorted(query, np.arange(n_queries + 1))
     parts = min(MAX_PARTS, max(1, -(-int(t.column("df").to_numpy()[first].sum()) // HITS)))
-    rows = hits_of(words).select("doc_id", "no", "s").repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+    rows = hits_of(words, parts).select("doc_id", "no", "s").sortWithinPartitions("doc_id")
     out = "q long, rank long, doc_id long, score double"
     one = False
     if t.num_rows <= FEW_TERMS:
-        found = rows.mapInArrow(best_of(starts, word, weight, len(first), k), out)
+        found = rows.mapInArrow(best_of(starts, word, weight, len(first), k, decimals), out)
     else:
         chunks = stored(rows.mapInArrow(pack_chunks, _CHUNK), "chunks")
         size = chunks.agg(F.sum(sum((F.length(c) for c in _PARTS), F.lit(0).cast("long")))).head()[0] or 0
@@ -150,7 +150,7 @@ def best_rows(t: pa.Table, hits_of: Callable[[DataFrame], DataFrame], k: int, sp
         groups = min(n_queries, max(parallelism(spark), -(-n_queries * k // TASK_RESULTS)))
         each = spark.range(0, groups, 1, groups).select(F.col("id").alias("group"))
         every = each.hint("shuffle_replicate_nl").crossJoin(chunks.coalesce(cuts))
-        found = every.mapInArrow(best_of_chunks(starts, word, weight, len(first), k, groups), out)
+        found = every.mapInArrow(best_of_chunks(starts, word, weight, len(first), k, groups, decimals), out)
     found = found.join(F.broadcast(names), "q").select("qid", "rank", "doc_id", "score")
     return found if one else _ranked(found.select("qid", "doc_id", "score"), k)
 
@@ -167,11 +167,11 @@ def top_k(
     mode, k = scoring.checked(mode), _checked(k)
     score = scoring.term(mode, F.col("idf"), F.col("tf"), F.col("dl"), F.lit(index.avg_dl), k1, b)
 
-    def hits(words: DataFrame) -> DataFrame:
-        return index.hits(words.select("term")).join(F.broadcast(words), "term").select("doc_id", "no", score.alias("s"))
+    def hits(words: DataFrame, parts: int) -> DataFrame:
+        return index.hits(words.select("term")).join(F.broadcast(words), "term").select("doc_id", "no", score.alias("s")).repartition(parts, "doc_id")
 
     terms = weighted_terms(index, queries, mode).select(F.col("qid").cast("string"), "term", "qtf", "idf", "df")
-    return _in_blocks(terms, lambda t: best_rows(t, hits, k, queries.sparkSession))
+    return in_blocks(terms, lambda t: best_rows(t, hits, k, queries.sparkSession))
 
 
 #: Retrieval under its name in the engine (``wand``).
@@ -187,7 +187,9 @@ class _Best:
     terms that can't lift a document to the floor name no candidates.
     """
 
-    def __init__(self, starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int, k: int) -> None:
+    def __init__(self, starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int, k: int, decimals: int) -> None:
+        self.decimals = decimals
+        self.margin = max(MARGIN, 10.0 ** (1 - decimals))
         self.starts, self.word, self.weight, self.n_words, self.k = starts, word, weight, n_words, k
         self.ends, self.weights = starts.tolist(), weight.tolist()
         self.floor = np.full(len(starts) - 1, -np.inf)
@@ -204,7 +206,7 @@ class _Best:
         here = local[self.word]
         bound = np.where(here >= 0, self.weight * most[here], 0)
         asked = np.add.reduceat(here >= 0, self.starts[:-1]) > 0
-        asked = np.flatnonzero(asked & (np.add.reduceat(bound, self.starts[:-1]) >= self.floor - MARGIN)).tolist()
+        asked = np.flatnonzero(asked & (np.add.reduceat(bound, self.starts[:-1]) >= self.floor - self.margin)).tolist()
         # words of many documents as whole rows
         used = np.unique(here)
         used = used[used >= 0]
@@ -224,7 +226,7 @@ class _Best:
                 rest[i] = rest[i + 1] + own[i][0]
             floor = least = float(self.floor[q])
             seen, led, wide, i = 0, floor > -np.inf, False, 0
-            while i < len(own) and rest[i] >= least - MARGIN:
+            while i < len(own) and rest[i] >= least - self.margin:
                 _, x, by = own[i]
                 lo, hi = begin[x], begin[x + 1]
                 if row[x] >= 0:
@@ -251,7 +253,7 @@ class _Best:
                 total[every], touched[every] = 0, False
             for j in range(i, len(own) + 1):
                 if least > -np.inf:
-                    good = score + rest[j] >= least - MARGIN
+                    good = score + rest[j] >= least - self.margin
                     named, score = named[good], score[good]
                 if j == len(own) or not len(named):
                     break
@@ -265,7 +267,7 @@ class _Best:
                     one[own_at] = 0
             if not len(named):
                 continue
-            score, name = np.round(score, DECIMALS) + 0.0, docs[named]
+            score, name = np.round(score, self.decimals) + 0.0, docs[named]
             if self.best[q] is not None:
                 name, score = np.concatenate([self.best[q][0], name]), np.concatenate([self.best[q][1], score])
             if len(score) > k:
@@ -328,14 +330,14 @@ def pack_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in chunk], names=list(_PARTS))
 
 
-def best_of(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int, k: int):
+def best_of(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int, k: int, decimals: int = DECIMALS):
     """mapInArrow function over ``(doc_id, no, s)`` ordered by document: ``(q, rank, doc_id, score)``, the ``k`` best of every query in the partition.
 
     Query q has the words ``word[starts[q] : starts[q + 1]]`` with their weights. It holds one chunk and ``k`` results a query.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(starts, word, weight, n_words, k)
+        best = _Best(starts, word, weight, n_words, k, decimals)
         for chunk in _chunks(batches):
             best.add(*chunk)
         yield from best.results(np.arange(len(starts) - 1))
@@ -343,7 +345,7 @@ def best_of(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: i
     return run
 
 
-def best_of_chunks(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int, k: int, groups: int):
+def best_of_chunks(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int, k: int, groups: int, decimals: int = DECIMALS):
     """mapInArrow function over rows of ``group`` and ``_CHUNK``, of one group in a partition: as :func:`best_of` for the queries of the group, every ``groups``-th."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +357,7 @@ def best_of_chunks(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_w
                     length = starts[names + 1] - starts[names]
                     own_starts = np.concatenate([[0], np.cumsum(length)])
                     own = np.repeat(starts[names] - own_starts[:-1], length) + np.arange(own_starts[-1])
-                    best = _Best(own_starts, word[own], weight[own], n_words, k)
+                    best = _Best(own_starts, word[own], weight[own], n_words, k, decimals)
                 kinds = (np.int64, np.int64, np.int64, np.int32, np.float64)
                 docs, words, begin, at, s = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in zip(_PARTS, kinds))
                 best.add(docs, words, begin, at.astype(np.intp), s)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillsearch.functions.text import words_by_pattern
 from quillsearch.operators.dictionary import dense_ids
 from quillsearch.operators.index import document_map, occurrences
+from quillsearch.operators.retrieve import best_rows, in_blocks
 from quillsearch.session import has_table, parallelism, stored
 
 #: Steps of the block Lanczos iteration, each a pass over all documents, and columns of a step beyond the components wanted.
@@ -25,6 +26,8 @@ DRIVER_BYTES = 256 << 20
 DOC_BLOCK = 500
 #: Query vectors sent to the executors at a time.
 QUERY_BLOCK = 2_048
+#: Weights of at most so many terms are broadcast.
+BROADCAST_TERMS = 400_000
 
 
 def term_weights(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -43,16 +46,27 @@ def tfidf_vectors(docs: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def cosine_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, decimals: int = 6) -> DataFrame:
-    """``(qid, rank, doc_id, score)`` by cosine of TF-IDF vectors, which is retrieval at full rank."""
-    weights, _ = term_weights(docs)
-    weights = stored(weights, "weights")
-    left = tfidf_vectors(docs, weights)
-    right = tfidf_vectors(queries.select(F.col("qid").alias("doc_id"), "text"), weights)
-    right = right.select(F.col("doc_id").alias("qid"), "term", F.col("w").alias("v"))
-    scores = left.join(right, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("v")), decimals).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    top = scores.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
-    return top.select("qid", "rank", "doc_id", "score")
+    """``(qid, rank, doc_id, score)`` by cosine of TF-IDF vectors, which is retrieval at full rank.
+
+    Term counts are stored once. Only those of query terms are shuffled, to be packed as in keyword retrieval
+    (:func:`~quillsearch.operators.retrieve.best_rows`); no pair of query and document is. Weights of up to ``BROADCAST_TERMS`` terms are broadcast to
+    the counts for the documents' lengths, more meet them by a shuffle.
+    """
+    n = docs.where("doc_id is not null and text is not null").count()
+    tf = stored(occurrences(docs, words_by_pattern).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+    idf = (F.ln(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")
+    weights = stored(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf, "df"), "weights")
+    sent = F.broadcast(weights) if weights.count() <= BROADCAST_TERMS else weights
+    w = F.col("tf") * F.col("idf")
+    norms = stored(tf.join(sent, "term").groupBy("doc_id").agg(F.sqrt(F.sum(w * w)).alias("norm")), "lengths")
+    asked = tfidf_vectors(queries.select(F.col("qid").alias("doc_id"), "text"), weights.select("term", "idf"))
+    asked = asked.select(F.col("doc_id").alias("qid"), "term", F.col("w").alias("qtf")).join(weights, "term")
+
+    def hits(words: DataFrame, parts: int) -> DataFrame:
+        rows = tf.join(F.broadcast(words), "term").select("doc_id", "no", w.alias("w")).repartition(parts, "doc_id")
+        return rows.join(norms, "doc_id").select("doc_id", "no", (F.col("w") / F.col("norm")).alias("s"))
+
+    return in_blocks(asked.select("qid", "term", "qtf", "df", "idf"), lambda t: best_rows(t, hits, k, docs.sparkSession, decimals))
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, decimals: int = 6) -> DataFrame:

@@ -8,6 +8,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "bm25_params",
+    "bm25_topk_standard",
 ]
 
 

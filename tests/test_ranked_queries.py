@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "bm25_params",
     "bm25_topk_standard",
+    "query_unknown_terms",
 ]
 
 

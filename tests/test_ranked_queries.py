@@ -10,6 +10,7 @@ NAMES = [
     "bm25_params",
     "bm25_topk_standard",
     "query_unknown_terms",
+    "tfidf_topk",
 ]
 
 

@@ -11,6 +11,7 @@ NAMES = [
     "bm25_topk_standard",
     "query_unknown_terms",
     "tfidf_topk",
+    "bm25_topk",
 ]
 
 

@@ -12,6 +12,7 @@ NAMES = [
     "query_unknown_terms",
     "tfidf_topk",
     "bm25_topk",
+    "bm25_topk_vbe",
 ]
 
 

@@ -13,6 +13,7 @@ NAMES = [
     "tfidf_topk",
     "bm25_topk",
     "bm25_topk_vbe",
+    "eval_mean",
 ]
 
 

@@ -14,6 +14,7 @@ NAMES = [
     "bm25_topk",
     "bm25_topk_vbe",
     "eval_mean",
+    "query_dup_terms",
 ]
 
 

@@ -15,6 +15,7 @@ NAMES = [
     "bm25_topk_vbe",
     "eval_mean",
     "query_dup_terms",
+    "eval_per_query",
 ]
 
 

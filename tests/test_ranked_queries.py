@@ -16,6 +16,7 @@ NAMES = [
     "eval_mean",
     "query_dup_terms",
     "eval_per_query",
+    "bm25_topk_elias_gamma",
 ]
 
 

@@ -17,6 +17,7 @@ NAMES = [
     "query_dup_terms",
     "eval_per_query",
     "bm25_topk_elias_gamma",
+    "engine_evaluate",
 ]
 
 

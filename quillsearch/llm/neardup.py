@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillsearch.llm.graph import components
-from quillsearch.operators.bloom import filter_of, might_contain
+from quillsearch.operators.bloom import in_passes
 from quillsearch.session import stored
 
 _WORD = re.compile("[a-z0-9]+")
@@ -214,10 +214,11 @@ def star_edges(signed: DataFrame, like: Likeness) -> DataFrame:
     placed = signed.select("node", F.explode("bands").alias("bucket"))
     pair = placed.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("most"))
     centres = stored(pair.where("centre < most").select("bucket", "centre"), "centres")
-    open_ = placed.where(might_contain(filter_of(centres, "bucket"), F.col("bucket")))
-    met = stored(open_.join(centres, "bucket").where("node <> centre").select("node", "centre").distinct(), "met")
-    ends = met.select("node").unionByName(met.select(F.col("centre").alias("node")))
-    bits = signed.where(might_contain(filter_of(ends, "node"), F.col("node"))).select("node", "few", *SKETCH).distinct()
+    meet = lambda own, screened: screened(placed).join(own, "bucket").where("node <> centre").select("node", "centre").distinct()
+    # a pair that met in buckets of several passes is there once
+    met = stored(in_passes(centres, "bucket", "bucket", "met-part", meet).distinct(), "met")
+    ends = stored(met.select("node").unionByName(met.select(F.col("centre").alias("node"))).distinct(), "ends")
+    bits = in_passes(ends, "node", "node", "bits", lambda _, screened: screened(signed).select("node", "few", *SKETCH).distinct())
     one = bits.toDF("node", "few_a", *("a" + c for c in SKETCH))
     two = bits.toDF("centre", "few_b", *("b" + c for c in SKETCH))
     near = met.join(one, "node").join(two, "centre").where(F.col("few_a") | F.col("few_b") | (_apart("a", "b") <= like.slack))
@@ -366,8 +367,8 @@ def near_duplicates(docs: DataFrame, doc_id: str, text: str, like: Likeness) ->
     blocks, pairs = blocks_of(star_edges(signed, like))
     speaker = signed.groupBy("node").agg(F.min("id").alias("id"))
     chosen = stored(speaker.join(blocks, "node"), "speakers")
-    texts = base.where("text is not null").where(might_contain(filter_of(chosen, "id"), F.col("id"))).dropDuplicates(["id", "text"])
-    rows = chosen.join(texts, "id").select("block", "node", "text")
+    spoken = lambda own, screened: own.join(screened(base.where("text is not null")).dropDuplicates(["id", "text"]), "id")
+    rows = in_passes(chosen, "id", "id", "texts", spoken).select("block", "node", "text")
     pairs = stored(pairs, "pairs")
     sent = pairs.select("i", "j", F.col("i").alias("block")).unionByName(pairs.where("i < j").select("i", "j", F.col("j").alias("block")))
     spread = sent.join(rows, "block").select("i", "j", "block", "node", "text")

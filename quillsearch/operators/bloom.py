@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.classic.column import Column as ClassicColumn
 from pyspark.sql.classic.column import _to_java_column, _to_seq
 
+from quillsearch.session import stored
+
 #: A filter has at most this many bits (8 MB). Keys beyond what that holds are spread by their hash over several filters, at
 #: most ``MAX_FILTERS``; beyond those the filters only let more keys through to the exact step.
 MAX_FILTER_BITS = 67_108_864
@@ -32,11 +35,11 @@ def _which(hash_: Column, n: int) -> Column:
     return F.pmod(F.xxhash64(hash_), F.lit(n))
 
 
-def filter_of(keys: DataFrame, key: str) -> Bloom:
-    """Bloom filters of a column, sized from the number of rows. Nulls aren't in them; an empty table's filter is null."""
+def filter_of(keys: DataFrame, key: str, most: int | None = None) -> Bloom:
+    """Bloom filters of a column, at most ``most``, sized from the number of rows. Nulls aren't in them; an empty table's filter is null."""
     spark = keys.sparkSession
     n = max(1, keys.count())
-    filters = min(MAX_FILTERS, -(-n * BITS_PER_KEY // MAX_FILTER_BITS))
+    filters = min(most or MAX_FILTERS, -(-n * BITS_PER_KEY // MAX_FILTER_BITS))
     items = max(1, min(-(-n // filters), MAX_FILTER_BITS // BITS_PER_KEY))
     bits = min(MAX_FILTER_BITS, max(1024, items * BITS_PER_KEY))
     rows = keys.select(F.col(key).alias("k")).where("k is not null").select(F.xxhash64("k").alias("h"))
@@ -69,3 +72,24 @@ def might_contain(bloom: Bloom, key: Column) -> Column:
     for i, part in enumerate(bloom.parts):
         out = F.when(which == i, probe(part)).otherwise(out)
     return out
+
+
+def in_passes(keys: DataFrame, key: str, of: str, name: str, run: Callable[[DataFrame, Callable[[DataFrame], DataFrame]], DataFrame]) -> DataFrame:
+    """Union of ``run(keys, screened)`` over parts of the keys by their hash, one after the other; ``screened(rows)`` are the rows whose ``of`` may be a key of the part.
+
+    A filter passes through the driver and the plan of every stage that probes it, so each part has a single filter,
+    however many keys there are. The results of several parts are written to the shared folder; one part stays a lazy plan.
+    """
+    n = keys.count()
+    # hashes don't part the keys quite evenly
+    parts = max(1, -(-n * (BITS_PER_KEY + 1) // MAX_FILTER_BITS))
+    out = None
+    for i in range(parts):
+        within = lambda rows, column, i=i: rows if parts == 1 else rows.where(_which(F.xxhash64(column), parts) == i)
+        own = within(keys, key)
+        bloom = filter_of(own, key, 1)
+        screened = lambda rows, within=within, bloom=bloom: within(rows, of).where(might_contain(bloom, F.col(of)))
+        got = run(own, screened)
+        got = got if parts == 1 else stored(got, name)
+        out = got if out is None else out.unionByName(got)
+    return out

@@ -101,35 +101,53 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, decimals: int = 6) -> Da
 
 
 def _nearest(ids: np.ndarray, x: np.ndarray, k: int, decimals: int):
+    """mapInArrow function: the ``k`` nearest of every query in the partition. After the first rows only those are looked at that may be nearer than a query's ``k``-th."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(ids)
+        last = np.full(len(ids), -np.inf)
+        square, slack = (x * x).sum(1), 10.0**-decimals
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 b = whole.slice(at, 4096)
                 y = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                 doc = b.column("id").to_numpy()
+                yy = (y * y).sum(1)
+                largest = yy[np.isfinite(yy)].max(initial=0)
+                # single precision preselects unless it would overflow
+                single = bool((yy < 1e30).all() and (square < 1e30).all())
+                kind, error = (np.float32, 6e-8 * (x.shape[1] + 32)) if single else (np.float64, 1e-12)
+                near, to = x.astype(kind, copy=False), np.ascontiguousarray(y.astype(kind, copy=False).T)
                 for lo in range(0, len(ids), 256):
                     q = x[lo : lo + 256]
                     # products preselect, differences give the score to the last digits
-                    qq, yy = (q * q).sum(1)[:, None], (y * y).sum(1)[None, :]
-                    far = qq + yy - 2 * q @ y.T
-                    off = 1e-12 * (qq + yy)
-                    n = min(k, far.shape[1])
+                    far = near[lo : lo + 256] @ to
+                    far *= -2
+                    far += yy.astype(kind)
+                    far += square[lo : lo + 256, None].astype(kind)
+                    off = error * (square[lo : lo + 256] + largest)
+                    most = -last[lo : lo + 256]
+                    if len(new := np.flatnonzero(~np.isfinite(most))):
+                        n = min(k, far.shape[1])
+                        most[new] = np.partition(far[new], n - 1, axis=1)[:, n - 1] + off[new]
                     # every row that rounding may bring among the k nearest is kept, however many are equal; NaN compares as kept
-                    most = np.partition(far + off, n - 1, axis=1)[:, n - 1] + 10.0**-decimals
-                    some = ~(far - off > most[:, None])
-                    row, near, score = [], [], []
-                    for r in range(len(q)):
+                    some = ~(far > (most + off + slack).astype(kind)[:, None])
+                    for r in np.flatnonzero(some.any(1)).tolist():
                         own = np.flatnonzero(some[r])
                         d = y[own] - q[r]
-                        s = -np.round((d * d).sum(1), decimals) + 0.0
-                        best = np.lexsort((doc[own], -s))[:k]
-                        row.append(np.full(len(best), r))
-                        near.append(own[best])
-                        score.append(s[best])
-                    row, near, score = np.concatenate(row), np.concatenate(near), np.concatenate(score)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[lo + row]), pa.array(doc[near]), pa.array(score)], names=["qid", "id", "score"]
-                    )
+                        name, s = doc[own], -np.round((d * d).sum(1), decimals) + 0.0
+                        if best[lo + r] is not None:
+                            name, s = np.concatenate([best[lo + r][0], name]), np.concatenate([best[lo + r][1], s])
+                        order = np.lexsort((name, -s))[:k]
+                        best[lo + r] = (name[order], s[order])
+                        if len(order) == k:
+                            last[lo + r] = s[order[-1]]
+        for lo in range(0, len(ids), 1000):
+            got = [(i, *best[i]) for i in range(lo, min(len(ids), lo + 1000)) if best[i] is not None]
+            if got:
+                qid = np.repeat(ids[[i for i, _, _ in got]], [len(s) for _, _, s in got])
+                columns = [qid, np.concatenate([name for _, name, _ in got]), np.concatenate([s for _, _, s in got])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["qid", "id", "score"])
 
     return run
 

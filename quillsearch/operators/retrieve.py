@@ -18,18 +18,19 @@ from quillsearch.session import parallelism, stored
 
 #: Scores are rounded to this many decimals before ranking, so ties don't depend on the order of a sum.
 DECIMALS = 6
-#: Rows of query terms that are broadcast at a time, about, and rows of results kept for them in a task of the exhaustive plan. Larger query sets go in blocks of whole queries.
+#: Words of queries that are broadcast at a time, about, and rows of results kept in a task of the exhaustive plan. Query sets with more words go in blocks of whole queries.
 BLOCK_TERMS, BLOCK_RESULTS = 200_000, 4_000_000
 #: Pairs of query and document a partition of the exhaustive plan should sum, about, and most partitions for them.
 PAIRS, MAX_PARTS = 2_000_000, 10_000
-#: Postings of a partition, about, and most postings of documents that are scored at a time: small chunks cost more than large ones. Bytes of packed chunks a task goes through.
-HITS, CHUNK, CHUNK_BYTES = 750_000, 1_000_000, 256 << 20
+#: Postings of a partition, about, and most postings of documents that are scored at a time: small chunks cost more than large ones. Bytes of packed chunks a task goes through, one at a time.
+HITS, CHUNK, CHUNK_BYTES = 750_000, 1_000_000, 4 << 30
 #: Results a task keeps, about, and rows of query terms up to which nothing is packed.
 TASK_RESULTS, FEW_TERMS = 2_000_000, 1_000
 #: A word in one of so many documents of a chunk has a whole row of scores.
 DENSE = 8
 _PARTS = ("docs", "words", "begin", "at", "s")
 _CHUNK = ", ".join(f"{c} binary" for c in _PARTS)
+_GROUP = "group long, qids array<string>, starts binary, word binary, weight binary"
 #: A query's first floor comes from a query's terms of highest bound that together have this many documents for each wanted one.
 LEAD_DOCS = 20
 #: By so much a bound may fall short of the floor, for scores are rounded.
@@ -118,41 +119,73 @@ def exhaustive_top_k(
 
 
 def best_rows(t: pa.Table, hits_of: Callable[[DataFrame, int], DataFrame], k: int, spark: SparkSession, decimals: int = DECIMALS) -> DataFrame:
-    """``(qid, rank, doc_id, score)``: the ``k`` documents with the largest sums of weight times ``s``, none of them below 0, for the queries in ``t (qid, term, qtf, df, ...)``.
-
-    ``hits_of(words, parts)`` gives rows ``(doc_id, no, s)`` for ``words (term, no, ...)``, few enough to be broadcast, with the other columns of ``t`` that
-    are the same for all rows of a term, in ``parts`` partitions by document. They are ordered by document, packed in chunks and stored. Each
-    task takes a group of queries through the chunks, so a query's floor holds in all of them. Chunks of more than
-    ``CHUNK_BYTES`` together are cut into parts, whose results meet in a window. A few
-    terms are searched where the rows are, without a table between.
-    """
+    """As :func:`best_of_terms` for a few queries in ``t (qid, term, qtf, df, ...)``, which are searched where the rows are, without a table between."""
     t = t.sort_by([("qid", "ascending"), ("term", "ascending")])
     qid, term = (t.column(c).combine_chunks().dictionary_encode() for c in ("qid", "term"))
     query, word = qid.indices.to_numpy(), term.indices.to_numpy()
-    n_queries, weight = len(qid.dictionary), t.column("qtf").to_numpy().astype(np.float64)
     first = np.unique(word, return_index=True)[1]
-    columns = {c: t.column(c).to_numpy()[first] for c in t.column_names if c not in ("qid", "term", "qtf", "df")}
-    made = pa.table({"term": term.dictionary, "no": np.arange(len(first)), **columns})
+    words, parts = _numbered(spark, t.take(first))
+    names = spark.createDataFrame(pa.table({"q": np.arange(len(qid.dictionary)), "qid": qid.dictionary}), "q long, qid string")
+    starts = np.searchsorted(query, np.arange(len(qid.dictionary) + 1))
+    rows = hits_of(words, parts).select("doc_id", "no", "s").sortWithinPartitions("doc_id")
+    run = best_of(starts, word, t.column("qtf").to_numpy().astype(np.float64), len(first), k, decimals)
+    found = rows.mapInArrow(run, "q long, rank long, doc_id long, score double").join(F.broadcast(names), "q")
+    return _ranked(found.select("qid", "doc_id", "score"), k)
+
+
+def _numbered(spark: SparkSession, t: pa.Table) -> tuple[DataFrame, int]:
+    """``(term, no, ...)`` with the other columns of ``t``, of one row a term, and the number of partitions for their postings."""
+    columns = {c: t.column(c).to_numpy().astype(np.float64) for c in t.column_names if c not in ("qid", "term", "qtf", "df")}
+    made = pa.table({"term": t.column("term"), "no": np.arange(t.num_rows), **columns})
     words = spark.createDataFrame(made, ", ".join(["term string, no long", *(f"{c} double" for c in columns)]))
-    names = spark.createDataFrame(pa.table({"q": np.arange(n_queries), "qid": qid.dictionary}), "q long, qid string")
-    starts = np.searchsorted(query, np.arange(n_queries + 1))
-    parts = min(MAX_PARTS, max(1, -(-int(t.column("df").to_numpy()[first].sum()) // HITS)))
+    return words, min(MAX_PARTS, max(1, -(-int(pc.sum(t.column("df")).as_py() or 0) // HITS)))
+
+
+def best_of_terms(terms: DataFrame, hits_of: Callable[[DataFrame, int], DataFrame], k: int, decimals: int = DECIMALS) -> DataFrame:
+    """``(qid, rank, doc_id, score)``: the ``k`` documents with the largest sums of weight times ``s``, none of them below 0, for the queries in ``terms (qid, term, qtf, df, ...)``.
+
+    ``hits_of(words, parts)`` gives rows ``(doc_id, no, s)`` for ``words (term, no, ...)``, few enough to be broadcast, with the other columns of ``terms`` that
+    are the same for all rows of a term, in ``parts`` partitions by document. They are ordered by document, packed in chunks and stored, once for all
+    queries. Queries are packed in groups and stored too; the driver has only their words. Each task takes a group through the
+    chunks, of which it holds one at a time, so a query's floor holds in all of them. Chunks of more than ``CHUNK_BYTES`` together are cut into parts, whose
+    results meet in a window. Query sets of more than ``BLOCK_TERMS`` words go in blocks of whole queries.
+    """
+    spark = terms.sparkSession
+    few = terms.limit(min(FEW_TERMS, BLOCK_TERMS) + 1).toArrow()
+    if few.num_rows <= min(FEW_TERMS, BLOCK_TERMS):
+        return best_rows(few, hits_of, k, spark, decimals)
+    terms = stored(terms, "query-terms")
+    same = [c for c in terms.columns if c not in ("qid", "term", "qtf")]
+    t = terms.groupBy("term").agg(*(F.first(c).alias(c) for c in same)).limit(BLOCK_TERMS + 1).toArrow()
+    if t.num_rows > BLOCK_TERMS:
+        blocks, out = -(-terms.count() // BLOCK_TERMS) + 1, None
+        for i in range(blocks):
+            block = terms.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+            got = stored(_best_packed(block, block.select("term", *same).dropDuplicates(["term"]).toArrow(), hits_of, k, decimals), "ranked")
+            out = got if out is None else out.unionByName(got)
+        return out
+    return _best_packed(terms, t, hits_of, k, decimals)
+
+
+def _best_packed(terms: DataFrame, t: pa.Table, hits_of: Callable[[DataFrame, int], DataFrame], k: int, decimals: int) -> DataFrame:
+    spark = terms.sparkSession
+    words, parts = _numbered(spark, t)
     rows = hits_of(words, parts).select("doc_id", "no", "s").sortWithinPartitions("doc_id")
-    out = "q long, rank long, doc_id long, score double"
-    one = False
-    if t.num_rows <= FEW_TERMS:
-        found = rows.mapInArrow(best_of(starts, word, weight, len(first), k, decimals), out)
-    else:
-        chunks = stored(rows.mapInArrow(pack_chunks, _CHUNK), "chunks")
-        size = chunks.agg(F.sum(sum((F.length(c) for c in _PARTS), F.lit(0).cast("long")))).head()[0] or 0
-        cuts = max(1, -(-size // CHUNK_BYTES))
-        one = cuts == 1
-        groups = min(n_queries, max(parallelism(spark), -(-n_queries * k // TASK_RESULTS)))
-        each = spark.range(0, groups, 1, groups).select(F.col("id").alias("group"))
-        every = each.hint("shuffle_replicate_nl").crossJoin(chunks.coalesce(cuts))
-        found = every.mapInArrow(best_of_chunks(starts, word, weight, len(first), k, groups, decimals), out)
-    found = found.join(F.broadcast(names), "q").select("qid", "rank", "doc_id", "score")
-    return found if one else _ranked(found.select("qid", "doc_id", "score"), k)
+    chunks = stored(rows.mapInArrow(pack_chunks, _CHUNK), "chunks")
+    size = chunks.agg(F.sum(sum((F.length(c) for c in _PARTS), F.lit(0).cast("long")))).head()[0] or 0
+    cuts = max(1, -(-size // CHUNK_BYTES))
+    own = terms.select("qid", "term", F.col("qtf").cast("double").alias("qtf")).join(F.broadcast(words.select("term", "no")), "term")
+    bags = stored(own.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("no", "qtf"))).alias("bag")), "bags")
+    n_queries = bags.count()
+    groups = max(1, min(n_queries, max(parallelism(spark), -(-n_queries * k // TASK_RESULTS))))
+    # equal queries meet in a group
+    grouped = bags.withColumn("group", F.pmod(F.xxhash64("bag"), F.lit(groups))).repartition(parallelism(spark), "group").sortWithinPartitions("group")
+    flat = grouped.select("group", "qid", F.col("bag.no").alias("word"), F.col("bag.qtf").alias("weight"))
+    each = stored(flat.mapInArrow(pack_queries, _GROUP), "groups").repartitionByRange(groups, "group")
+    # the chunks are on the left, so they stream: of the right side a task holds its group
+    every = chunks.coalesce(cuts).hint("shuffle_replicate_nl").crossJoin(each)
+    found = every.mapInArrow(best_of_chunks(t.num_rows, k, decimals), "qid string, rank long, doc_id long, score double")
+    return found if cuts == 1 else _ranked(found.select("qid", "doc_id", "score"), k)
 
 
 def top_k(
@@ -160,7 +193,7 @@ def top_k(
 ) -> DataFrame:
     """``(qid, rank, doc_id, score)``: the ``k`` best documents of every query that any of its words occurs in.
 
-    One plan for all queries (:func:`best_rows`). Documents that can't be among the ``k`` best by the bounds of
+    One plan for all queries (:func:`best_of_terms`). Documents that can't be among the ``k`` best by the bounds of
     their terms aren't scored, which changes no row. Order: score descending, then document id.
     Documents with score 0 are kept. A query without a known word has no rows.
     """
@@ -171,7 +204,7 @@ def top_k(
         return index.hits(words.select("term")).join(F.broadcast(words), "term").select("doc_id", "no", score.alias("s")).repartition(parts, "doc_id")
 
     terms = weighted_terms(index, queries, mode).select(F.col("qid").cast("string"), "term", "qtf", "idf", "df")
-    return in_blocks(terms, lambda t: best_rows(t, hits, k, queries.sparkSession))
+    return best_of_terms(terms, hits, k)
 
 
 #: Retrieval under its name in the engine (``wand``).
@@ -279,18 +312,18 @@ class _Best:
             if len(score) == k:
                 self.floor[q] = score.min()
 
-    def results(self, names: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """``(q, rank, doc_id, score)``, queries by their ``names``."""
+    def results(self, names: list[list]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Names, and of the results the places among the names, ranks, documents and scores. ``names``: by query, of all that ask the same."""
         step = max(1, 1_000_000 // self.k)
-        for lo in range(0, len(self.best), step):
-            some = [(q, *self.best[q]) for q in range(lo, min(len(self.best), lo + step)) if self.best[q] is not None]
-            if some:
-                length = np.array([len(x[1]) for x in some])
-                q = np.repeat([x[0] for x in some], length)
-                doc, score = np.concatenate([x[1] for x in some]), np.concatenate([x[2] for x in some])
-                order = np.lexsort((doc, -score, q))
-                rank = np.arange(len(q)) - np.repeat(np.cumsum(length) - length, length) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names[q], rank, doc[order], score[order])], names=["q", "rank", "doc_id", "score"])
+        found = [(x, q) for q, own in enumerate(names) if self.best[q] is not None for x in own]
+        for lo in range(0, len(found), step):
+            some = found[lo : lo + step]
+            length = np.array([len(self.best[q][1]) for _, q in some])
+            at = np.repeat(np.arange(len(some)), length)
+            doc, score = (np.concatenate([self.best[q][i] for _, q in some]) for i in (0, 1))
+            order = np.lexsort((doc, -score, at))
+            rank = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length) + 1
+            yield [x for x, _ in some], at, rank, doc[order], score[order]
 
 
 def _packed(doc: np.ndarray, no: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -340,28 +373,68 @@ def best_of(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: i
         best = _Best(starts, word, weight, n_words, k, decimals)
         for chunk in _chunks(batches):
             best.add(*chunk)
-        yield from best.results(np.arange(len(starts) - 1))
+        for q, at, rank, doc, score in best.results([[q] for q in range(len(starts) - 1)]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.array(q)[at], rank, doc, score)], names=["q", "rank", "doc_id", "score"])
 
     return run
 
 
-def best_of_chunks(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int, k: int, groups: int, decimals: int = DECIMALS):
-    """mapInArrow function over rows of ``group`` and ``_CHUNK``, of one group in a partition: as :func:`best_of` for the queries of the group, every ``groups``-th."""
+def pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: rows ``(group, qid, word, weight)`` ordered by group, with parallel lists of words and weights, to one row of ``_GROUP`` a group."""
+
+    def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        word, weight = (t.column(c).combine_chunks() for c in ("word", "weight"))
+        length = pc.list_value_length(word).to_numpy(zero_copy_only=False)
+        flat = (np.append(0, np.cumsum(length)).astype(np.int64), word.flatten().to_numpy().astype(np.int64), weight.flatten().to_numpy().astype(np.float64))
+        values = [t.column("group")[0].as_py(), t.column("qid").to_pylist(), *(x.tobytes() for x in flat)]
+        kinds = (pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, kinds)], names=["group", "qids", "starts", "word", "weight"])
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        group = b.column("group").to_numpy()
+        edges = np.flatnonzero(np.diff(group)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows]):
+            if lo == hi:
+                continue
+            if held and held[-1].column("group")[0].as_py() != group[lo]:
+                yield row(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield row(held)
+
+
+def best_of_chunks(n_words: int, k: int, decimals: int = DECIMALS):
+    """mapInArrow function over rows of ``_CHUNK`` and ``_GROUP``: ``(qid, rank, doc_id, score)``, the ``k`` best of every query of the groups. Queries with the same words are ranked once."""
+
+    def group_of(b: pa.RecordBatch, i: int) -> tuple[_Best, list[list[str]]]:
+        qids = b.column("qids")[i].as_py()
+        starts, word, weight = (np.frombuffer(b.column(c)[i].as_buffer(), x) for c, x in (("starts", np.int64), ("word", np.int64), ("weight", np.float64)))
+        ends = starts.tolist()
+        alike: dict[tuple[bytes, bytes], list[int]] = {}
+        for q in range(len(qids)):
+            alike.setdefault((word[ends[q] : ends[q + 1]].tobytes(), weight[ends[q] : ends[q + 1]].tobytes()), []).append(q)
+        first = np.array([own[0] for own in alike.values()])
+        length = starts[first + 1] - starts[first]
+        new = np.concatenate([[0], np.cumsum(length)])
+        at = np.repeat(starts[first] - new[:-1], length) + np.arange(new[-1])
+        return _Best(new, word[at], weight[at], n_words, k, decimals), [[qids[q] for q in own] for own in alike.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, names = None, None
+        held: dict[int, tuple[_Best, list[list[str]]]] = {}
         for b in batches:
             for i in range(b.num_rows):
-                if best is None:
-                    names = np.arange(b.column("group")[i].as_py(), len(starts) - 1, groups)
-                    length = starts[names + 1] - starts[names]
-                    own_starts = np.concatenate([[0], np.cumsum(length)])
-                    own = np.repeat(starts[names] - own_starts[:-1], length) + np.arange(own_starts[-1])
-                    best = _Best(own_starts, word[own], weight[own], n_words, k, decimals)
+                group = b.column("group")[i].as_py()
+                if group not in held:
+                    held[group] = group_of(b, i)
                 kinds = (np.int64, np.int64, np.int64, np.int32, np.float64)
                 docs, words, begin, at, s = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in zip(_PARTS, kinds))
-                best.add(docs, words, begin, at.astype(np.intp), s)
-        if best is not None:
-            yield from best.results(names)
+                held[group][0].add(docs, words, begin, at.astype(np.intp), s)
+        for best, names in held.values():
+            for qids, at, rank, doc, score in best.results(names):
+                columns = [pa.array(qids, pa.string()).take(pa.array(at)), pa.array(rank), pa.array(doc), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, names=["qid", "rank", "doc_id", "score"])
 
     return run

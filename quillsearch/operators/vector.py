@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillsearch.functions.text import words_by_pattern
 from quillsearch.operators.dictionary import dense_ids
 from quillsearch.operators.index import document_map, occurrences
-from quillsearch.operators.retrieve import best_rows, in_blocks
+from quillsearch.operators.retrieve import best_of_terms
 from quillsearch.session import has_table, parallelism, stored
 
 #: Steps of the block Lanczos iteration, each a pass over all documents, and columns of a step beyond the components wanted.
@@ -49,7 +49,7 @@ def cosine_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, decimals: int
     """``(qid, rank, doc_id, score)`` by cosine of TF-IDF vectors, which is retrieval at full rank.
 
     Term counts are stored once. Only those of query terms are shuffled, to be packed as in keyword retrieval
-    (:func:`~quillsearch.operators.retrieve.best_rows`); no pair of query and document is. Weights of up to ``BROADCAST_TERMS`` terms are broadcast to
+    (:func:`~quillsearch.operators.retrieve.best_of_terms`); no pair of query and document is. Weights of up to ``BROADCAST_TERMS`` terms are broadcast to
     the counts for the documents' lengths, more meet them by a shuffle.
     """
     n = docs.where("doc_id is not null and text is not null").count()
@@ -66,7 +66,7 @@ def cosine_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, decimals: int
         rows = tf.join(F.broadcast(words), "term").select("doc_id", "no", w.alias("w")).repartition(parts, "doc_id")
         return rows.join(norms, "doc_id").select("doc_id", "no", (F.col("w") / F.col("norm")).alias("s"))
 
-    return in_blocks(asked.select("qid", "term", "qtf", "df", "idf"), lambda t: best_rows(t, hits, k, docs.sparkSession, decimals))
+    return best_of_terms(asked.select("qid", "term", "qtf", "df", "idf"), hits, k, decimals)
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, decimals: int = 6) -> DataFrame:

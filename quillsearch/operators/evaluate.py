@@ -13,13 +13,13 @@ def relevance(ranking: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def metrics(rels: DataFrame, p: float = 0.8, cut: int = 10, strict: bool = False) -> DataFrame:
-    """``(qid, rbp, dcg, ndcg, ap)`` of ``rels (qid, rank, rel)``.
+    """``(qid, rbp, dcg, ndcg, ap)`` of ``rels (qid, rank, rel)``; rows that aren't relevant may be missing, but for the last of a query.
 
     RBP leaves out the last rank unless ``strict``. DCG and NDCG take the first ``cut`` ranks, AP
     all. NDCG and AP are normalised by the relevant documents that were retrieved.
     """
     by = Window.partitionBy("qid")
-    rows = rels.withColumn("n", F.count(F.lit(1)).over(by))
+    rows = rels.withColumn("n", F.max("rank").over(by))
     rows = rows.withColumn("hits", F.sum("rel").over(by.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("ideal", F.row_number().over(by.orderBy(F.desc("rel"), "rank")))
     rel, rank = F.col("rel").cast("double"), F.col("rank").cast("double")

@@ -30,7 +30,7 @@ TASK_RESULTS, FEW_TERMS = 2_000_000, 1_000
 DENSE = 8
 _PARTS = ("docs", "words", "begin", "at", "s")
 _CHUNK = ", ".join(f"{c} binary" for c in _PARTS)
-_GROUP = "group long, qids array<string>, starts binary, word binary, weight binary"
+_GROUP = "group long, qids array<string>, starts binary, word binary, weight binary, judged array<array<bigint>>"
 #: A query's first floor comes from a query's terms of highest bound that together have this many documents for each wanted one.
 LEAD_DOCS = 20
 #: By so much a bound may fall short of the floor, for scores are rounded.
@@ -141,7 +141,7 @@ def _numbered(spark: SparkSession, t: pa.Table) -> tuple[DataFrame, int]:
     return words, min(MAX_PARTS, max(1, -(-int(pc.sum(t.column("df")).as_py() or 0) // HITS)))
 
 
-def best_of_terms(terms: DataFrame, hits_of: Callable[[DataFrame, int], DataFrame], k: int, decimals: int = DECIMALS) -> DataFrame:
+def best_of_terms(terms: DataFrame, hits_of: Callable[[DataFrame, int], DataFrame], k: int, decimals: int = DECIMALS, judged: DataFrame | None = None) -> DataFrame:
     """``(qid, rank, doc_id, score)``: the ``k`` documents with the largest sums of weight times ``s``, none of them below 0, for the queries in ``terms (qid, term, qtf, df, ...)``.
 
     ``hits_of(words, parts)`` gives rows ``(doc_id, no, s)`` for ``words (term, no, ...)``, few enough to be broadcast, with the other columns of ``terms`` that
@@ -149,6 +149,9 @@ def best_of_terms(terms: DataFrame, hits_of: Callable[[DataFrame, int], DataFram
     queries. Queries are packed in groups and stored too; the driver has only their words. Each task takes a group through the
     chunks, of which it holds one at a time, so a query's floor holds in all of them. Chunks of more than ``CHUNK_BYTES`` together are cut into parts, whose
     results meet in a window. Query sets of more than ``BLOCK_TERMS`` words go in blocks of whole queries.
+
+    With ``judged (qid, doc_id)`` rows of other documents may be left out, but for the last of each query: metrics need no more
+    (:func:`~quillsearch.operators.evaluate.metrics`), and ``k`` rows a query needn't leave the task.
     """
     spark = terms.sparkSession
     few = terms.limit(min(FEW_TERMS, BLOCK_TERMS) + 1).toArrow()
@@ -161,13 +164,13 @@ def best_of_terms(terms: DataFrame, hits_of: Callable[[DataFrame, int], DataFram
         blocks, out = -(-terms.count() // BLOCK_TERMS) + 1, None
         for i in range(blocks):
             block = terms.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
-            got = stored(_best_packed(block, block.select("term", *same).dropDuplicates(["term"]).toArrow(), hits_of, k, decimals), "ranked")
+            got = stored(_best_packed(block, block.select("term", *same).dropDuplicates(["term"]).toArrow(), hits_of, k, decimals, judged), "ranked")
             out = got if out is None else out.unionByName(got)
         return out
-    return _best_packed(terms, t, hits_of, k, decimals)
+    return _best_packed(terms, t, hits_of, k, decimals, judged)
 
 
-def _best_packed(terms: DataFrame, t: pa.Table, hits_of: Callable[[DataFrame, int], DataFrame], k: int, decimals: int) -> DataFrame:
+def _best_packed(terms: DataFrame, t: pa.Table, hits_of: Callable[[DataFrame, int], DataFrame], k: int, decimals: int, judged: DataFrame | None) -> DataFrame:
     spark = terms.sparkSession
     words, parts = _numbered(spark, t)
     rows = hits_of(words, parts).select("doc_id", "no", "s").sortWithinPartitions("doc_id")
@@ -175,27 +178,35 @@ def _best_packed(terms: DataFrame, t: pa.Table, hits_of: Callable[[DataFrame, in
     size = chunks.agg(F.sum(sum((F.length(c) for c in _PARTS), F.lit(0).cast("long")))).head()[0] or 0
     cuts = max(1, -(-size // CHUNK_BYTES))
     own = terms.select("qid", "term", F.col("qtf").cast("double").alias("qtf")).join(F.broadcast(words.select("term", "no")), "term")
-    bags = stored(own.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("no", "qtf"))).alias("bag")), "bags")
+    bags = own.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("no", "qtf"))).alias("bag"))
+    sparse = judged is not None and cuts == 1
+    if sparse:
+        lists = judged.where("qid is not null and doc_id is not null").groupBy(F.col("qid").cast("string").alias("qid")).agg(F.collect_set(F.col("doc_id").cast("long")).alias("judged"))
+        bags = bags.join(lists, "qid", "left").withColumn("judged", F.coalesce("judged", F.array().cast("array<bigint>")))
+    else:
+        bags = bags.withColumn("judged", F.array().cast("array<bigint>"))
+    bags = stored(bags, "bags")
     n_queries = bags.count()
     groups = max(1, min(n_queries, max(parallelism(spark), -(-n_queries * k // TASK_RESULTS))))
     # equal queries meet in a group
     grouped = bags.withColumn("group", F.pmod(F.xxhash64("bag"), F.lit(groups))).repartition(parallelism(spark), "group").sortWithinPartitions("group")
-    flat = grouped.select("group", "qid", F.col("bag.no").alias("word"), F.col("bag.qtf").alias("weight"))
+    flat = grouped.select("group", "qid", F.col("bag.no").alias("word"), F.col("bag.qtf").alias("weight"), "judged")
     each = stored(flat.mapInArrow(pack_queries, _GROUP), "groups").repartitionByRange(groups, "group")
     # the chunks are on the left, so they stream: of the right side a task holds its group
     every = chunks.coalesce(cuts).hint("shuffle_replicate_nl").crossJoin(each)
-    found = every.mapInArrow(best_of_chunks(t.num_rows, k, decimals), "qid string, rank long, doc_id long, score double")
+    found = every.mapInArrow(best_of_chunks(t.num_rows, k, decimals, sparse), "qid string, rank long, doc_id long, score double")
     return found if cuts == 1 else _ranked(found.select("qid", "doc_id", "score"), k)
 
 
 def top_k(
-    index: Index | EncodedIndex, queries: DataFrame, k: int = 10, mode: str = "bm25", k1: float = 1.2, b: float = 0.75
+    index: Index | EncodedIndex, queries: DataFrame, k: int = 10, mode: str = "bm25", k1: float = 1.2, b: float = 0.75, judged: DataFrame | None = None
 ) -> DataFrame:
     """``(qid, rank, doc_id, score)``: the ``k`` best documents of every query that any of its words occurs in.
 
     One plan for all queries (:func:`best_of_terms`). Documents that can't be among the ``k`` best by the bounds of
     their terms aren't scored, which changes no row. Order: score descending, then document id.
-    Documents with score 0 are kept. A query without a known word has no rows.
+    Documents with score 0 are kept. A query without a known word has no rows. With ``judged (qid, doc_id)`` only the rows
+    that metrics need are sure to be there: those of judged documents and the last of each query.
     """
     mode, k = scoring.checked(mode), _checked(k)
     score = scoring.term(mode, F.col("idf"), F.col("tf"), F.col("dl"), F.lit(index.avg_dl), k1, b)
@@ -204,7 +215,7 @@ def top_k(
         return index.hits(words.select("term")).join(F.broadcast(words), "term").select("doc_id", "no", score.alias("s")).repartition(parts, "doc_id")
 
     terms = weighted_terms(index, queries, mode).select(F.col("qid").cast("string"), "term", "qtf", "idf", "df")
-    return best_of_terms(terms, hits, k)
+    return best_of_terms(terms, hits, k, judged=judged)
 
 
 #: Retrieval under its name in the engine (``wand``).
@@ -380,16 +391,16 @@ def best_of(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: i
 
 
 def pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function: rows ``(group, qid, word, weight)`` ordered by group, with parallel lists of words and weights, to one row of ``_GROUP`` a group."""
+    """mapInArrow function: rows ``(group, qid, word, weight, judged)`` ordered by group, with parallel lists of words and weights, to one row of ``_GROUP`` a group."""
 
     def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         word, weight = (t.column(c).combine_chunks() for c in ("word", "weight"))
         length = pc.list_value_length(word).to_numpy(zero_copy_only=False)
         flat = (np.append(0, np.cumsum(length)).astype(np.int64), word.flatten().to_numpy().astype(np.int64), weight.flatten().to_numpy().astype(np.float64))
-        values = [t.column("group")[0].as_py(), t.column("qid").to_pylist(), *(x.tobytes() for x in flat)]
-        kinds = (pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, kinds)], names=["group", "qids", "starts", "word", "weight"])
+        values = [t.column("group")[0].as_py(), t.column("qid").to_pylist(), *(x.tobytes() for x in flat), t.column("judged").to_pylist()]
+        kinds = (pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int64())))
+        return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, kinds)], names=["group", "qids", "starts", "word", "weight", "judged"])
 
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -406,11 +417,14 @@ def pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(held)
 
 
-def best_of_chunks(n_words: int, k: int, decimals: int = DECIMALS):
-    """mapInArrow function over rows of ``_CHUNK`` and ``_GROUP``: ``(qid, rank, doc_id, score)``, the ``k`` best of every query of the groups. Queries with the same words are ranked once."""
+def best_of_chunks(n_words: int, k: int, decimals: int = DECIMALS, sparse: bool = False):
+    """mapInArrow function over rows of ``_CHUNK`` and ``_GROUP``: ``(qid, rank, doc_id, score)``, the ``k`` best of every query of the groups. Queries with the same words are ranked once.
+
+    ``sparse``: only the rows of judged documents, and the last row of each query.
+    """
 
-    def group_of(b: pa.RecordBatch, i: int) -> tuple[_Best, list[list[str]]]:
-        qids = b.column("qids")[i].as_py()
+    def group_of(b: pa.RecordBatch, i: int) -> tuple[_Best, list[list[tuple[str, list[int]]]]]:
+        qids = list(zip(b.column("qids")[i].as_py(), b.column("judged")[i].as_py()))
         starts, word, weight = (np.frombuffer(b.column(c)[i].as_buffer(), x) for c, x in (("starts", np.int64), ("word", np.int64), ("weight", np.float64)))
         ends = starts.tolist()
         alike: dict[tuple[bytes, bytes], list[int]] = {}
@@ -423,7 +437,7 @@ def best_of_chunks(n_words: int, k: int, decimals: int = DECIMALS):
         return _Best(new, word[at], weight[at], n_words, k, decimals), [[qids[q] for q in own] for own in alike.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[_Best, list[list[str]]]] = {}
+        held: dict[int, tuple[_Best, list[list[tuple[str, list[int]]]]]] = {}
         for b in batches:
             for i in range(b.num_rows):
                 group = b.column("group")[i].as_py()
@@ -434,7 +448,15 @@ def best_of_chunks(n_words: int, k: int, decimals: int = DECIMALS):
                 held[group][0].add(docs, words, begin, at.astype(np.intp), s)
         for best, names in held.values():
             for qids, at, rank, doc, score in best.results(names):
-                columns = [pa.array(qids, pa.string()).take(pa.array(at)), pa.array(rank), pa.array(doc), pa.array(score)]
+                if sparse:
+                    ends = np.searchsorted(at, np.arange(len(qids) + 1))
+                    keep = np.zeros(len(at), bool)
+                    keep[ends[1:] - 1] = True
+                    for (_, own), lo, hi in zip(qids, ends[:-1].tolist(), ends[1:].tolist()):
+                        if own:
+                            keep[lo:hi] |= np.isin(doc[lo:hi], own)
+                    at, rank, doc, score = at[keep], rank[keep], doc[keep], score[keep]
+                columns = [pa.array([x for x, _ in qids], pa.string()).take(pa.array(at)), pa.array(rank), pa.array(doc), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(columns, names=["qid", "rank", "doc_id", "score"])
 
     return run

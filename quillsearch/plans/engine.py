@@ -49,12 +49,13 @@ class SearchEngine:
         return self.index.paths if self.index else self.vectors.paths if self.vectors else None
 
     def search(
-        self, queries: DataFrame | str, k: int = 10, scoring: str = "bm25", retrieval: str = "full", k1: float = 1.2, b: float = 0.75
+        self, queries: DataFrame | str, k: int = 10, scoring: str = "bm25", retrieval: str = "full", k1: float = 1.2, b: float = 0.75, judged: DataFrame | None = None
     ) -> DataFrame:
         """``(qid, rank, doc_id, score)`` of one query text or of ``queries (qid, text)``.
 
         ``retrieval``: ``full`` scores every matching document, ``wand`` prunes and gives the
-        same rows, ``faiss`` ranks by distance in the vector index and ignores ``scoring``.
+        same rows, ``faiss`` ranks by distance in the vector index and ignores ``scoring``. ``judged (qid, doc_id)`` leaves
+        out rows that metrics don't need.
         """
         if retrieval not in RETRIEVALS:
             raise ValueError(f"retrieval is one of {RETRIEVALS}, not {retrieval!r}")
@@ -66,16 +67,17 @@ class SearchEngine:
                 raise ValueError("there is no vector index")
             return self.vectors.query(queries, k)
         run = retrieve.pruned_top_k if retrieval == "wand" else retrieve.top_k
-        return run(self.index, queries, k, checked(scoring), k1, b)
+        return run(self.index, queries, k, checked(scoring), k1, b, judged)
 
     def evaluate(self, queries: DataFrame, qrels: DataFrame, k: int = 1000, **options) -> DataFrame:
         """One row of mean metrics over all queries; zero queries are an error."""
-        per = self.evaluate_per_query(queries, qrels, k, **options)
-        if per.limit(1).count() == 0:
+        if not queries.select("qid").head(1):
             raise ZeroDivisionError("no queries")
-        return evaluate.mean(per)
+        return evaluate.mean(self.evaluate_per_query(queries, qrels, k, **options))
 
     def evaluate_per_query(self, queries: DataFrame, qrels: DataFrame, k: int = 1000, **options) -> DataFrame:
         """Judgments name documents by their numbers, which the document map, if there is one, gives for the ids."""
-        top = with_paths(self.search(queries, k, **options), self.paths)
+        numbers = None if self.paths is None else self.paths.select(F.col("doc_no").alias("number"), F.col("doc_id").alias("id"))
+        judged = qrels if numbers is None else qrels.join(numbers, F.col("doc_id") == F.col("number")).select("qid", F.col("id").alias("doc_id"))
+        top = with_paths(self.search(queries, k, judged=judged, **options), self.paths)
         return evaluate.per_query(top.select("qid", "rank", F.col("doc_no").alias("doc_id")), qrels, queries.select(F.col("qid")))

@@ -235,9 +235,9 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the BM25 ranking of every query, 1,000 documents deep."""
-    asked = query_set(spark, sf_dir)
-    top = retrieve.top_k(built(spark, sf_dir), asked, 1000)
-    return evaluate.per_query(top, judgments(spark, sf_dir), asked)
+    asked, judged = query_set(spark, sf_dir), judgments(spark, sf_dir)
+    top = retrieve.top_k(built(spark, sf_dir), asked, 1000, judged=judged)
+    return evaluate.per_query(top, judged, asked)
 
 
 def eval_mean(spark: SparkSession, sf_dir: str) -> DataFrame:

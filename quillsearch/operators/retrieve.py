@@ -22,8 +22,9 @@ DECIMALS = 6
 BLOCK_TERMS, BLOCK_RESULTS = 200_000, 4_000_000
 #: Pairs of query and document a partition of the exhaustive plan should sum, about, and most partitions for them.
 PAIRS, MAX_PARTS = 2_000_000, 10_000
-#: Postings of a partition, about, and most postings of documents that are scored at a time: small chunks cost more than large ones. Bytes of packed chunks a task goes through, one at a time.
-HITS, CHUNK, CHUNK_BYTES = 750_000, 1_000_000, 4 << 30
+#: Postings of a partition, about: few where that leaves cores idle, else many, for small chunks cost more than large ones. Most postings of documents that are scored at a time.
+#: Bytes of packed chunks a task goes through, one at a time.
+HITS, MOST_HITS, CHUNK, CHUNK_BYTES = 750_000, 2_000_000, 2_500_000, 4 << 30
 #: Results a task keeps, about, and rows of query terms up to which nothing is packed.
 TASK_RESULTS, FEW_TERMS = 2_000_000, 1_000
 #: A word in one of so many documents of a chunk has a whole row of scores.
@@ -138,7 +139,8 @@ def _numbered(spark: SparkSession, t: pa.Table) -> tuple[DataFrame, int]:
     columns = {c: t.column(c).to_numpy().astype(np.float64) for c in t.column_names if c not in ("qid", "term", "qtf", "df")}
     made = pa.table({"term": t.column("term"), "no": np.arange(t.num_rows), **columns})
     words = spark.createDataFrame(made, ", ".join(["term string, no long", *(f"{c} double" for c in columns)]))
-    return words, min(MAX_PARTS, max(1, -(-int(pc.sum(t.column("df")).as_py() or 0) // HITS)))
+    hits = int(pc.sum(t.column("df")).as_py() or 0)
+    return words, min(MAX_PARTS, max(1, -(-hits // MOST_HITS), min(spark.sparkContext.defaultParallelism, -(-hits // HITS))))
 
 
 def best_of_terms(terms: DataFrame, hits_of: Callable[[DataFrame, int], DataFrame], k: int, decimals: int = DECIMALS, judged: DataFrame | None = None) -> DataFrame:
@@ -187,7 +189,8 @@ def _best_packed(terms: DataFrame, t: pa.Table, hits_of: Callable[[DataFrame, in
         bags = bags.withColumn("judged", F.array().cast("array<bigint>"))
     bags = stored(bags, "bags")
     n_queries = bags.count()
-    groups = max(1, min(n_queries, max(parallelism(spark), -(-n_queries * k // TASK_RESULTS))))
+    cores = spark.sparkContext.defaultParallelism
+    groups = max(1, min(n_queries, -(-max(parallelism(spark), -(-n_queries * k // TASK_RESULTS)) // cores) * cores))
     # equal queries meet in a group
     grouped = bags.withColumn("group", F.pmod(F.xxhash64("bag"), F.lit(groups))).repartition(parallelism(spark), "group").sortWithinPartitions("group")
     flat = grouped.select("group", "qid", F.col("bag.no").alias("word"), F.col("bag.qtf").alias("weight"), "judged")

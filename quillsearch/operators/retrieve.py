@@ -27,11 +27,13 @@ PAIRS, MAX_PARTS = 2_000_000, 10_000
 HITS, MOST_HITS, CHUNK, CHUNK_BYTES = 750_000, 2_000_000, 2_500_000, 4 << 30
 #: Results a task keeps, about, and rows of query terms up to which nothing is packed.
 TASK_RESULTS, FEW_TERMS = 2_000_000, 1_000
+#: Results a task keeps at most, about, where only those down to the lowest judged document are kept.
+MOST_RESULTS = 8_000_000
 #: A word in one of so many documents of a chunk has a whole row of scores.
 DENSE = 8
 _PARTS = ("docs", "words", "begin", "at", "s")
 _CHUNK = ", ".join(f"{c} binary" for c in _PARTS)
-_GROUP = "group long, qids array<string>, starts binary, word binary, weight binary, judged array<array<bigint>>"
+_GROUP = "group long, qids array<string>, starts binary, word binary, weight binary, judged array<array<bigint>>, known array<array<double>>"
 #: A query's first floor comes from a query's terms of highest bound that together have this many documents for each wanted one.
 LEAD_DOCS = 20
 #: By so much a bound may fall short of the floor, for scores are rounded.
@@ -152,8 +154,9 @@ def best_of_terms(terms: DataFrame, hits_of: Callable[[DataFrame, int], DataFram
     chunks, of which it holds one at a time, so a query's floor holds in all of them. Chunks of more than ``CHUNK_BYTES`` together are cut into parts, whose
     results meet in a window. Query sets of more than ``BLOCK_TERMS`` words go in blocks of whole queries.
 
-    With ``judged (qid, doc_id)`` rows of other documents may be left out, but for the last of each query: metrics need no more
-    (:func:`~quillsearch.operators.evaluate.metrics`), and ``k`` rows a query needn't leave the task.
+    With ``judged (qid, doc_id)`` rows of other documents may be left out, but for one behind the judged, if there is any: metrics need no more
+    (:func:`~quillsearch.operators.evaluate.metrics`). Scores of judged documents are computed first, so documents below a query's lowest judged one
+    aren't ranked, nor queries that have none among their ``k`` best.
     """
     spark = terms.sparkSession
     few = terms.limit(min(FEW_TERMS, BLOCK_TERMS) + 1).toArrow()
@@ -182,21 +185,27 @@ def _best_packed(terms: DataFrame, t: pa.Table, hits_of: Callable[[DataFrame, in
     own = terms.select("qid", "term", F.col("qtf").cast("double").alias("qtf")).join(F.broadcast(words.select("term", "no")), "term")
     bags = own.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("no", "qtf"))).alias("bag"))
     sparse = judged is not None and cuts == 1
+
+    def each_of(bags: DataFrame, most: int) -> DataFrame:
+        """Every chunk with every group of ``bags (qid, bag, judged, known)``, of at most about ``most`` results."""
+        bags = stored(bags, "bags")
+        n_queries, cores = bags.count(), spark.sparkContext.defaultParallelism
+        groups = max(1, min(n_queries, -(-max(parallelism(spark), -(-n_queries * k // most)) // cores) * cores))
+        # equal queries meet in a group
+        grouped = bags.withColumn("group", F.pmod(F.xxhash64("bag"), F.lit(groups))).repartition(parallelism(spark), "group").sortWithinPartitions("group")
+        flat = grouped.select("group", "qid", F.col("bag.no").alias("word"), F.col("bag.qtf").alias("weight"), "judged", "known")
+        each = stored(flat.mapInArrow(pack_queries, _GROUP), "groups").repartitionByRange(groups, "group")
+        # the chunks are on the left, so they stream: of the right side a task holds its group
+        return chunks.coalesce(cuts).hint("shuffle_replicate_nl").crossJoin(each)
+
+    none = F.array().cast("array<double>").alias("known")
     if sparse:
         lists = judged.where("qid is not null and doc_id is not null").groupBy(F.col("qid").cast("string").alias("qid")).agg(F.collect_set(F.col("doc_id").cast("long")).alias("judged"))
-        bags = bags.join(lists, "qid", "left").withColumn("judged", F.coalesce("judged", F.array().cast("array<bigint>")))
+        scored = each_of(bags.join(lists, "qid").select("qid", "bag", "judged", none), MOST_RESULTS).mapInArrow(judged_scores(t.num_rows), "qid string, doc_id long, score double")
+        known = stored(scored, "judged").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("score", "doc_id"))).alias("j"))
+        every = each_of(bags.join(known, "qid").select("qid", "bag", F.col("j.doc_id").alias("judged"), F.col("j.score").alias("known")), MOST_RESULTS)
     else:
-        bags = bags.withColumn("judged", F.array().cast("array<bigint>"))
-    bags = stored(bags, "bags")
-    n_queries = bags.count()
-    cores = spark.sparkContext.defaultParallelism
-    groups = max(1, min(n_queries, -(-max(parallelism(spark), -(-n_queries * k // TASK_RESULTS)) // cores) * cores))
-    # equal queries meet in a group
-    grouped = bags.withColumn("group", F.pmod(F.xxhash64("bag"), F.lit(groups))).repartition(parallelism(spark), "group").sortWithinPartitions("group")
-    flat = grouped.select("group", "qid", F.col("bag.no").alias("word"), F.col("bag.qtf").alias("weight"), "judged")
-    each = stored(flat.mapInArrow(pack_queries, _GROUP), "groups").repartitionByRange(groups, "group")
-    # the chunks are on the left, so they stream: of the right side a task holds its group
-    every = chunks.coalesce(cuts).hint("shuffle_replicate_nl").crossJoin(each)
+        every = each_of(bags.select("qid", "bag", F.array().cast("array<bigint>").alias("judged"), none), TASK_RESULTS)
     found = every.mapInArrow(best_of_chunks(t.num_rows, k, decimals, sparse), "qid string, rank long, doc_id long, score double")
     return found if cuts == 1 else _ranked(found.select("qid", "doc_id", "score"), k)
 
@@ -209,7 +218,7 @@ def top_k(
     One plan for all queries (:func:`best_of_terms`). Documents that can't be among the ``k`` best by the bounds of
     their terms aren't scored, which changes no row. Order: score descending, then document id.
     Documents with score 0 are kept. A query without a known word has no rows. With ``judged (qid, doc_id)`` only the rows
-    that metrics need are sure to be there: those of judged documents and the last of each query.
+    that metrics need are sure to be there: those of judged documents and, if there is any, one behind them.
     """
     mode, k = scoring.checked(mode), _checked(k)
     score = scoring.term(mode, F.col("idf"), F.col("tf"), F.col("dl"), F.lit(index.avg_dl), k1, b)
@@ -232,9 +241,13 @@ class _Best:
     ``k`` results a query are held. The best score a chunk can give a query is known from its largest term scores:
     chunks below the query's floor, the ``k``-th best score so far, are passed over, and inside a chunk
     terms that can't lift a document to the floor name no candidates.
+
+    ``aims``: per query scores of documents, ascending. Of a query's ``k`` best those down to the lowest aim among them are kept
+    and one more; a query without an aim among them is given up.
     """
 
-    def __init__(self, starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int, k: int, decimals: int) -> None:
+    def __init__(self, starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int, k: int, decimals: int, aims: list[list[float]] | None = None) -> None:
+        self.aims = aims
         self.decimals = decimals
         self.margin = max(MARGIN, 10.0 ** (1 - decimals))
         self.starts, self.word, self.weight, self.n_words, self.k = starts, word, weight, n_words, k
@@ -325,6 +338,22 @@ class _Best:
             self.best[q] = (name, score)
             if len(score) == k:
                 self.floor[q] = score.min()
+            if self.aims is not None:
+                self._cut(q, name, score)
+
+    def _cut(self, q: int, name: np.ndarray, score: np.ndarray) -> None:
+        order = np.lexsort((name, -score))
+        name, low = name[order], -score[order]
+        aims = self.aims[q]
+        # scores within the margin count as equal: an aim's sum may have another order
+        while aims and low.searchsorted(-(aims[0] + self.margin)) >= self.k:
+            aims.pop(0)
+        if not aims:
+            self.best[q], self.floor[q] = None, np.inf
+            return
+        cut = int(low.searchsorted(-(aims[0] - self.margin), "right"))
+        if cut < len(low):
+            self.best[q], self.floor[q] = (name[: cut + 1], -low[: cut + 1]), -low[cut]
 
     def results(self, names: list[list]) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Names, and of the results the places among the names, ranks, documents and scores. ``names``: by query, of all that ask the same."""
@@ -394,16 +423,16 @@ def best_of(starts: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: i
 
 
 def pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function: rows ``(group, qid, word, weight, judged)`` ordered by group, with parallel lists of words and weights, to one row of ``_GROUP`` a group."""
+    """mapInArrow function: rows ``(group, qid, word, weight, judged, known)`` ordered by group, with parallel lists of words and weights, to one row of ``_GROUP`` a group."""
 
     def row(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
         word, weight = (t.column(c).combine_chunks() for c in ("word", "weight"))
         length = pc.list_value_length(word).to_numpy(zero_copy_only=False)
         flat = (np.append(0, np.cumsum(length)).astype(np.int64), word.flatten().to_numpy().astype(np.int64), weight.flatten().to_numpy().astype(np.float64))
-        values = [t.column("group")[0].as_py(), t.column("qid").to_pylist(), *(x.tobytes() for x in flat), t.column("judged").to_pylist()]
-        kinds = (pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int64())))
-        return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, kinds)], names=["group", "qids", "starts", "word", "weight", "judged"])
+        values = [t.column("group")[0].as_py(), t.column("qid").to_pylist(), *(x.tobytes() for x in flat), t.column("judged").to_pylist(), t.column("known").to_pylist()]
+        kinds = (pa.int64(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.float64())))
+        return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, kinds)], names=["group", "qids", "starts", "word", "weight", "judged", "known"])
 
     held: list[pa.RecordBatch] = []
     for b in batches:
@@ -420,10 +449,56 @@ def pack_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield row(held)
 
 
+def judged_scores(n_words: int):
+    """mapInArrow function over rows of ``_CHUNK`` and ``_GROUP``: ``(qid, doc_id, score)`` of the judged documents that have a word of the query, not rounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[int, tuple] = {}
+        for b in batches:
+            for i in range(b.num_rows):
+                group = b.column("group")[i].as_py()
+                if group not in groups:
+                    starts, word, weight = (np.frombuffer(b.column(c)[i].as_buffer(), x) for c, x in (("starts", np.int64), ("word", np.int64), ("weight", np.float64)))
+                    lists = b.column("judged")[i].values
+                    query = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                    doc = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                    order = np.argsort(doc, kind="stable")
+                    groups[group] = (b.column("qids")[i].values, starts, word, weight, query[order], doc[order])
+                qids, starts, word, weight, query, doc = groups[group]
+                kinds = (np.int64, np.int64, np.int64, np.int32, np.float64)
+                docs, words, begin, at, s = (np.frombuffer(b.column(c)[i].as_buffer(), t) for c, t in zip(_PARTS, kinds))
+                place = docs.searchsorted(doc)
+                here = np.flatnonzero(docs[np.minimum(place, len(docs) - 1)] == doc)
+                if not len(here):
+                    continue
+                q, place = query[here], place[here]
+                local = np.full(n_words, -1)
+                local[words] = np.arange(len(words))
+                # the words of every pair
+                length = starts[q + 1] - starts[q]
+                first = np.cumsum(length) - length
+                own = np.repeat(starts[q] - first, length) + np.arange(length.sum())
+                pair = np.repeat(np.arange(len(q)), length)
+                known = np.flatnonzero(local[word[own]] >= 0)
+                own, pair = own[known], pair[known]
+                # inside a word places ascend, so these do
+                keys = np.repeat(np.arange(len(words)), np.diff(begin)) * len(docs) + at
+                asked = local[word[own]] * len(docs) + place[pair]
+                hit = np.minimum(keys.searchsorted(asked), len(keys) - 1)
+                got = np.flatnonzero(keys[hit] == asked)
+                if not len(got):
+                    continue
+                score = np.bincount(pair[got], weight[own[got]] * s[hit[got]], len(q))
+                some = np.unique(pair[got])
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q[some])), pa.array(docs[place[some]]), pa.array(score[some])], names=["qid", "doc_id", "score"])
+
+    return run
+
+
 def best_of_chunks(n_words: int, k: int, decimals: int = DECIMALS, sparse: bool = False):
     """mapInArrow function over rows of ``_CHUNK`` and ``_GROUP``: ``(qid, rank, doc_id, score)``, the ``k`` best of every query of the groups. Queries with the same words are ranked once.
 
-    ``sparse``: only the rows of judged documents, and the last row of each query.
+    ``sparse``: only the rows of judged documents, whose scores are known, and one behind them.
     """
 
     def group_of(b: pa.RecordBatch, i: int) -> tuple[_Best, list[list[tuple[str, list[int]]]]]:
@@ -437,7 +512,9 @@ def best_of_chunks(n_words: int, k: int, decimals: int = DECIMALS, sparse: bool
         length = starts[first + 1] - starts[first]
         new = np.concatenate([[0], np.cumsum(length)])
         at = np.repeat(starts[first] - new[:-1], length) + np.arange(new[-1])
-        return _Best(new, word[at], weight[at], n_words, k, decimals), [[qids[q] for q in own] for own in alike.values()]
+        known = b.column("known")[i].as_py() if sparse else None
+        aims = [sorted(x for q in own for x in known[q]) for own in alike.values()] if sparse else None
+        return _Best(new, word[at], weight[at], n_words, k, decimals, aims), [[qids[q] for q in own] for own in alike.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[_Best, list[list[tuple[str, list[int]]]]]] = {}

@@ -159,10 +159,14 @@ def best_of_terms(terms: DataFrame, hits_of: Callable[[DataFrame, int], DataFram
     aren't ranked, nor queries that have none among their ``k`` best.
     """
     spark = terms.sparkSession
-    few = terms.limit(min(FEW_TERMS, BLOCK_TERMS) + 1).toArrow()
+    # kept until they are stored, else their plan would run twice
+    held = terms.persist()
+    few = held.limit(min(FEW_TERMS, BLOCK_TERMS) + 1).toArrow()
     if few.num_rows <= min(FEW_TERMS, BLOCK_TERMS):
+        held.unpersist()
         return best_rows(few, hits_of, k, spark, decimals)
-    terms = stored(terms, "query-terms")
+    terms = stored(held, "query-terms")
+    held.unpersist()
     same = [c for c in terms.columns if c not in ("qid", "term", "qtf")]
     t = terms.groupBy("term").agg(*(F.first(c).alias(c) for c in same)).limit(BLOCK_TERMS + 1).toArrow()
     if t.num_rows > BLOCK_TERMS:

@@ -34,6 +34,8 @@ DENSE = 8
 _PARTS = ("docs", "words", "begin", "at", "s")
 _CHUNK = ", ".join(f"{c} binary" for c in _PARTS)
 _GROUP = "group long, qids array<string>, starts binary, word binary, weight binary, judged array<array<bigint>>, known array<array<double>>"
+#: One document in so many of a word's is looked up in the word's list, more are read from a row of scores.
+FEW_NAMED = 16
 #: A query's first floor comes from a query's terms of highest bound that together have this many documents for each wanted one.
 LEAD_DOCS = 20
 #: By so much a bound may fall short of the floor, for scores are rounded.
@@ -282,7 +284,7 @@ class _Best:
             whole[r, at[begin[x] : begin[x + 1]]] = s[begin[x] : begin[x + 1]]
             has[r, at[begin[x] : begin[x + 1]]] = True
         here, bound, row, begin = here.tolist(), bound.tolist(), row.tolist(), begin.tolist()
-        total, touched, one = np.zeros(n), np.zeros(n, bool), np.zeros(n)
+        total, touched, one, product = np.zeros(n), np.zeros(n, bool), np.zeros(n), np.empty(n)
         for q in asked:
             own = sorted([(bound[i], here[i], weights[i]) for i in range(ends[q], ends[q + 1]) if here[i] >= 0], reverse=True)
             rest = [0.0] * (len(own) + 1)
@@ -290,31 +292,39 @@ class _Best:
                 rest[i] = rest[i + 1] + own[i][0]
             floor = least = float(self.floor[q])
             seen, led, wide, i = 0, floor > -np.inf, False, 0
+            # above such a floor a document is named by its sum, so places that were touched aren't kept
+            blind = floor - self.margin > 0
             while i < len(own) and rest[i] >= least - self.margin:
                 _, x, by = own[i]
                 lo, hi = begin[x], begin[x + 1]
                 if row[x] >= 0:
-                    np.multiply(whole[row[x]], by, out=one)
-                    total += one
-                    touched |= has[row[x]]
-                    one.fill(0)
+                    np.multiply(whole[row[x]], by, out=product)
+                    total += product
+                    if not blind:
+                        touched |= has[row[x]]
                     wide = True
                 else:
                     total[at[lo:hi]] += by * s[lo:hi]
-                    touched[at[lo:hi]] = True
+                    if not blind:
+                        touched[at[lo:hi]] = True
                 seen += hi - lo
                 i += 1
                 if not led and i < len(own) and seen >= LEAD_DOCS * k:
                     some = total[touched]
                     if led := len(some) >= k:
                         least = max(least, float(np.partition(some, -k)[-k]))
-            every = np.flatnonzero(touched)
-            score, named = total[every], every
-            if wide:
+            if blind:
+                named = np.flatnonzero(total >= least - self.margin - rest[i])
+                score = total[named]
                 total.fill(0)
-                touched.fill(False)
             else:
-                total[every], touched[every] = 0, False
+                every = np.flatnonzero(touched)
+                score, named = total[every], every
+                if wide:
+                    total.fill(0)
+                    touched.fill(False)
+                else:
+                    total[every], touched[every] = 0, False
             for j in range(i, len(own) + 1):
                 if least > -np.inf:
                     good = score + rest[j] >= least - self.margin
@@ -324,9 +334,13 @@ class _Best:
                 _, x, by = own[j]
                 if row[x] >= 0:
                     score += by * whole[row[x]][named]
+                    continue
+                own_at, own_s = at[begin[x] : begin[x + 1]], s[begin[x] : begin[x + 1]]
+                if len(named) * FEW_NAMED < len(own_at):
+                    place = np.minimum(own_at.searchsorted(named), len(own_at) - 1)
+                    score += np.where(own_at[place] == named, by * own_s[place], 0)
                 else:
-                    own_at = at[begin[x] : begin[x + 1]]
-                    one[own_at] = s[begin[x] : begin[x + 1]]
+                    one[own_at] = own_s
                     score += by * one[named]
                     one[own_at] = 0
             if not len(named):

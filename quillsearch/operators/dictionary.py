@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quillsearch.session import stored
 
+#: Terms that are broadcast while they descend in a radix tree.
+FEW_ASKED = 100_000
+
 
 def dense_ids(terms: DataFrame) -> DataFrame:
     """``(term, term_id)``: ids from 0 in the order of the terms, without bringing the terms into one task.
@@ -37,37 +40,43 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & same(at + step), at + step).otherwise(at))
 
 
-def _with_next(words: DataFrame, name: str) -> DataFrame:
-    """``(term, before)``: every word and the one before it in sorted order, which meet by their dense ids; null for the first."""
-    ids = stored(dense_ids(words), name)
+def _with_next(ids: DataFrame) -> DataFrame:
+    """``(term_id, term, before)`` of stored dense ids: every word and the one before it in sorted order; null for the first."""
     return ids.join(ids.select((F.col("term_id") + 1).alias("term_id"), F.col("term").alias("before")), "term_id", "left")
 
 
 def radix_nodes(terms: DataFrame) -> DataFrame:
-    """``(node, parent, label, is_term)`` of the radix tree of the terms; the root is the empty string without a parent.
+    """``(node, parent, label, is_term)`` of the radix tree of the terms; the root is the empty string without a parent."""
+    return _numbered_nodes(stored(dense_ids(terms), "term-ids"))[0].drop("node_id")
+
+
+def _numbered_nodes(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node_id, node, parent, label, is_term)`` of the radix tree of the terms of stored dense ``ids``, and ``(term, term_id)`` of the nodes, stored.
 
     The inner nodes of a radix tree are the common prefixes of neighbours in sorted order,
     so the node set needs no insertion. In the sorted order of all nodes, which is the
     order of a walk through the tree, a node's parent is what it has in common with the node before it.
     """
-    words = terms.select("term").where("term is not null").distinct()
     shared = F.when(F.col("before").isNotNull(), F.substring(F.col("term"), F.lit(1), common_prefix(F.col("term"), F.col("before"))))
-    inner = _with_next(words, "term-ids").where("before is not null").select(shared.alias("node"))
-    root = terms.sparkSession.createDataFrame([("",)], "node string")
+    inner = _with_next(ids).where("before is not null").select(shared.alias("node"))
+    root = ids.sparkSession.createDataFrame([("",)], "node string")
     nodes = (
-        words.select(F.col("term").alias("node"), F.lit(1).alias("t"))
+        ids.select(F.col("term").alias("node"), F.lit(1).alias("t"))
         .unionByName(inner.unionByName(root).withColumn("t", F.lit(0)))
         .groupBy("node")
         .agg(F.max("t").alias("t"))
     )
     nodes = stored(nodes, "nodes")
-    parents = _with_next(nodes.select(F.col("node").alias("term")), "node-ids").select(F.col("term").alias("node"), shared.alias("parent"))
-    return nodes.join(parents, "node").select(
+    node_ids = stored(dense_ids(nodes.select(F.col("node").alias("term"))), "node-ids")
+    parents = _with_next(node_ids).select(F.col("term_id").alias("node_id"), F.col("term").alias("node"), shared.alias("parent"))
+    made = nodes.join(parents, "node").select(
+        "node_id",
         "node",
         "parent",
         F.when(F.col("parent").isNull(), F.col("node")).otherwise(F.expr("substring(node, length(parent) + 1)")).alias("label"),
         (F.col("t") == 1).alias("is_term"),
     )
+    return made, node_ids
 
 
 def lookup(terms: DataFrame, asked: DataFrame) -> DataFrame:
@@ -83,8 +92,9 @@ class IdMap:
     table: DataFrame
 
     @staticmethod
-    def build(terms: DataFrame) -> IdMap:
-        return IdMap(stored(dense_ids(terms), "idmap"))
+    def build(terms: DataFrame, ids: DataFrame | None = None) -> IdMap:
+        """Of ``terms (term)``; ``ids``: their stored dense ids, where they are known."""
+        return IdMap(stored(dense_ids(terms), "idmap") if ids is None else ids)
 
     def save(self, path: str) -> None:
         self.table.write.mode("overwrite").parquet(path)
@@ -114,12 +124,11 @@ class RadixTree:
     nodes: DataFrame
 
     @staticmethod
-    def build(terms: DataFrame) -> RadixTree:
-        nodes = stored(radix_nodes(terms), "radix")
-        ids = stored(dense_ids(nodes.select(F.col("node").alias("term"))).toDF("node", "node_id"), "node-ids")
-        term_ids = dense_ids(terms).toDF("node", "term_id")
-        parents = ids.toDF("parent", "parent_id")
-        rows = nodes.join(ids, "node").join(parents, "parent", "left").join(term_ids, "node", "left")
+    def build(terms: DataFrame, ids: DataFrame | None = None) -> RadixTree:
+        """Of ``terms (term)``; ``ids``: their stored dense ids, where they are known."""
+        ids = stored(dense_ids(terms), "term-ids") if ids is None else ids
+        nodes, node_ids = _numbered_nodes(ids)
+        rows = nodes.join(node_ids.toDF("parent", "parent_id"), "parent", "left").join(ids.toDF("node", "term_id"), "node", "left")
         return RadixTree(stored(rows.select("node_id", "parent_id", F.substring("label", 1, 1).alias("first"), "label", "term_id"), "tree"))
 
     def save(self, path: str) -> None:
@@ -151,9 +160,10 @@ class RadixTree:
         going = stored(words.crossJoin(F.broadcast(root)).withColumn("n", F.lit(0)), "descent")
         edges = self.nodes.where("parent_id is not null")
         done = going
-        while not going.isEmpty():
+        while n := going.count():
             step = going.drop("id").withColumn("first", F.substring(F.col("term"), F.col("n") + 1, F.lit(1)))
-            step = step.join(edges, (F.col("at") == F.col("parent_id")) & (step["first"] == edges["first"]))
+            # few terms go to the edges, so that the tree isn't shuffled every round
+            step = (F.broadcast(step) if n <= FEW_ASKED else step).join(edges, (F.col("at") == F.col("parent_id")) & (step["first"] == edges["first"]))
             step = step.where(F.substring(F.col("term"), F.col("n") + 1, F.length("label")) == F.col("label"))
             going = stored(step.select("term", F.col("node_id").alias("at"), F.col("term_id").alias("id"), (F.col("n") + F.length("label")).alias("n")), "descent")
             done = done.unionByName(going)

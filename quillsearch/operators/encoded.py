@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillsearch.functions import codecs
-from quillsearch.operators.dictionary import IdMap, RadixTree
+from quillsearch.operators.dictionary import IdMap, RadixTree, dense_ids
 from quillsearch.operators.index import Index, corpus_stats, encoded
 from quillsearch.session import has_table, parallelism, stored
 
@@ -43,9 +43,9 @@ class EncodedIndex:
     @staticmethod
     def save(index: Index, path: str, codec: str = "vbe", dictionary: str = "idmap") -> None:
         """Write the index below ``path``; indexes of other codecs and dictionaries may lie beside it."""
-        made = dictionary_named(dictionary).build(index.terms)
-        made.save(f"{path}/dictionary-{dictionary}")
-        ids = made.all()
+        kind = dictionary_named(dictionary)
+        ids = stored(dense_ids(index.terms), "term-ids")
+        kind.build(index.terms, ids).save(f"{path}/dictionary-{dictionary}")
         index.terms.join(ids, "term").select("term_id", "df", "max_tf", "cf").write.mode("overwrite").parquet(f"{path}/term-stats")
         lists = encoded(index.postings, codec).join(ids, "term").select("term_id", "segment", "df", "ids", "tfs")
         ordered = lists.repartitionByRange(parallelism(lists.sparkSession), "term_id", "segment").sortWithinPartitions("term_id", "segment")
@@ -72,9 +72,9 @@ class EncodedIndex:
         return self.stats.join(self.dictionary.all(), "term_id").select("term", "df", "max_tf", "cf")
 
     def known(self, words: DataFrame) -> DataFrame:
-        """``words`` with the statistics of those that the index has."""
+        """``words`` with the ids and statistics of those that the index has."""
         ids = stored(self.dictionary.ids_of(words.select("term")).where("term_id >= 0"), "asked-ids")
-        return words.join(ids.join(self.stats, "term_id").select("term", "df", "max_tf"), "term")
+        return words.join(ids.join(self.stats, "term_id").select("term", "term_id", "df", "max_tf"), "term")
 
     def _decoded(self, lists: DataFrame) -> DataFrame:
         both = F.arrays_zip(
@@ -83,8 +83,11 @@ class EncodedIndex:
         return lists.select("term", F.explode(both).alias("p")).select("term", F.col("p.doc_id").alias("doc_id"), F.col("p.tf").alias("tf"))
 
     def hits(self, words: DataFrame) -> DataFrame:
-        """``(term, doc_id, tf, dl)`` of the terms in ``words (term)``, few enough to be broadcast, none twice."""
-        ids = stored(self.dictionary.ids_of(words.select("term")).where("term_id >= 0"), "asked-ids")
+        """``(term, doc_id, tf, dl)`` of the terms in ``words (term)``, few enough to be broadcast, none twice; with their ``term_id`` they aren't looked up again."""
+        if "term_id" in words.columns:
+            ids = words.select("term", F.col("term_id").cast("long").alias("term_id"))
+        else:
+            ids = stored(self.dictionary.ids_of(words.select("term")).where("term_id >= 0"), "asked-ids")
         asked = self.lists.join(F.broadcast(ids), "term_id")
         return self._decoded(asked).join(self.docs, "doc_id").select("term", "doc_id", "tf", "dl")
 

@@ -49,7 +49,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def weighted_terms(index: Index | EncodedIndex, queries: DataFrame, mode: str) -> DataFrame:
-    """``(qid, term, qtf, df, max_tf, idf)``; words that aren't in the index are dropped. idf is computed once per term."""
+    """``(qid, term, qtf, df, max_tf, idf)``, of an encoded index with ``term_id``; words that aren't in the index are dropped. idf is computed once per term."""
     known = index.known(query_terms(queries))
     return known.withColumn("idf", scoring.idf(mode, F.lit(index.n_docs), F.col("df")))
 
@@ -230,10 +230,11 @@ def top_k(
     score = scoring.term(mode, F.col("idf"), F.col("tf"), F.col("dl"), F.lit(index.avg_dl), k1, b)
 
     def hits(words: DataFrame, parts: int) -> DataFrame:
-        return index.hits(words.select("term")).join(F.broadcast(words), "term").select("doc_id", "no", score.alias("s")).repartition(parts, "doc_id")
+        return index.hits(words.select("term", *ids)).join(F.broadcast(words), "term").select("doc_id", "no", score.alias("s")).repartition(parts, "doc_id")
 
-    terms = weighted_terms(index, queries, mode).select(F.col("qid").cast("string"), "term", "qtf", "idf", "df")
-    return best_of_terms(terms, hits, k, judged=judged)
+    terms = weighted_terms(index, queries, mode)
+    ids = [c for c in ("term_id",) if c in terms.columns]
+    return best_of_terms(terms.select(F.col("qid").cast("string"), "term", "qtf", "idf", "df", *ids), hits, k, judged=judged)
 
 
 #: Retrieval under its name in the engine (``wand``).

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillsearch.functions import codecs
 from quillsearch.operators.dictionary import IdMap, RadixTree, dense_ids
 from quillsearch.operators.index import Index, corpus_stats, encoded
-from quillsearch.session import has_table, parallelism, stored
+from quillsearch.session import discard, has_table, parallelism, stored
 
 #: Term dictionaries an index can have.
 DICTIONARIES = {"idmap": IdMap, "patricia": RadixTree}
@@ -47,9 +47,11 @@ class EncodedIndex:
         ids = stored(dense_ids(index.terms), "term-ids")
         kind.build(index.terms, ids).save(f"{path}/dictionary-{dictionary}")
         index.terms.join(ids, "term").select("term_id", "df", "max_tf", "cf").write.mode("overwrite").parquet(f"{path}/term-stats")
-        lists = encoded(index.postings, codec).join(ids, "term").select("term_id", "segment", "df", "ids", "tfs")
+        # stored, else the bounds of the ranges would take the encoding of all lists once more
+        lists = stored(encoded(index.postings, codec).join(ids, "term").select("term_id", "segment", "df", "ids", "tfs"), "lists")
         ordered = lists.repartitionByRange(parallelism(lists.sparkSession), "term_id", "segment").sortWithinPartitions("term_id", "segment")
         ordered.write.mode("overwrite").parquet(f"{path}/lists-{codec}")
+        discard(lists)
         index.docs.write.mode("overwrite").parquet(f"{path}/docs")
         corpus_stats(index.docs).coalesce(1).write.mode("overwrite").parquet(f"{path}/corpus")
         if index.paths is not None:

@@ -39,7 +39,7 @@ def test_ids_and_lists_once(spark, made, rows, monkeypatch, tmp_path, codec, ter
         walked = kind.all
         monkeypatch.setattr(kind, "all", lambda self: calls.append("all") or walked(self))
     encoded.EncodedIndex.save(made, str(tmp_path), codec, terms)
-    assert not calls
+    assert count.value == made.terms.count() and not calls
     monkeypatch.setattr(retrieve, "FEW_TERMS", 0)
     opened = encoded.EncodedIndex.load(spark, str(tmp_path), codec, terms)
     assert rows(retrieve.top_k(opened, asked, 3)) == want
